@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import packing, quality_ledger
+from docloom.llm import packing, quality_ledger, simhash_pigeonhole
 
 _QUERIES = (
     (packing.op2_packing, None),
     (quality_ledger.op4_quality_rules, quality_ledger.ORACLE),
+    (simhash_pigeonhole.op7_simhash, None),
 )
 
 
