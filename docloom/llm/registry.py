@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import packing, quality_ledger, simhash_pigeonhole
+from docloom.llm import brown_lm, label_sharding, mixing, packing, quality_ledger, simhash_pigeonhole, topk_blocks, toxicity_cnn
 
 _QUERIES = (
+    (topk_blocks.op1_topk, topk_blocks.ORACLE),
     (packing.op2_packing, None),
     (quality_ledger.op4_quality_rules, quality_ledger.ORACLE),
+    (toxicity_cnn.op6_toxicity, None),
     (simhash_pigeonhole.op7_simhash, None),
+    (mixing.op8_mixing, None),
+    (brown_lm.op9_brown_lm, None),
+    (label_sharding.op10_sharding, None),
 )
 
 
