@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import brown_lm, label_sharding, mixing, packing, quality_ledger, simhash_pigeonhole, topk_blocks, toxicity_cnn
+from docloom.llm import brown_lm, label_sharding, mixing, packing, quality_ledger, simhash_pigeonhole, token_offsets, topk_blocks, toxicity_cnn, zip_warc
 
 _QUERIES = (
     (topk_blocks.op1_topk, topk_blocks.ORACLE),
     (packing.op2_packing, None),
+    (zip_warc.op3_warc, zip_warc.ORACLE),
     (quality_ledger.op4_quality_rules, quality_ledger.ORACLE),
+    (token_offsets.op5_token_counts, None),
     (toxicity_cnn.op6_toxicity, None),
     (simhash_pigeonhole.op7_simhash, None),
     (mixing.op8_mixing, None),
