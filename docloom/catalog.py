@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from docloom.plans import retrieval
 
-def _modules():
-    return ()
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top documents of every question by BM25."""
+    return retrieval.bm25_topk(spark, sf_dir)
