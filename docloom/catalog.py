@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import retrieval
+from docloom.plans import analysis, analytics, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval,)
+MODULES = (retrieval, analysis, analytics)
 
 
 def queries() -> dict[str, Query]:
