@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, analytics, retrieval
+from docloom.plans import analysis, analytics, evidence, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, analysis, analytics)
+MODULES = (retrieval, analysis, analytics, evidence)
 
 
 def queries() -> dict[str, Query]:

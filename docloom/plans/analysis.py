@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -12,7 +12,10 @@ from docloom.plans.retrieval import read
 
 #: Words that tell the languages of the corpus apart.
 STOPWORDS = {"de": ("der", "die", "und", "das", "ist"), "en": ("the", "and", "of", "is", "that"), "es": ("que", "los", "del", "una", "por"), "fr": ("les", "des", "est", "dans", "pour")}
-TEXT = T.text_or_empty("text")
+
+
+def _text() -> Column:
+    return T.text_or_empty("text")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +24,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lang_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda c: c.cast("long")
-    return _docs(spark, sf_dir).select("doc_id", long(T.count_of(TEXT, T.LATIN)).alias("latin"), long(T.count_of(TEXT, T.ARABIC)).alias("arabic"), T.language(TEXT).alias("script"))
+    return _docs(spark, sf_dir).select("doc_id", long(T.count_of(_text(), T.LATIN)).alias("latin"), long(T.count_of(_text(), T.ARABIC)).alias("arabic"), T.language(_text()).alias("script"))
 
 
 def stopword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by most stopwords (ties to the earlier code), none under two."""
-    t = _docs(spark, sf_dir).select("doc_id", "lang", T.terms(TEXT).alias("ts"))
+    t = _docs(spark, sf_dir).select("doc_id", "lang", T.terms(_text()).alias("ts"))
     count = lambda ws: F.size(F.filter("ts", lambda x: x.isin(*ws)))
     scores = F.array(*[F.struct(count(ws).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(sorted(STOPWORDS.items()))])
     best = t.select("doc_id", "lang", F.array_max(scores).alias("best"))
@@ -38,71 +41,71 @@ def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tok_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _docs(spark, sf_dir).select("doc_id", T.terms(TEXT).alias("ts"), T.content_terms(TEXT).alias("cs"))
+    t = _docs(spark, sf_dir).select("doc_id", T.terms(_text()).alias("ts"), T.content_terms(_text()).alias("cs"))
     return t.select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.size("cs").cast("long").alias("n_content"), F.sha2(F.array_join("cs", " "), 256).alias("content_hash"))
 
 
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _docs(spark, sf_dir).select("doc_id", T.numeric_tokens(TEXT).alias("ns")).where("size(ns) > 0")
+    t = _docs(spark, sf_dir).select("doc_id", T.numeric_tokens(_text()).alias("ns")).where("size(ns) > 0")
     return t.select("doc_id", F.array_join("ns", " ").alias("numbers"), F.size("ns").cast("long").alias("n"))
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda p: F.size(F.regexp_extract_all(TEXT, F.lit(p), F.lit(0))).cast("long")
+    count = lambda p: F.size(F.regexp_extract_all(_text(), F.lit(p), F.lit(0))).cast("long")
     return _docs(spark, sf_dir).select("doc_id", *[count(p).alias(k) for k, p in T.PRIVATE.items()])
 
 
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.redact(TEXT), 256).alias("redacted_hash"), (T.redact(TEXT) != TEXT).alias("changed"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.redact(_text()), 256).alias("redacted_hash"), (T.redact(_text()) != _text()).alias("changed"))
 
 
 def injection_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.scrub(TEXT).alias("clean"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.scrub(_text()).alias("clean"))
 
 
 def question_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of each user turn's normalised text, and the first turn that asked the same."""
-    asked = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.sha2(T.normalize(TEXT), 256).alias("hash"))
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.sha2(T.normalize(_text()), 256).alias("hash"))
     first = asked.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     return asked.join(first, "hash").select("conv_id", "turn", "hash", F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn"))
 
 
 def dedup_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts of one source the first is accepted, the others are repeats of it."""
-    d = _docs(spark, sf_dir).select("doc_id", "source", F.sha2(TEXT, 256).alias("hash"))
+    d = _docs(spark, sf_dir).select("doc_id", "source", F.sha2(_text(), 256).alias("hash"))
     first = d.groupBy("source", "hash").agg(F.min("doc_id").alias("first_id"))
     return d.join(first, ["source", "hash"]).select("doc_id", "first_id", (F.col("doc_id") == F.col("first_id")).alias("accepted"))
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", "source", F.sha2(TEXT, 256).alias("hash"))
+    d = _docs(spark, sf_dir).select("doc_id", "source", F.sha2(_text(), 256).alias("hash"))
     return d.groupBy("hash").agg(F.count("*").alias("copies"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
 def text_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of characters that neither letters, digits, blanks nor plain punctuation account for."""
-    odd = T.count_of(TEXT, r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")
-    return _docs(spark, sf_dir).select("doc_id", F.when(F.length(TEXT) > 0, F.round(odd / F.length(TEXT), 6)).otherwise(0.0).alias("damage"))
+    odd = T.count_of(_text(), r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")
+    return _docs(spark, sf_dir).select("doc_id", F.when(F.length(_text()) > 0, F.round(odd / F.length(_text()), 6)).otherwise(0.0).alias("damage"))
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", S.summary(TEXT).alias("summary"))
+    return _docs(spark, sf_dir).select("doc_id", S.summary(_text()).alias("summary"))
 
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of lines of 1400 characters at most."""
-    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.packed_lines(TEXT)).alias("chunk", "c"))
+    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.packed_lines(_text())).alias("chunk", "c"))
     return c.select("doc_id", "chunk", F.col("c.first").alias("first_line"), F.col("c.n").alias("n_lines"), F.col("c.chars").alias("chars"))
 
 
 def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut every 1400 characters."""
-    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.hard_cut(TEXT)).alias("part", "body"))
+    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.hard_cut(_text())).alias("part", "body"))
     return c.select("doc_id", "part", F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("hash"))
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.lines(_docs(spark, sf_dir), "doc_id", TEXT)
+    rows = S.lines(_docs(spark, sf_dir), "doc_id", _text())
     return S.blocks(rows.select("doc_id", "line", S.line_class(F.col("content")).alias("class")), "doc_id")
 
 
@@ -114,18 +117,20 @@ def metadata_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_document_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of more than a tenth of all documents, by language."""
-    t = _docs(spark, sf_dir).select("lang", F.explode(F.array_distinct(T.terms(TEXT))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
+    t = _docs(spark, sf_dir).select("lang", F.explode(F.array_distinct(T.terms(_text()))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
     n = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("docs"))
     return t.join(n, "lang").where(F.col("df") * 10 > F.col("docs")).select("lang", "term", "df", F.round(F.col("df") / F.col("docs"), 6).alias("share"))
 
 
 # --- pages -------------------------------------------------------------------------------------
 
-HTML = T.text_or_empty("html")
+
+def _html() -> Column:
+    return T.text_or_empty("html")
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "pages").select("page_id", S.headings(HTML).alias("h")).withColumn("p", S.parents(F.col("h")))
+    h = read(spark, sf_dir, "pages").select("page_id", S.headings(_html()).alias("h")).withColumn("p", S.parents(F.col("h")))
     both = F.arrays_zip(F.col("h").alias("h"), F.col("p").alias("p"))
     rows = h.select("page_id", F.posexplode(both).alias("section", "x"))
     return rows.select("page_id", "section", F.col("x.h.level").alias("level"), F.col("x.h.heading").alias("heading"), F.col("x.p").alias("parent"))
@@ -154,19 +159,19 @@ def related_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title element, else first h1, else first heading, else the host."""
-    p = read(spark, sf_dir, "pages").select("page_id", "url", S.plain(F.regexp_extract(HTML, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), S.headings(HTML).alias("h"))
+    p = read(spark, sf_dir, "pages").select("page_id", "url", S.plain(F.regexp_extract(_html(), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), S.headings(_html()).alias("h"))
     some = lambda c: F.nullif(c, F.lit(""))
     h1 = F.get(F.filter("h", lambda x: x["level"] == 1), 0)["heading"]
     return p.select("page_id", F.coalesce(some(F.col("title")), some(h1), some(F.get("h", 0)["heading"]), S.host(T.text_or_empty("url"))).alias("title"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "pages").select("page_id", S.plain(HTML).alias("t"))
+    t = read(spark, sf_dir, "pages").select("page_id", S.plain(_html()).alias("t"))
     return t.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("hash"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all(HTML, F.lit(r'href="([^"]*)"'), F.lit(1)).alias("l"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all(_html(), F.lit(r'href="([^"]*)"'), F.lit(1)).alias("l"))
     return p.select("page_id", F.size("l").cast("long").alias("links"), F.size(F.filter("l", lambda x: x.startswith("/"))).cast("long").alias("own"), F.size(F.array_distinct("l")).cast("long").alias("distinct_links"))
 
 
