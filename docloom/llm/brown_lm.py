@@ -163,7 +163,8 @@ def gains(now: int, before: np.ndarray, after: np.ndarray, self_n: float, table:
     g[:, now] -= before
     g[now] -= after
     g[now, now] -= self_n
-    rows, cols = g.sum(axis=1), g.sum(axis=0)
+    # whatever the unit's class, its neighbours' classes keep their counts before and after it
+    rows, cols = g.sum(axis=1) + before, g.sum(axis=0) + after
     right, left = after.sum() + self_n, before.sum() + self_n
     f = _xlogx
     gain = (f(g + after) - f(g)).sum(axis=1) + (f(g + before[:, None]) - f(g)).sum(axis=0)
