@@ -102,7 +102,10 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return df.drop("p").select("row", *MEASURES, total.cast("long").alias("fail_bits"))
+    # not deterministic by name only: else a filter on the bits would be pushed below all of the
+    # above, with the split into words copied into the functions that run for each word
+    fixed = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
+    return df.drop("p").select("row", *MEASURES, total.cast("long").bitwiseOR(fixed).alias("fail_bits"))
 
 
 def kept(policy: Policy) -> Column:
