@@ -66,11 +66,15 @@ def hard_cut(text: Column, size: int = CHUNK_CHARS) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def summary(text: Column, sentences: int = SUMMARY_SENTENCES, chars: int = SUMMARY_CHARS) -> Column:
-    """The leading sentences, three at most, that fit; the first always."""
-    found = F.slice(F.filter(F.split(text, r"[.!?]+\s+"), lambda s: F.trim(s) != ""), 1, sentences)
-    sized = F.transform(found, lambda s, i: F.aggregate(F.slice(found, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)))
-    return F.array_join(F.filter(found, lambda s, i: (i == 0) | (F.get(sized, i) <= chars)), " | ")
+def leading(text: Column, sentences: int = SUMMARY_SENTENCES) -> Column:
+    """The first sentences of a text, three at most."""
+    return F.slice(F.filter(F.split(text, r"[.!?]+\s+"), lambda s: F.trim(s) != ""), 1, sentences)
+
+
+def summary(found: str, chars: int = SUMMARY_CHARS) -> Column:
+    """Of a column of leading sentences those that fit; the first always."""
+    upto = lambda i: F.aggregate(F.slice(found, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
+    return F.array_join(F.filter(found, lambda s, i: (i == 0) | (upto(i) <= chars)), " | ")
 
 
 def plain(html: Column) -> Column:

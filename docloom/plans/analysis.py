@@ -89,7 +89,7 @@ def text_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", S.summary(_text()).alias("summary"))
+    return _docs(spark, sf_dir).select("doc_id", S.leading(_text()).alias("s")).select("doc_id", S.summary("s").alias("summary"))
 
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
