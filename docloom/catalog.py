@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, analytics, evidence, retrieval, streams, tables
+from docloom.plans import analysis, analytics, evidence, facts, retrieval, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, analysis, analytics, evidence, streams, tables)
+MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts)
 
 
 def queries() -> dict[str, Query]:
