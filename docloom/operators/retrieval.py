@@ -31,9 +31,16 @@ def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, terms, len`` of chunks that have terms: one pass, no shuffle."""
+    """``key, terms, len``: one pass, no shuffle. Chunks without terms stay, with ``len`` 0: a
+    filter on it would be pushed to the scan and split every text twice."""
     t = chunks.select(key, T.terms(T.text_or_empty(text)).alias("terms"))
-    return t.select(key, "terms", F.size("terms").alias("len")).where("len > 0")
+    return t.select(key, "terms", F.size("terms").alias("len"))
+
+
+def totals(stats: DataFrame) -> tuple[int, float]:
+    """Chunks that have terms, and their mean length."""
+    r = stats.agg(F.count_if(F.col("len") > 0).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("a")).first()
+    return r.n, r.a or 1.0
 
 
 def postings(stats: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -49,11 +56,12 @@ def bm25(questions: DataFrame, q: str, stats: DataFrame, key: str, weight: Colum
     """``q, key, score`` of all pairs that share a term; ``questions`` has ``q, term`` (and what
     ``weight`` reads). Document frequencies are of all chunks."""
     post = postings(stats, key, questions)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    size = stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).first()
-    idf = F.log(1 + (F.lit(float(size.n)) - F.col("df") + 0.5) / (F.col("df") + F.lit(0.5)))
+    # counted from tf, which keeps the shuffle of the postings the same for both its readers
+    df = post.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    n, mean = totals(stats)
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + F.lit(0.5)))
     scored = questions.join(df, "term").select(q, "term", (idf * (F.lit(1.0) if weight is None else weight)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (1 - B + F.lit(B) * F.col("len") / F.lit(size.avg_len or 1.0)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (1 - B + F.lit(B) * F.col("len") / F.lit(mean)))
     return post.join(scored, "term").groupBy(q, key).agg(F.round(F.sum(part.cast("double")), 6).alias("score"))
 
 

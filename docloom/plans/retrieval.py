@@ -44,7 +44,7 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _stats(spark, sf_dir)
+    stats = _stats(spark, sf_dir).where("len > 0")
     return stats.select("doc_id", F.col("len").cast("long").alias("len"), F.size(F.array_distinct("terms")).cast("long").alias("distinct_terms"))
 
 
@@ -52,7 +52,7 @@ def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two rarest known terms without digits of each question, if in at most 3 % of documents."""
     asked, stats = _asked(spark, sf_dir), _stats(spark, sf_dir)
     df = R.postings(stats, "doc_id", asked).groupBy("term").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "term").where((F.col("df") <= R.RARE_SHARE * stats.count()) & ~F.col("term").rlike(r"\d"))
+    rare = asked.join(df, "term").where((F.col("df") <= R.RARE_SHARE * R.totals(stats)[0]) & ~F.col("term").rlike(r"\d"))
     return R.ranked(rare, ["item_id"], F.col("df"), F.col("term")).where("rank <= 2").select("item_id", "term", "df", "rank")
 
 
