@@ -68,7 +68,8 @@ def propagate(linked: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Dat
     for n in range(rounds):
         votes = now.groupBy("text_key", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("text_key").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
-        best = best.select(F.col("text_key").alias("group"), (-F.col("best.s")).alias("to"))
+        # stored, so the join below has a shuffle of its own that can split a large group
+        best = stored(best.select(F.col("text_key").alias("group"), (-F.col("best.s")).alias("to")))
         wish = votes.join(best, F.col("text_key") == F.col("group")).groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()
         wishes, load = np.zeros((shards, shards)), np.zeros(shards)
         for w in wish:
@@ -93,7 +94,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     texts are links whatever their ids; repeated rows count as two; null texts are empty texts. An
     empty table gives no rows; extra columns are left out."""
     rows = stored(documents(docs))
-    groups = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("g"))
+    groups = stored(rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("g")))
     start = F.pmod("row", F.lit(shards)).cast("int")
     rows = rows.join(groups, F.col("text_key") == F.col("g"), "left")
     rows = stored(rows.select("doc_id", "size", "text_crc32", "text_key", "row", start.alias("shard"), F.col("g").isNotNull().alias("linked")))
