@@ -26,7 +26,8 @@ FREQUENT, ENDINGS = 4096, 1024
 #: Words whose counts every task holds: the most frequent ones of LOOKUP_BYTES bytes at most,
 #: which bounds what is broadcast. All other words' counts come by a join.
 LOOKUP, LOOKUP_BYTES = 100_000, 64
-ROUNDS = 5
+#: Passes over all units, each in so many turns: what moves in one turn moves at once.
+ROUNDS, TURNS = 3, 8
 DELTA = 0.1
 #: A task's counts are handed on when it holds this many.
 FLUSH = 400_000
@@ -218,24 +219,26 @@ def class_table(bigrams: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
 
 def exchange(bigrams: DataFrame, size: int, order: np.ndarray, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each of ``size`` units (the last, the end of a text, is alone in the last
-    class). Units start in turn by ``order``, most frequent first; in every round each task moves
-    half of its units, which half changing, to their best classes given the last round's."""
+    class). Units start in turn by ``order``, most frequent first; in every turn the tasks move one
+    eighth of the units, another each time, to their best classes given those before the turn: were
+    all to move at once, they would crowd into the same few classes."""
     classes = np.zeros(size, dtype=np.int64)
     classes[order] = np.arange(len(order)) % (k - 1)
     classes[size - 1] = k - 1
     sides = stored(_sides(bigrams))
     sc = bigrams.sparkSession.sparkContext
-    for n in range(2 * rounds):
+    moved_in_round = 0
+    for n in range(TURNS * rounds):
         given = sc.broadcast((classes, class_table(bigrams, classes, k)))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = n % 2, given=given) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], turn: int = n % TURNS, given=given) -> Iterator[pa.RecordBatch]:
             c, counts = given.value
             for b in batches:
                 moved = []
                 entries, at = b.column(1).values, b.column(1).offsets.to_numpy()
                 fields = [entries.field(f).to_numpy() for f in ("other", "side", "n")]
                 for unit, s, e in zip(b.column(0).to_pylist(), at, at[1:]):
-                    if unit != len(c) - 1 and (unit * 2654435761 >> 7) % 2 == turn:
+                    if unit != len(c) - 1 and (unit * 2654435761 >> 7) % TURNS == turn:
                         to = _best(unit, *(f[s:e] for f in fields), c, counts, k)
                         if to != c[unit]:
                             moved.append((unit, to))
@@ -246,8 +249,11 @@ def exchange(bigrams: DataFrame, size: int, order: np.ndarray, k: int = CLASSES,
         classes = classes.copy()
         for r in moves:
             classes[r.unit] = r.c
-        if n % 2 and not moves:
-            break
+        moved_in_round += len(moves)
+        if n % TURNS == TURNS - 1:
+            if not moved_in_round:
+                break
+            moved_in_round = 0
     return classes
 
 
