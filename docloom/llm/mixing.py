@@ -23,6 +23,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK_DOCS = 1024
 SHARDS = 16
+#: Documents that are shuffled among each other in one task, about.
+SLICE_DOCS = 4096
 SEED = 20240229
 
 
@@ -178,7 +180,9 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), _key().alias("key"), _hash().alias("hash"))
     rows = drawn(with_blocks(rows, sources), blocks).select("row", "hash", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.withColumn("order", F.xxhash64("hash", "copy", F.lit(seed)))
-    slices = F.pmod("order", F.lit(4))
+    # a shard is shuffled in slices of a few thousand documents, whatever its size
+    docs_a_shard = (sources.agg(F.sum("docs")).first()[0] or 0) * SHARE / shards
+    slices = F.pmod("order", F.lit(1 + int(docs_a_shard / SLICE_DOCS)))
     return rows.repartition("shard", slices).sortWithinPartitions("shard", "order").select("row.*")
 
 
