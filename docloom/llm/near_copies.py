@@ -1,0 +1,260 @@
+"""Near copies by exact Jaccard similarity of sets of five-word shingles.
+
+A pigeonhole argument on the sets themselves finds all candidates: of two sets with a Jaccard
+similarity of 4/5 or more, the first n - ceil(4n/5) + 1 members of each, n being its size, share one,
+whatever the order of all shingles. The order puts shingles last that are common in a sample, so what
+many texts share is rarely a key; it decides costs, never results. Of the sets that share a key those
+stay that counts of their members by bins don't keep apart from all others (the differences of two
+sets' counts never sum to more than the members that only one has), and these are compared whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.llm.common import stored, text_or_empty
+from docloom.llm.components import roots
+
+SHINGLE, SEED = 5, 42
+#: Texts among which shingles are counted for the order, the count from which one is common, and the
+#: number of common ones that every task holds at most.
+SAMPLE, OFTEN, COMMON = 8192, 3, 1 << 17
+#: A bucket of more sets is compared chunk against chunk in several tasks.
+CHUNK = 512
+BINS = 256
+FLUSH = 100_000
+
+
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the text's distinct shingles, sorted: A-Z lower-cased, words between ASCII white
+    space. A text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    if len(words) <= SHINGLE:
+        grams = [b" ".join(words)] if words else []
+    else:
+        grams = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def set_id(grams: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
+
+
+def alike(shared, a, b):
+    """Jaccard similarity of 4/5 or more, in whole numbers."""
+    return 5 * shared >= 4 * (a + b - shared)
+
+
+def bins(grams: np.ndarray) -> bytes:
+    """Members in each bin, 255 at most: a cap never makes two counts differ more."""
+    return np.minimum(np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first members in the order of all shingles: by level of frequency, then by hash."""
+    n = len(grams)
+    most = n - (4 * n + 4) // 5 + 1 if n else 0
+    if not len(common):
+        return grams[:most]
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    rank = np.where(common[at] == grams, level[at], 0)
+    return grams[np.argsort(rank, kind="stable")[:most]]
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least OFTEN texts of a sample, sorted, and the level of each one's count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["gram"])
+
+    part = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("row_key"), F.lit(part)) == 0).select("text")
+    counts = stored(sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN))
+    level = F.floor(F.log2("n")).cast("int")
+    room, least = COMMON, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level):
+        room -= r.rows
+        if room < 0:
+            break
+        least = r.level
+    rows = counts.select("gram", level.alias("level")).where(F.col("level") >= least).toPandas() if least is not None else None
+    if rows is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
+    grams = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], rows["level"].to_numpy().astype(np.uint8)[order]
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """``doc_id, row_key, id, keys, size, bins`` for every row: the set of its shingles by name, its
+    prefix, its size and its members by bin."""
+    given = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            ids = pa.array([set_id(s) for s in sets], pa.int64())
+            keys = pa.array([prefix(s, *given.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            more = pa.array([len(s) for s in sets], pa.int64()), pa.array([bins(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, keys, *more], ["doc_id", "row_key", "id", "keys", "size", "bins"])
+
+    return texts.mapInArrow(run, "doc_id long, row_key string, id long, keys array<long>, size long, bins binary")
+
+
+def once(members: DataFrame) -> DataFrame:
+    """Of buckets (key, lo, hi) with the same sets on the same sides one stays."""
+    side = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("mine") == F.col("lo"), 1).otherwise(2)
+    named = members.groupBy("key", "lo", "hi").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", side)).alias("mark"))
+    named = stored(named.groupBy("n", "mark").agg(F.min(F.struct("key", "lo", "hi")).alias("b")).select(F.col("b.key").alias("k"), F.col("b.lo").alias("l"), F.col("b.hi").alias("h")))
+    return members.join(named, (F.col("key") == F.col("k")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))).drop("k", "l", "h")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """``key, lo, hi, mine, id``: the distinct sets that share a key. Those of a large bucket are dealt
+    to chunks, and each pair of chunks, a chunk with itself included, is a bucket of its own."""
+    probed = rows.select("id", F.explode("keys").alias("key"))
+    shared = probed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    # stored, so the joins have shuffles of their own that can split a hot key
+    shared = stored(shared.select(F.col("key").alias("k")))
+    members = stored(probed.join(shared, F.col("key") == F.col("k")).select("key", "id").distinct())
+    sizes = stored(members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).withColumnRenamed("key", "k"))
+    found = members.join(sizes, F.col("key") == F.col("k"))
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("mine")
+    dealt = found.select("key", mine, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "id")
+    return once(stored(dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id")))
+
+
+def near_enough(sizes: np.ndarray, counts: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+    """Which sets may be alike to another one, on the other side if ``first`` says the sides."""
+    kept = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes)):
+        if not kept[i]:
+            # sets of a and b members that differ in d have similarity (a + b - d) / (a + b + d)
+            apart = np.abs(counts - counts[i]).sum(axis=1, dtype=np.int64)
+            near = 9 * apart <= sizes + sizes[i]
+            near[i] = False
+            if first is not None:
+                near &= first != first[i]
+            if near.any():
+                kept |= near
+                kept[i] = True
+    return kept
+
+
+def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose sets may be alike to another of their bucket, from rows sorted by bucket."""
+    names = ["key", "lo", "hi", "mine", "id"]
+
+    def each() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    out: list[tuple] = []
+    for (_, lo, hi), bucket in groupby(each(), key=lambda r: r[:3]):
+        bucket = list(bucket)
+        counts = np.frombuffer(b"".join(r[6] for r in bucket), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+        first = np.array([r[3] == lo for r in bucket]) if lo != hi else None
+        kept = near_enough(np.array([r[5] for r in bucket]), counts, first)
+        out += [bucket[i][:5] for i in np.flatnonzero(kept).tolist()]
+        if len(out) > FLUSH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+
+
+def sets_of(texts: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``name, grams``: the whole sets of the wanted ids, each worked out again from one row's text."""
+    one = rows.groupBy("id").agg(F.min("row_key").alias("rk")).join(wanted, "id", "left_semi")
+    found = texts.join(stored(one), F.col("row_key") == F.col("rk")).select("row_key", "id", "text").dropDuplicates(["row_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), grams], ["name", "grams"])
+
+    return found.select("id", "text").mapInArrow(run, "name long, grams array<long>")
+
+
+def forest(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
+    """Positions of a spanning forest of the links among sets. With ``split`` only links between
+    the first ``split`` and the rest count."""
+    sizes = np.array([len(s) for s in sets])
+    values, member = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    first = np.arange(len(sets)) < split
+    left = np.ones(len(sets), dtype=bool)
+    has = np.zeros(len(values), dtype=bool)
+    while left.any():
+        front = [int(left.argmax())]
+        left[front[0]] = False
+        while front and left.any():
+            i = front.pop()
+            mine = member[starts[i] : starts[i] + sizes[i]]
+            has[mine] = True
+            near = left & alike(np.add.reduceat(has[member].astype(np.int64), starts), sizes, sizes[i])
+            has[mine] = False
+            if split:
+                near &= first != first[i]
+            for j in np.flatnonzero(near).tolist():
+                yield i, j
+                front.append(j)
+            left &= ~near
+
+
+def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` of a spanning forest of each bucket, from rows sorted by key, lo, hi, mine. A
+    bucket may go on over batches; it has about 2 * CHUNK rows at most."""
+
+    def each() -> Iterator[tuple]:
+        for b in batches:
+            grams, at = b.column(5).values.to_numpy(), b.column(5).offsets.to_numpy()
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                yield (*row, grams[at[k] : at[k + 1]])
+
+    out: list[tuple[int, int]] = []
+    for (_, lo, hi), bucket in groupby(each(), key=lambda r: r[:3]):
+        bucket = list(bucket)
+        split = sum(r[3] == lo for r in bucket) if lo != hi else 0
+        out += [(bucket[i][4], bucket[j][4]) for i, j in forest([r[5] for r in bucket], split)]
+        if len(out) > FLUSH:
+            yield _pairs(out)
+            out = []
+    yield _pairs(out)
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links ``a, b`` among set ids that span the same components as all pairs of similarity 4/5."""
+    bucket = ["key", "lo", "hi"]
+    named = rows.select(F.col("id").alias("name"), "size", "bins").dropDuplicates(["name"])
+    sketched = buckets(rows).join(named, F.col("id") == F.col("name")).select(*bucket, "mine", "id", "size", "bins")
+    kept = sketched.repartition(*bucket).sortWithinPartitions(*bucket, "mine").mapInArrow(survivors, "key long, lo long, hi long, mine long, id long")
+    kept = stored(once(stored(kept)))
+    sets = stored(sets_of(texts, rows, kept.select("id").distinct()))
+    whole = kept.join(sets, F.col("id") == F.col("name")).select(*bucket, "mine", "id", "grams")
+    return whole.repartition(*bucket).sortWithinPartitions(*bucket, "mine").mapInArrow(links, "a long, b long")
+
+
+def components(docs: DataFrame, row_key) -> DataFrame:
+    """``doc_id, row_key, root`` for every row of ``doc_id, text``: rows that a chain of near copies
+    joins have one root. Copies fall together by their set; texts without words are one set."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key.alias("row_key"), text_or_empty().alias("text"))
+    rows = stored(keyed(texts))
+    found = stored(roots(linked(texts, rows)).where("id <> root"))
+    return rows.join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("root"))

@@ -1,0 +1,69 @@
+import random
+
+from docloom.llm import near_copies as c
+from docloom.llm import simhash_pigeonhole as s
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        ws = (t or "").lower().split()
+        out.append(frozenset(" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else frozenset())
+    return out
+
+
+def brute_components(texts):
+    sets = brute_sets(texts)
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [top(i) for i in range(len(sets))]
+
+
+def near(rng, words, changes):
+    words = list(words)
+    for k in rng.sample(range(len(words)), changes):
+        words[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def corpus():
+    rng = random.Random(3)
+    line = "this line is in very many of the texts".split()
+    texts = [None, "", " \t", "one", "one two", "a b c d e"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(6, 250))] + line
+        texts += [" ".join(words), " ".join(words)] + [near(rng, words, k) for k in range(1, min(6, len(words)))]
+        texts.append(" ".join(words[: len(words) * 9 // 10]))
+    seed = [f"h{k}" for k in range(80)]
+    return texts + [near(rng, seed, rng.randrange(1, 4)) for _ in range(60)]
+
+
+def test_stage_matches_brute_force_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(c, "CHUNK", 7)
+    texts = corpus()
+    want = brute_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in s.one_of_each(spark, df, "").collect()}
+    assert got == set(want) and len(got) < len(texts) // 2
+
+
+def test_stage_drops_a_near_copy_that_three_bits_miss(spark):
+    """A copy at a Jaccard similarity of 0.85 or so, beyond op7's radius."""
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(240)]
+    for _ in range(50):
+        copy = near(rng, words, 4)
+        if (s.fingerprint(" ".join(words)) ^ s.fingerprint(copy)).bit_count() > 3:
+            break
+    df = spark.createDataFrame([(1, " ".join(words)), (2, copy), (3, near(rng, words, 40))], "doc_id long, text string")
+    assert {r.doc_id for r in s.one_of_each(spark, df, "").collect()} == {1, 3}
