@@ -2,8 +2,14 @@
 
 P(w | before) = P(class of w | class of before) * P(w | class of w). Exchange clustering assigns
 words to classes: each word in turn goes to the class that raises the likelihood of the training
-text's class bigrams most. Frequent words are clustered one by one; all other words, unseen ones
-included, by their ending, so every word has a class. Counts are of the whole training text.
+text's class bigrams most. The most frequent words are exchanged against each other; every other
+word of the training text then goes to the class under which its own neighbours' classes are
+likeliest, which is the same gain to first order. Words that training never saw take the class that
+most of the rare words with their ending have. Counts are of the whole training text.
+
+Texts are coded once, each word by its place in a bounded lookup of the most frequent words; what
+follows works on these numbers. Words outside the lookup are rows of a table: their counts and classes
+are aggregated and joined by Spark, never held by a task.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +27,22 @@ from pyspark.sql import functions as F
 from docloom.llm.common import stored, table, text_or_empty
 
 CLASSES = 64
-#: Words clustered one by one, and endings clustered for all others.
+#: The last class is the end's alone; the one before it holds words until they have a class, and in
+#: the end those of which no neighbour has one.
+END_CLASS, OPEN_CLASS = CLASSES - 1, CLASSES - 2
+#: Words that are exchanged with each other, and endings that unseen words are classed by.
 FREQUENT, ENDINGS = 4096, 1024
-#: Words whose counts every task holds: the most frequent ones of LOOKUP_BYTES bytes at most,
-#: which bounds what is broadcast. All other words' counts come by a join.
+#: Words that every task knows: the most frequent ones of LOOKUP_BYTES bytes at most, which bounds
+#: what is broadcast. All other words' counts and classes come by a join.
 LOOKUP, LOOKUP_BYTES = 100_000, 64
-#: Passes over all units, each in so many turns: what moves in one turn moves at once.
+#: Passes over all units at most, each in so many turns: what moves in one turn moves at once. They end
+#: when a pass adds less than a thousandth of the gain so far.
 ROUNDS, TURNS = 3, 8
 DELTA = 0.1
 #: A task's counts are handed on when it holds this many.
 FLUSH = 400_000
+#: Tokens whose bigrams are sorted at once.
+CHUNK = 1 << 22
 
 
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,101 +78,101 @@ def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
-# --- units: what is clustered ------------------------------------------------------------------
-
-
-@dataclass
-class Units:
-    """Frequent words, then endings (the last two characters), then one for all other words, and
-    last the end of a text."""
-
-    of_word: dict[str, int]
-    of_ending: dict[str, int]
-
-    @property
-    def other(self) -> int:
-        return len(self.of_word) + len(self.of_ending)
-
-    @property
-    def end(self) -> int:
-        return self.other + 1
-
-    def of(self, word: str) -> int:
-        unit = self.of_word.get(word)
-        return self.of_ending.get(word[-2:], self.other) if unit is None else unit
+# --- the lookup, and texts as its numbers --------------------------------------------------------
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of the highest counts ``n``, ``most`` at most: whole steps of a sixteenth of a
-    power of two, of which there are about a thousand, as many as fit. Tasks thus send what is
-    kept and no more, where a sorted limit would have each of them send ``most`` rows."""
+    """The ``most`` rows of the highest counts ``n``, of equal counts those of the smaller words.
+
+    Whole steps of a sixteenth of a power of two are taken, of which there are about a thousand, as
+    many as fit, and the room left is filled from the next one by a sorted limit. Tasks thus send
+    what is kept and a step, where a limit alone would have each of them send ``most`` rows."""
     step = F.floor(16 * F.log2("n"))
-    room, least = most, None
+    room, least, next_step = most, None, None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.step):
-        room -= r.rows
-        if room < 0:
+        if r.rows > room:
+            next_step = r.step
             break
-        least = r.step
-    return counts.where(step >= least) if least is not None else counts.where("false")
-
+        room, least = room - r.rows, r.step
+    whole = counts.where(step >= least) if least is not None else counts.where("false")
+    if next_step is None or not room:
+        return whole
+    return whole.unionByName(counts.where(step == next_step).orderBy(F.desc("n"), counts.columns[0]).limit(room))
 
-def units(counts: DataFrame) -> Units:
-    """The most frequent words and, of all words, the most frequent endings."""
-    top = most_frequent(counts.where(F.octet_length("word") <= LOOKUP_BYTES), FREQUENT).collect()
-    of_word = {w: k for k, w in enumerate(sorted(r.word for r in top))}
-    ends = stored(counts.groupBy(F.right("word", F.lit(2)).alias("ending")).agg(F.sum("n").alias("n")))
-    ends = sorted(r.ending for r in most_frequent(ends, ENDINGS).collect())
-    return Units(of_word, {e: len(of_word) + k for k, e in enumerate(ends)})
 
+class Places(dict):
+    """Word to its place; -1 for all others."""
 
-def unit_totals(counts: DataFrame, u) -> np.ndarray:
-    """Tokens and distinct words of each unit, from all counted words."""
+    def __missing__(self, word: str) -> int:
+        return -1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((u.value.end + 1, 2), dtype=np.int64)
-        for b in batches:
-            at = np.fromiter((u.value.of(w) for w in b.column(0).to_pylist()), dtype=np.int64, count=b.num_rows)
-            np.add.at(total[:, 0], at, b.column(1).to_numpy())
-            np.add.at(total[:, 1], at, 1)
-        k = np.flatnonzero(total[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k, 0]), pa.array(total[k, 1])], ["unit", "n", "v"])
 
-    rows = counts.select("word", "n").mapInArrow(run, "unit long, n long, v long")
-    out = np.zeros((u.value.end + 1, 2), dtype=np.int64)
-    for r in rows.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        out[r.unit] = r.n, r.v
-    return out
+CODED = "row long, doc_id long, held_out boolean, ids binary, rare array<string>"
 
 
-def unit_bigrams(texts: DataFrame, u) -> DataFrame:
-    """``a, b, n``: how often unit b follows unit a; the end of a text stands before its first
-    word. Counted in each task before the shuffle."""
+def coded(docs: DataFrame, places: Places) -> DataFrame:
+    """A row for each text: the places of its words, and those words that have none, in order."""
+    given = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, of, end = u.value.end + 1, u.value.of, u.value.end
-        memo: dict[str, int] = {}
-        codes: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for t in batch.column(0):
-                if len(memo) > FLUSH:
-                    memo = {}
-                seq = [end, *(memo[w] if w in memo else memo.setdefault(w, of(w)) for w in words(t.as_py())), end]
-                seq = np.array(seq, dtype=np.int64)
-                codes.append(seq[:-1] * size + seq[1:])
-                held += len(seq)
-                if held > 4 * 10**6:
-                    yield _pairs(codes, size)
-                    codes, held = [], 0
-        if codes:
-            yield _pairs(codes, size)
-
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _pairs(codes: list[np.ndarray], size: int) -> pa.RecordBatch:
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+        from pyspark import TaskContext
+
+        row, place = TaskContext.get().partitionId() << 33, given.value.__getitem__
+        for b in batches:
+            ids, rare = [], []
+            for t in b.column(2):
+                ws = words(t.as_py())
+                at = np.fromiter(map(place, ws), dtype="<i4", count=len(ws))
+                ids.append(at.tobytes())
+                rare.append([ws[i] for i in np.flatnonzero(at < 0).tolist()])
+            arrays = [pa.array(range(row, row + len(ids)), pa.int64()), b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in CODED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, CODED)
+
+
+def sequence(ids: pa.Array, n: int) -> np.ndarray:
+    """The texts one after another: places, n for the end that stands before, between and after
+    them, n + 1 for a word without a place."""
+    end = np.array([n], dtype=np.int64)
+    parts = [end]
+    for x in ids.to_pylist():
+        parts += [np.frombuffer(x, "<i4").astype(np.int64), end]
+    seq = np.concatenate(parts)
+    seq[seq < 0] = n + 1
+    return seq
+
+
+def _tally(batches: Iterator[pa.RecordBatch], codes) -> Iterator[pa.RecordBatch]:
+    """``code, n`` of the numbers that ``codes`` makes of each batch, counted in the task."""
+    held, n = [], 0
+    for b in batches:
+        held.append(codes(b))
+        n += len(held[-1])
+        if n > CHUNK:
+            yield _counted(held)
+            held, n = [], 0
+    if n:
+        yield _counted(held)
+
+
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+
+
+def unit_bigrams(ids: DataFrame, units: np.ndarray, size: int) -> DataFrame:
+    """``a, b, n``: how often unit b follows unit a. ``units`` maps places, the end and words without
+    a place to units."""
+    given, n = ids.sparkSession.sparkContext.broadcast(units), len(units) - 2
+
+    def codes(b: pa.RecordBatch) -> np.ndarray:
+        u = given.value[sequence(b.column(0), n)]
+        return u[:-1] * size + u[1:]
+
+    rows = ids.mapInArrow(lambda batches: _tally(batches, codes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.select(F.floor(F.col("code") / size).cast("int").alias("a"), (F.col("code") % size).cast("int").alias("b"), "n")
 
 
 # --- exchange clustering -----------------------------------------------------------------------
@@ -217,19 +229,28 @@ def class_table(bigrams: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def exchange(bigrams: DataFrame, size: int, order: np.ndarray, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each of ``size`` units (the last, the end of a text, is alone in the last
-    class). Units start in turn by ``order``, most frequent first; in every turn the tasks move one
-    eighth of the units, another each time, to their best classes given those before the turn: were
-    all to move at once, they would crowd into the same few classes."""
-    classes = np.zeros(size, dtype=np.int64)
-    classes[order] = np.arange(len(order)) % (k - 1)
-    classes[size - 1] = k - 1
+def likelihood(counts: np.ndarray) -> float:
+    """Of class bigrams: what exchange raises."""
+    return float(_xlogx(counts.astype(float)).sum() - _xlogx(counts.sum(axis=0).astype(float)).sum() - _xlogx(counts.sum(axis=1).astype(float)).sum())
+
+
+def exchange(bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """The class of each of ``size`` units, and the likelihood before every turn. Units are numbered by
+    frequency; the last one, the end of a text, is alone in the last class, and the one before it, all
+    words that aren't exchanged, stays in the class before that. Units start in turn; in every turn the
+    tasks move one eighth of them, another each time, to their best classes given those before the
+    turn: were all to move at once, they would crowd into the same few classes."""
+    classes = np.arange(size, dtype=np.int64) % (k - 2)
+    classes[size - 2 :] = k - 2, k - 1
     sides = stored(_sides(bigrams))
     sc = bigrams.sparkSession.sparkContext
-    moved_in_round = 0
+    history: list[float] = []
     for n in range(TURNS * rounds):
-        given = sc.broadcast((classes, class_table(bigrams, classes, k)))
+        counts = class_table(bigrams, classes, k)
+        history.append(likelihood(counts))
+        if n % TURNS == 0 and n and history[-1] - history[-1 - TURNS] <= 1e-3 * (history[-1] - history[0]):
+            break
+        given = sc.broadcast((classes, counts))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = n % TURNS, given=given) -> Iterator[pa.RecordBatch]:
             c, counts = given.value
@@ -238,138 +259,303 @@ def exchange(bigrams: DataFrame, size: int, order: np.ndarray, k: int = CLASSES,
                 entries, at = b.column(1).values, b.column(1).offsets.to_numpy()
                 fields = [entries.field(f).to_numpy() for f in ("other", "side", "n")]
                 for unit, s, e in zip(b.column(0).to_pylist(), at, at[1:]):
-                    if unit != len(c) - 1 and (unit * 2654435761 >> 7) % TURNS == turn:
+                    if unit < len(c) - 2 and (unit * 2654435761 >> 7) % TURNS == turn:
                         to = _best(unit, *(f[s:e] for f in fields), c, counts, k)
                         if to != c[unit]:
                             moved.append((unit, to))
                 i, j = (np.array(x, dtype=np.int64) for x in (zip(*moved) if moved else ([], [])))
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], ["unit", "c"])
 
-        moves = sides.mapInArrow(run, "unit long, c long").collect()
         classes = classes.copy()
-        for r in moves:
+        for r in sides.mapInArrow(run, "unit long, c long").collect():
             classes[r.unit] = r.c
-        moved_in_round += len(moves)
-        if n % TURNS == TURNS - 1:
-            if not moved_in_round:
-                break
-            moved_in_round = 0
-    return classes
+    return classes, history
 
 
 def _best(unit: int, other: np.ndarray, side: np.ndarray, n: np.ndarray, classes: np.ndarray, counts: np.ndarray, k: int) -> int:
     own, c = other == unit, classes[other]
     before = np.bincount(c[~own & (side == 0)], n[~own & (side == 0)], k)
     after = np.bincount(c[~own & (side == 1)], n[~own & (side == 1)], k)
-    gain = gains(int(classes[unit]), before, after, float(n[own].sum()), counts)[: k - 1]
+    gain = gains(int(classes[unit]), before, after, float(n[own].sum()), counts)[: k - 2]
     return int(gain.argmax()) if gain.max() > 1e-6 else int(classes[unit])
 
 
+# --- classes of all other words ------------------------------------------------------------------
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For rows of words with counts of the classes before and after them the class under which these
+    are likeliest: sum of log P(class | before), of log P(after | class), and of log P(word | class).
+    A word whose neighbours have no class stays in the open class."""
+    log_p = np.log(counts + DELTA) - np.log(counts.sum(axis=1, keepdims=True) + DELTA * len(counts))
+    size = np.log(counts.sum(axis=0) + 1.0)
+    score = before @ log_p + after @ log_p.T - n[:, None] * size
+    best = score[:, :OPEN_CLASS].argmax(axis=1)
+    return np.where((before + after).sum(axis=1) > 0, best, OPEN_CLASS)
+
+
+def _context(entries: pa.Array, a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of class counts before and after each word, from lists of (class before, class after, n)
+    where a class of -1 is none."""
+    at, values = entries.offsets.to_numpy(), entries.values
+    row = np.repeat(np.arange(len(entries)), np.diff(at))
+    first = at[0] if len(at) else 0
+    out = []
+    for name in (a, b):
+        c, n = (values.field(f).to_numpy()[first : first + len(row)] for f in (name, "n"))
+        x = np.zeros((len(entries), CLASSES))
+        has = (c >= 0) & (c != OPEN_CLASS)
+        np.add.at(x, (row[has], c[has]), n[has])
+        out.append(x)
+    return out[0], out[1]
+
+
+def classed(contexts: DataFrame, key: str, kind: str, counts: np.ndarray, rows: int = 1) -> DataFrame:
+    """``key, n, c, e`` from ``key, before, after, n``, which counts each token in so many rows: every
+    word's count, class and contexts, of which it has as many as there are pairs of classes at most."""
+    given = contexts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, after = _context(b.column(2), "before", "after")
+            c = best_classes(before, after, b.column(1).to_numpy().astype(float), given.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.astype(np.int32)), b.column(2)], [key, "n", "c", "e"])
+
+    entry = "array<struct<before:int,after:int,n:bigint>>"
+    words = contexts.groupBy(key, "before", "after").agg(F.sum("n").alias("n"))
+    words = words.groupBy(key).agg((F.sum("n") / rows).cast("long").alias("total"), F.collect_list(F.struct("before", "after", "n")).alias("e"))
+    return words.mapInArrow(run, f"{key} {kind}, n long, c int, e {entry}")
+
+
+def place_contexts(ids: DataFrame, classes: np.ndarray) -> DataFrame:
+    """``place, before, after, n`` of the words in the lookup that have no class yet: each side of a
+    token is counted on its own, with -1 for the other one."""
+    given, n = ids.sparkSession.sparkContext.broadcast(classes), len(classes) - 2
+
+    def codes(b: pa.RecordBatch) -> np.ndarray:
+        seq = sequence(b.column(0), n)
+        c = given.value[seq]
+        at = np.flatnonzero((c == OPEN_CLASS) & (seq < n))
+        place = 2 * seq[at]
+        return np.concatenate([place * CLASSES + c[at - 1], (place + 1) * CLASSES + c[at + 1]])
+
+    rows = ids.mapInArrow(lambda batches: _tally(batches, codes), "code long, n long")
+    side, c = F.floor(F.col("code") / CLASSES) % 2, (F.col("code") % CLASSES).cast("int")
+    return rows.select(F.floor(F.col("code") / (2 * CLASSES)).cast("int").alias("place"), F.when(side == 0, c).otherwise(-1).alias("before"), F.when(side == 1, c).otherwise(-1).alias("after"), "n")
+
+
+def class_bigrams(ids: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of class bigrams of which both words are in the lookup (or ends)."""
+    given, n = ids.sparkSession.sparkContext.broadcast(classes), len(classes) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES**2, dtype=np.int64)
+        for b in batches:
+            seq = sequence(b.column(0), n)
+            c, has = given.value[seq], (seq[:-1] <= n) & (seq[1:] <= n)
+            out += np.bincount((c[:-1] * CLASSES + c[1:])[has], minlength=CLASSES**2)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["cell", "n"])
+
+    return _cells(ids.mapInArrow(run, "cell long, n long"))
+
+
+def _cells(rows: DataFrame) -> np.ndarray:
+    out = np.zeros(CLASSES**2, dtype=np.int64)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out.reshape(CLASSES, CLASSES)
+
+
+RARE = "row long, held_out boolean, word string, before int, after int, next string"
+
+
+def rare_tokens(texts: DataFrame, classes: np.ndarray) -> DataFrame:
+    """A row for each token outside the lookup: the classes of its neighbours, -1 where these are
+    outside too, and in ``next`` the word after it if that is."""
+    given, n = texts.sparkSession.sparkContext.broadcast(classes), len(classes) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq = sequence(b.column(3), n)
+            at = np.flatnonzero(seq > n)
+            c = np.where(seq > n, -1, given.value[seq]).astype(np.int32)
+            lists = b.column(4)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            word = lists.flatten()
+            follows = seq[at + 1] > n if len(at) else np.zeros(0, dtype=bool)
+            follow = word.take(pa.array(np.arange(1, len(at) + 1).clip(max=max(0, len(at) - 1)), mask=~follows))
+            pick = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(2).take(pick), word, pa.array(c[at - 1]), pa.array(c[at + 1]), follow], [x.split()[0] for x in RARE.split(", ")])
+
+    return texts.mapInArrow(run, RARE)
+
+
+def rare_bigrams(known: DataFrame, rare: DataFrame) -> np.ndarray:
+    """Counts of class bigrams of which at least one word is outside the lookup, in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES**2, dtype=np.int64)
+        for b in batches:
+            lists, values = b.column(1), b.column(1).flatten()
+            c = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())).astype(np.int64)
+            before, after, n = (values.field(f).to_numpy() for f in ("before", "after", "n"))
+            np.add.at(out, (before * CLASSES + c)[before >= 0], n[before >= 0])
+            np.add.at(out, (c * CLASSES + after)[after >= 0], n[after >= 0])
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["cell", "n"])
+
+    one = known.select("c", "e").mapInArrow(run, "cell long, n long")
+    pairs = stored(rare.where("not held_out and next is not null").groupBy("word", "next").agg(F.count("*").alias("n")))
+    left, right = (known.select(F.col("word").alias(f"w{x}"), F.col("c").alias(f"c{x}")) for x in "12")
+    pairs = pairs.join(left, F.col("word") == F.col("w1")).join(right, F.col("next") == F.col("w2"))
+    return _cells(one.unionByName(pairs.select((F.col("c1") * CLASSES + F.col("c2")).cast("long").alias("cell"), "n")))
+
+
 # --- the model and its scores ------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """What a task needs to score a text. ``words`` maps a frequent word to its place in the
-    arrays; a word that isn't there costs ``rare_*`` by class, and log10(count + DELTA) of it is
-    added by a join."""
+    """What a task needs to score texts: counts and classes of the words in the lookup, whose places
+    are followed by the end's, class bigrams and classes' sizes."""
 
-    units: Units
-    classes: np.ndarray
-    words: dict[str, int]
     log_count: np.ndarray
-    word_class: np.ndarray
+    classes: np.ndarray
     transition: np.ndarray
     class_norm: np.ndarray
     base_norm: float
-    end_count: int
+    ends: int
     train_tokens: int
+    history: list[float] = field(default_factory=list)
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the stored ``word, n`` counts, from ``doc_id, text`` rows not held out."""
-    texts = docs.where(~held_out()).select(text_or_empty().alias("text"))
-    sc = docs.sparkSession.sparkContext
-    counts = stored(word_counts(texts))
-    u = units(counts)
-    shared = sc.broadcast(u)
-    totals = unit_totals(counts, shared)
-    n_docs = texts.count()
-    totals[u.end] = n_docs, 1 if n_docs else 0
-    bigrams = stored(unit_bigrams(texts, shared))
-    order = np.argsort(-totals[: u.end, 0], kind="stable")
-    classes = exchange(bigrams, u.end + 1, order)
-    pairs = class_table(bigrams, classes, CLASSES)
+@dataclass
+class Fitted:
+    """The model, the words of its lookup by place, and stored tables: all texts as numbers, tokens
+    outside the lookup, the counts and classes of the words among them (``word, n, c``), and endings'
+    classes (``ending, ec``)."""
+
+    model: Model
+    listed: list[str]
+    texts: DataFrame
+    rare: DataFrame
+    known: DataFrame
+    endings: DataFrame
+
+
+def fit(docs: DataFrame) -> Fitted:
+    """From ``doc_id, text`` rows: the model of those that aren't held out."""
+    train = docs.where(~held_out()).select(text_or_empty().alias("text"))
+    counts = stored(word_counts(train))
+    top = most_frequent(counts.where(F.octet_length("word") <= LOOKUP_BYTES), LOOKUP).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    listed, n_listed = top["word"].tolist(), top["n"].to_numpy(dtype=np.int64)
+    size, frequent = len(listed), min(FREQUENT, len(listed))
+    texts = stored(coded(docs, Places((w, i) for i, w in enumerate(listed))))
+    ids = texts.where("not held_out").select("ids")
+    n_docs = ids.count()
+
+    units = np.full(size + 2, frequent, dtype=np.int64)
+    units[:frequent], units[size] = np.arange(frequent), frequent + 1
+    found, history = exchange(stored(unit_bigrams(ids, units, frequent + 2)), frequent + 2)
+    classes = found[units]
+    classes[size + 1] = OPEN_CLASS
+    if size > frequent:
+        more = classed(place_contexts(ids, classes), "place", "int", class_bigrams(ids, classes), 2).select("place", "c").toPandas()
+        classes[more["place"].to_numpy()] = more["c"].to_numpy()
+
+    rare = stored(rare_tokens(texts, classes))
+    pairs = class_bigrams(ids, classes)
+    contexts = rare.where("not held_out").select("word", "before", "after", F.lit(1).cast("long").alias("n"))
+    known = stored(classed(contexts, "word", "string", pairs))
+    pairs = pairs + rare_bigrams(known, rare)
+    tokens = np.bincount(classes[:size], n_listed, CLASSES) if size else np.zeros(CLASSES)
+    kinds = np.bincount(classes[:size], minlength=CLASSES).astype(float)
+    for r in known.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        tokens[r.c] += r.n
+        kinds[r.c] += r.kinds
+    tokens[END_CLASS], kinds[END_CLASS] = n_docs, n_docs > 0
+    n, v = int(tokens.sum()), int(kinds.sum())
     transition = np.log10(pairs + DELTA) - np.log10(pairs.sum(axis=1, keepdims=True) + DELTA * CLASSES)
-    tokens = np.bincount(classes, totals[:, 0], CLASSES)
-    kinds = np.bincount(classes, totals[:, 1], CLASSES)
-    n, v = int(totals[:, 0].sum()), int(totals[:, 1].sum())
-    top = most_frequent(counts.where(F.octet_length("word") <= LOOKUP_BYTES), LOOKUP).toPandas().sort_values("word")
-    listed = top["word"].tolist()
-    word_class = np.fromiter((classes[u.of(w)] for w in listed), dtype=np.int16, count=len(listed))
-    return Model(
-        u, classes, {w: k for k, w in enumerate(listed)}, np.log10(top["n"].to_numpy(dtype=float) + DELTA), word_class,
-        transition, np.log10(tokens + DELTA * (kinds + 1)), math.log10(n + DELTA * (v + 1)), n_docs, n,
-    ), counts
-
-
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>"
-
-
-def _score(m: Model, text: str) -> tuple:
-    """Tokens, known tokens, base and model score without the counts of rare words, and these
-    words, one for each time. The end's own class makes its emission certain but for smoothing."""
-    ws = words(text)
-    at = np.fromiter((m.words.get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
-    rare_at = np.flatnonzero(at < 0)
-    rare = [ws[i] for i in rare_at]
-    c = m.word_class[at].astype(np.int64) if len(m.word_class) else np.zeros(len(ws), dtype=np.int64)
-    c[rare_at] = [m.classes[m.units.of(w)] for w in rare]
-    end = CLASSES - 1
-    path = np.concatenate([[end], c, [end]])
-    counts = float(m.log_count[at[at >= 0]].sum()) + math.log10(m.end_count + DELTA)
-    score = float(m.transition[path[:-1], path[1:]].sum() - m.class_norm[path[1:]].sum()) + counts
-    return len(ws) + 1, len(ws) - len(rare) + (m.end_count > 0), counts - (len(ws) + 1) * m.base_norm, score, rare
+    model = Model(
+        np.log10(np.append(n_listed, n_docs) + DELTA), classes, transition, np.log10(tokens + DELTA * (kinds + 1)), math.log10(n + DELTA * (v + 1)), n_docs, n, history,
+    )
+    return Fitted(model, listed, texts, rare, known.select("word", "n", "c"), endings(known))
+
+
+def endings(known: DataFrame) -> DataFrame:
+    """``ending, ec``: of the most frequent last two characters of words outside the lookup the class
+    of most of their tokens; a stored table of ENDINGS rows at most."""
+    per = known.groupBy(F.right("word", F.lit(2)).alias("ending"), "c").agg(F.sum("n").alias("n"))
+    per = stored(per.groupBy("ending").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("best")))
+    return stored(most_frequent(per.select("ending", "n", (-F.col("best.c")).alias("ec")), ENDINGS).select("ending", "ec"))
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _listed_scores(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the words in the lookup and the ends give: counts, emissions, and transitions between them."""
+    n = len(m.log_count) - 1
+    for b in batches:
+        out = []
+        for x in b.column(3).to_pylist():
+            at = np.concatenate([[n], np.frombuffer(x, "<i4").astype(np.int64), [n]])
+            has = at >= 0
+            listed = at[1:][has[1:]]
+            counts = float(m.log_count[listed].sum())
+            c = m.classes[at]
+            both = has[:-1] & has[1:]
+            score = counts - float(m.class_norm[m.classes[listed]].sum()) + float(m.transition[c[:-1][both], c[1:][both]].sum())
+            out.append((len(at) - 1, len(listed) - (m.ends == 0), counts - (len(at) - 1) * m.base_norm, score))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), *columns], [c.split()[0] for c in SCORED.split(", ")])
+
+
+def _rare_scores(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each other token adds: its count, its emission, and the transitions on both of its sides."""
+    for b in batches:
+        n, c, before, after, following = (b.column(k).to_numpy() for k in range(1, 6))
+        counts = np.log10(n + DELTA)
+        score = counts - m.class_norm[c] + np.where(before >= 0, m.transition[before, c], 0) + np.where(after >= 0, m.transition[c, after], 0)
+        score += np.where(following >= 0, m.transition[c, following], 0)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((n > 0).astype(np.int64)), pa.array(counts), pa.array(score)], ["r", "known", "base_more", "score_more"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    The model is fitted on the rows that aren't held out. Words outside the bounded lookup are
-    stored with their row, counted by row and joined with the corpus counts; being rare they
-    have no hot key. Null texts are empty texts: one token, the end. A null doc_id hashes as an
-    empty string. Without training rows all counts are 0 and scores are finite. Repeated rows are
-    scored each; extra columns are left out."""
-    model, counts = fit(docs)
-    given = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            out = [_score(given.value, t.as_py()) for t in b.column(1)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            arrays = [pa.array(range(row, row + len(out)), pa.int64()), b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())]
-            arrays += [pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.string()))]
-            row += len(out)
-            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCORED.split(", ")])
-
-    part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCORED)
-    part = stored(part)
-    rare = part.select(F.col("row").alias("r"), F.explode("rare").alias("w"))
-    found = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy("r").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + DELTA)).alias("more"), F.count("n").alias("known")
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return part.join(found, F.col("row") == F.col("r"), "left").select(
+    The model is fitted on the rows that aren't held out. Tokens outside the bounded lookup are
+    joined with their words' counts and classes; both sides are stored, so a word that is frequent
+    and yet too long for the lookup is a key that the join can split. Null texts are empty texts: one
+    token, the end. A null doc_id hashes as an empty string. Without training rows all counts are 0
+    and scores are finite. Repeated rows are scored each; extra columns are left out."""
+    fitted = fit(docs)
+    model = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    own = fitted.texts.select("row", "doc_id", "held_out", "ids").mapInArrow(lambda b: _listed_scores(model.value, b), SCORED)
+
+    # the stored table of endings has a fixed number of rows at most
+    ends = F.broadcast(fitted.endings)
+    known = fitted.known
+    got = fitted.rare.join(known.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left").join(ends, F.right("word", F.lit(2)) == F.col("ending"), "left")
+    first = F.coalesce("c", "ec", F.lit(OPEN_CLASS)).alias("c")
+    got = got.select("row", "next", F.coalesce("n", F.lit(0)).alias("n"), first, "before", "after")
+    alone = got.where("next is null").select("row", "n", "c", "before", "after", F.lit(-1).alias("following"))
+    second = known.select(F.col("word").alias("w2"), F.col("c").alias("c2"))
+    pairs = got.where("next is not null").join(second, F.col("next") == F.col("w2"), "left").join(ends, F.right("next", F.lit(2)) == F.col("ending"), "left")
+    pairs = pairs.select("row", "n", "c", "before", "after", F.coalesce("c2", "ec", F.lit(OPEN_CLASS)).alias("following"))
+    added = alone.unionByName(pairs).mapInArrow(lambda b: _rare_scores(model.value, b), "r long, known long, base_more double, score_more double")
+    added = added.groupBy("r").agg(*[F.sum(c).alias(c) for c in ("known", "base_more", "score_more")])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return own.join(added, F.col("row") == F.col("r"), "left").select(
         "doc_id",
-        held_out().alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("n_known") + zero("known")).alias("n_known"),
+        F.lit(fitted.model.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("base_more")).alias("base_score"),
+        (F.col("score") + zero("score_more")).alias("score"),
     )
 
 

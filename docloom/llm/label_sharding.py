@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import numbered, stored, table, text_or_empty
 
 SHARDS = 24
-ROUNDS = 4
+#: Rounds at most; they end when nobody may move.
+ROUNDS = 8
 SEED = 97
 #: Moves are allowed by a hash of this many values, so quotas hold in parts of a million.
 GRAIN = 1_000_000
@@ -57,7 +58,7 @@ def allowed(load: np.ndarray, wishes: np.ndarray, quota: np.ndarray) -> np.ndarr
 
 
 def propagate(linked: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """Labels of the linked documents (``text_key, row, shard``) after some rounds.
+    """Labels of the linked documents (``text_key, row, tie, shard``) after some rounds.
 
     Documents without links never want to move and give way later, so a shard has room for
     linked documents up to its whole quota. Votes are
@@ -76,13 +77,13 @@ def propagate(linked: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Dat
             load[w.shard] += w.n
             if w.shard != w.to:
                 wishes[w.shard, w.to] += w.n
-        if not wishes.any():
-            break
         rate = np.floor(allowed(load, wishes, quota) * GRAIN).astype(int)
+        if not (rate * wishes).any():
+            break
         rates = F.array(*[F.array(*[F.lit(int(x)) for x in row]) for row in rate])
         go = F.pmod(_hash("row", F.lit(n)), GRAIN) < F.get(F.get(rates, F.col("shard")), F.col("to"))
         now = now.join(best, F.col("text_key") == F.col("group"))
-        now = stored(now.select("text_key", "row", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        now = stored(now.select("text_key", "row", "tie", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")))
     return now
 
 
@@ -91,25 +92,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 
     Law ``rows``: counts at most one apart, slots gapless from 0. Rows beyond a shard's quota
     (those without links first) go, group by group, to the shards that lack some. Rows with equal
-    texts are links whatever their ids; repeated rows count as two; null texts are empty texts. An
+    texts are links whatever their ids; repeated rows count as two and are told apart; null texts are empty texts. An
     empty table gives no rows; extra columns are left out."""
-    rows = stored(documents(docs))
+    # stored with a number of its own, which tells rows apart that repeat or whose hashes meet
+    rows = stored(documents(docs).withColumn("tie", F.monotonically_increasing_id()))
     groups = stored(rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("g")))
     start = F.pmod("row", F.lit(shards)).cast("int")
     rows = rows.join(groups, F.col("text_key") == F.col("g"), "left")
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "text_key", "row", start.alias("shard"), F.col("g").isNotNull().alias("linked")))
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "text_key", "row", "tie", start.alias("shard"), F.col("g").isNotNull().alias("linked")))
     quota = np.array(quotas(rows.count(), shards))
 
-    moved = propagate(rows.where("linked").select("text_key", "row", "shard"), quota, rounds)
-    moved = moved.select(F.col("row").alias("r"), F.col("shard").alias("to")).distinct()
-    rows = rows.join(moved, F.col("row") == F.col("r"), "left")
+    moved = propagate(rows.where("linked").select("text_key", "row", "tie", "shard"), quota, rounds)
+    moved = moved.select(F.col("tie").alias("r"), F.col("shard").alias("to"))
+    rows = rows.join(moved, F.col("tie") == F.col("r"), "left")
     rows = rows.withColumn("shard", F.coalesce("to", "shard")).drop("r", "to")
 
-    placed = numbered(rows.withColumn("free", ~F.col("linked")), ["shard"], ["free", "text_key", "row", "doc_id"], "slot")
+    placed = numbered(rows.withColumn("free", ~F.col("linked")), ["shard"], ["free", "text_key", "row", "tie"], "slot")
     quota_of = F.get(F.array(*[F.lit(int(q)) for q in quota]), F.col("shard"))
     loads = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     stay = placed.where(F.col("slot") < quota_of)
-    spare = numbered(placed.where(F.col("slot") >= quota_of).drop("slot"), [], ["text_key", "row", "doc_id"], "nth")
+    spare = numbered(placed.where(F.col("slot") >= quota_of).drop("slot"), [], ["text_key", "row", "tie"], "nth")
     have = [min(loads.get(s, 0), int(q)) for s, q in enumerate(quota)]
     upto = np.cumsum([int(q) - h for q, h in zip(quota, have)])
     hole = F.array(*[F.lit(int(x)) for x in upto])

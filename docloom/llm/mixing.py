@@ -13,16 +13,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, table, text_or_empty, words_of
+from docloom.llm.common import numbered, running, stored, table, text_or_empty, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 BLOCK_DOCS = 1024
 SHARDS = 16
+#: Groups of sources whose quotas the tree splits; a group's are then dealt among its sources.
+SOURCE_GROUPS = 256
 #: Documents that are shuffled among each other in one task, about.
 SLICE_DOCS = 4096
 SEED = 20240229
@@ -43,26 +45,55 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     A source's target is its weight times a common level, but at most ``most`` times its size;
     the level is the one at which the targets sum to ``share`` of all sizes, which is what
     sharing the excess again and again comes to. Sources are sorted by the ratio of cap to
-    weight; the level follows from running sums over them. These windows see a row for each
-    source, never documents."""
+    weight; the level follows from running sums over them, which are taken by ranges, so any
+    number of sources does."""
     per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    everything = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(everything.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank, len(weights)) + 1)
+    per = numbered(per, [], ["key"], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank"), len(weights)).cast("int") + 1)
     per = per.withColumn("w", weight).withColumn("cap", most * F.col("source_size").cast("double"))
-    ratio = F.struct((F.col("cap") / F.col("w")).alias("r"), "key")
-    before = everything.orderBy(ratio).rowsBetween(Window.unboundedPreceding, -1)
-    upward = everything.orderBy(ratio).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / F.sum("w").over(upward))
-    per = per.withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
-    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))
+    per = per.withColumn("ratio", F.col("cap") / F.col("w"))
+    per = running(per, [], ["ratio", "key"], {"cap": "caps_before", "w": "w_before"})
+    total = per.agg(F.sum("source_size"), F.sum("w")).first()
+    words, all_w = float(total[0] or 0), float(total[1] or 0)
+    level = (F.lit(share * words) - F.col("caps_before")) / (F.lit(all_w) - F.col("w_before"))
+    per = stored(per.withColumn("level", level).withColumn("capped", F.col("cap") <= level * F.col("w")))
+    common = per.agg(F.max(F.when(~F.col("capped"), F.col("level")))).first()[0] or 0.0
+    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.lit(common) * F.col("w")))
     return per.select("key", "source_size", "docs", target.alias("target"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` items out of good + bad are good, for any numbers: the odds of each
+    outcome follow from the mode by ratios of neighbours, out to where they no longer count, and
+    one uniform number picks among their sums."""
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    all_ = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (all_ + 2)))
+    spread = np.sqrt(draws * (good / all_) * (bad / all_) * ((all_ - draws) / max(1, all_ - 1)))
+    reach = int(12 * spread) + 40
+    up = np.arange(mode, min(high, mode + reach), dtype=float)  # log odds of k + 1 against k
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)  # of k - 1 against k
+    ups = np.log(good - up) + np.log(draws - up) - np.log(up + 1) - np.log(bad - draws + up + 1)
+    downs = np.log(down) + np.log(bad - draws + down) - np.log(good - down + 1) - np.log(draws - down + 1)
+    odds = np.exp(np.concatenate([np.cumsum(downs)[::-1], [0.0], np.cumsum(ups)]))
+    sums = np.cumsum(odds)
+    return mode - len(down) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right").clip(0, len(odds) - 1))
+
+
+def split_draw(rng: np.random.Generator, have: np.ndarray, draws: int) -> np.ndarray:
+    """A multivariate-hypergeometric draw of so many items, kind by kind."""
+    out, left = np.zeros(len(have), dtype=np.int64), int(have.sum())
+    for k, n in enumerate(have.tolist()):
+        left -= n
+        out[k] = hypergeometric(rng, n, left, draws)
+        draws -= int(out[k])
+    return out
+
+
 def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Exact quotas, shards by sources, that sum to ``counts``; shards' totals differ by at most
+    """Exact quotas, shards by kinds, that sum to ``counts``; shards' totals differ by at most
     one for each level of the tree."""
     out = np.zeros((shards, len(counts)), dtype=np.int64)
 
@@ -71,12 +102,7 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[lo] = have
             return
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        want = int(have.sum()) * (mid - lo) // (hi - lo)
-        # numpy draws from fewer than 10**9 items; of more, the even share is dealt first
-        sure = have // 10**6 * (have.sum() >= 10**9) * 10**6 * (mid - lo) // (hi - lo)
-        rest = have - sure * (hi - lo) // (mid - lo)
-        take = sure + rng.multivariate_hypergeometric(rest, want - int(sure.sum()), method="marginals")
+        take = split_draw(np.random.default_rng([seed, lo, hi]), have, int(have.sum()) * (mid - lo) // (hi - lo))
         split(lo, mid, take)
         split(mid, hi, have - take)
 
@@ -84,13 +110,28 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _tree(shards: int, seed: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def shard_bounds(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``k, bounds``: for each source how many of its draws the shards up to each one take, from
+    ``key, draws``. The tree splits the quotas of at most SOURCE_GROUPS groups of sources; within a
+    group each source draws its share of what is left of the group's quotas."""
+    group = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(SOURCE_GROUPS)).cast("int")
+    counts = stored(counts.withColumn("group", group))
+    totals = {r["group"]: r.n for r in counts.groupBy("group").agg(F.sum("draws").alias("n")).collect()}
+    ids = sorted(totals)
+    quotas = split_quotas(np.array([totals[g] for g in ids], dtype=np.int64), shards, seed)
+    of = {g: quotas[:, i] for i, g in enumerate(ids)}
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
-        quotas = split_quotas(rows["draws"].to_numpy(), shards, seed)
-        return pd.DataFrame({"k": rows["key"].to_numpy(), "bounds": list(np.cumsum(quotas, axis=0).T)})
+        g = int(rows["group"].iloc[0])
+        rng, left, bounds = np.random.default_rng([seed, 1, g]), of[g].copy(), []
+        for n in rows["draws"]:
+            mine = split_draw(rng, left, int(n))
+            left -= mine
+            bounds.append(np.cumsum(mine))
+        return pd.DataFrame({"k": rows["key"].to_numpy(), "bounds": bounds})
 
-    return run
+    return counts.groupBy("group").applyInPandas(deal, "k string, bounds array<long>")
 
 
 def _filled(rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +155,8 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, **shares) -> t
 
     Sources: ``key, source_size, docs, target, n_blocks``. Blocks: ``k, b, whole`` (shards of the
     block's whole draws), ``cut, cut_shard``: of the one block that a source's last pass takes in
-    part, the places (``at``) of the documents that are taken once more."""
+    part, the places (``at``) of the documents that are taken once more. A source's blocks are
+    summed and numbered by ranges of their permuted order, never in one task."""
     sources = targets(rows, **shares).withColumn("n_blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long"))
     sources = stored(sources)
     placed = with_blocks(rows, sources)
@@ -122,8 +164,7 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, **shares) -> t
     blocks = placed.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     blocks = blocks.withColumn("passes", full).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     order = lambda p: F.xxhash64(F.lit(seed), p, F.col("key"), F.col("block"))
-    before = Window.partitionBy("key").orderBy(order(F.col("passes")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = stored(blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))))
+    blocks = stored(running(blocks.withColumn("place", order(F.col("passes"))), ["key"], ["place", "block"], {"words": "before"}).drop("place"))
     room = F.col("rest") - F.col("before")
     cut = blocks.where((room > 0) & (room < F.col("words"))).select(F.col("key").alias("k"), F.col("block").alias("b"), room.alias("room"))
 
@@ -136,13 +177,12 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, **shares) -> t
     draws = draws.select("key", "block", "passes", "cut", "words", "before", "rest", F.explode(passes).alias("pass"))
     last = F.col("pass") == F.col("passes")
     draws = draws.where(~last | F.col("cut").isNotNull() | ((F.col("words") > 0) & (F.col("before") + F.col("words") <= F.col("rest"))))
-    number = Window.partitionBy("key").orderBy("pass", order(F.col("pass")), "block")
-    draws = draws.withColumn("number", F.row_number().over(number) - 1)
-    counts = draws.groupBy("key").agg(F.count("*").alias("draws"))
-    bounds = counts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_tree(shards, seed), "k string, bounds array<long>")
+    draws = draws.select("key", "block", "pass", order(F.col("pass")).alias("place"), last.alias("last"), "cut")
+    draws = numbered(draws, ["key"], ["pass", "place", "block"], "number")
+    bounds = shard_bounds(draws.groupBy("key").agg(F.count("*").alias("draws")), shards, seed)
     draws = draws.join(bounds, F.col("key") == F.col("k"))
     shard = F.size(F.filter("bounds", lambda x: x <= F.col("number")))
-    draws = draws.select("key", "block", "pass", shard.alias("shard"), F.when(last, F.col("cut")).alias("cut"))
+    draws = draws.select("key", "block", "pass", shard.alias("shard"), F.when(F.col("last"), F.col("cut")).alias("cut"))
     whole = F.transform(F.sort_array(F.collect_list(F.when(F.col("cut").isNull(), F.struct("pass", "shard")))), lambda x: x["shard"])
     drawn = draws.groupBy("key", "block").agg(whole.alias("whole"), F.first("cut", ignorenulls=True).alias("cut"), F.max(F.when(F.col("cut").isNotNull(), F.col("shard"))).alias("cut_shard"))
     return sources, stored(drawn.select(F.col("key").alias("k"), F.col("block").alias("b"), "whole", "cut", "cut_shard"))
@@ -173,8 +213,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All rows of ``docs`` that the mix takes, once for each time, dealt to shards and in a
     random order within each. Columns are those of ``docs``.
 
-    Everything is drawn by hashes of id and text, so reruns agree. Repeated rows fall into one
-    block and are taken alike. An empty table, or one without words, gives no rows; columns of
+    Everything is drawn by hashes of id and text, so reruns agree. A source's taken words come
+    within half a document of its target. Rows that repeat an id and its text fall into one block
+    and are taken all or none, so where the last pass meets such rows the target is met within
+    half of their words together. An empty table, or one without words, gives no rows; columns of
     any name pass through untouched."""
     _, sources, blocks = _planned(docs, shards, seed)
     rows = docs.select(F.struct("*").alias("row"), _key().alias("key"), _hash().alias("hash"))

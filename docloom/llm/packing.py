@@ -1,20 +1,32 @@
-"""Sum-of-squares online packing of documents into training windows."""
+"""Sum-of-squares online packing of documents into training windows.
+
+Every partition packs its own documents. What it leaves in partially filled windows goes on to a
+packer for a group of neighbouring partitions, which places it by the same rule, and so on until one
+group is left. Only what that last one leaves, as many windows as one packer holds open whatever the
+input's size, is cut up to fill windows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table, text_or_empty
+from docloom.llm.common import stored, table, text_or_empty
 from docloom.llm.word_ids import word_ids
 
 CAPACITY = 2048
+#: Groups of windows that are merged by one packer.
+FAN = 32
 END = np.array([1], dtype="<u4").tobytes()
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled_by string, part long"
+#: Who has filled a window: one long document alone, the rule, or the cutting of the last rest.
+DOCUMENT, RULE, REST = "document", "rule", "rest"
 ROWS_A_BATCH = 2_000
 
 
@@ -41,11 +53,11 @@ class SumOfSquares:
             level = c - size
         return level
 
-    def place(self, piece: tuple, size: int) -> list | None:
-        """Puts the piece into a window; returns the window's pieces if that has filled it."""
+    def place(self, pieces: list, size: int) -> list | None:
+        """Puts the pieces, together, into a window; returns its pieces if that has filled it."""
         level = self.level_for(size)
         window = self.open[level].pop() if level else []
-        window.append(piece)
+        window.extend(pieces)
         self.count[level] -= level > 0
         if level + size == self.capacity:
             return window
@@ -53,11 +65,10 @@ class SumOfSquares:
         self.open[level + size].append(window)
         return None
 
-    def rest(self) -> Iterator[tuple]:
-        """The pieces of all open windows, fullest windows first."""
+    def rest(self) -> Iterator[list]:
+        """All open windows, fullest first."""
         for windows in reversed(self.open):
-            for window in windows:
-                yield from window
+            yield from windows
 
 
 def cut(pieces: Iterator[tuple], capacity: int) -> Iterator[list]:
@@ -87,60 +98,108 @@ def cut(pieces: Iterator[tuple], capacity: int) -> Iterator[list]:
         yield out
 
 
-def windows(docs: Iterator[tuple], encode, capacity: int) -> Iterator[list]:
-    """Full windows, and at last those of powers of two, of (document, text) pairs."""
+def windows(docs: Iterator[tuple], encode, capacity: int) -> Iterator[tuple[str | None, list]]:
+    """(who filled it, pieces) for each window of (document, text) pairs; nobody (None) has filled
+    those that come last, the open ones. A document's full windows are cut off first."""
     packer = SumOfSquares(capacity)
     for doc, text in docs:
         ids = encode(text) + END
         total = len(ids) // 4
         whole = total - total % capacity
         for start in range(0, whole, capacity):
-            yield [(doc, start, ids[4 * start : 4 * (start + capacity)], total)]
-        if total > whole and (full := packer.place((doc, whole, ids[4 * whole :], total), total - whole)):
-            yield full
-    yield from cut(packer.rest(), capacity)
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of ``doc_id, text`` rows: a row for each run of a document's ids in one window,
-    with the ids themselves (little-endian unsigned 32-bit).
+            yield DOCUMENT, [(doc, start, ids[4 * start : 4 * (start + capacity)], total)]
+        if total > whole and (full := packer.place([(doc, whole, ids[4 * whole :], total)], total - whole)):
+            yield RULE, full
+    for window in packer.rest():
+        yield None, window
 
-    Each partition of the input packs its own documents, so nothing is shuffled. A document's
-    full windows are cut off first; its rest goes to a window by the sum-of-squares rule. The
-    windows still open at the end of a partition, as many as that rule leaves, are cut up and
-    joined, so that no sequence needs padding. A null or empty text is the end id alone; a null
-    doc_id stays null; repeated rows are documents of their own. Extra columns are left out.
-    Sequence ids are unique: the partition's number and a number within it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merged(held: list[list], capacity: int, last: bool) -> Iterator[tuple[str | None, list]]:
+    """As ``windows``, from the pieces of open windows, which are placed one by one again: windows
+    that are over half full would not fit each other. The last packer cuts up its rest."""
+    packer = SumOfSquares(capacity)
+    for window in held:
+        for piece in window:
+            if full := packer.place([piece], len(piece[2]) // 4):
+                yield RULE, full
+    if last:
+        for window in cut((p for w in packer.rest() for p in w), capacity):
+            yield REST, window
+    else:
+        for window in packer.rest():
+            yield None, window
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """Pieces of ``doc_id, text`` rows: a row for each run of a document's ids in one window, with
+    the ids themselves (little-endian unsigned 32-bit; null unless ``with_ids``) and their CRC-32.
+
+    The rows that a pass has finished are stored and never move; only open windows are shuffled,
+    a few hundred for each partition, so every later pass is smaller by the factor FAN. A null or
+    empty text is the end id alone; a null doc_id stays null; repeated rows are documents of their
+    own; an empty table gives no rows; extra columns are left out. Sequence ids are unique: the
+    pass, the partition or group, and a number within it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = word_ids(tokenizer).encode
-        first = TaskContext.get().partitionId() << 33
-        rows = ((d.as_py(), t.as_py()) for b in batches for d, t in zip(b.column(0), b.column(1)))
-        out: list[tuple] = []
-        for k, window in enumerate(windows(rows, encode, capacity)):
-            at = 0
-            for doc, start, ids, total in window:
-                out.append((doc, start, len(ids) // 4, ids, total, first + k, at))
-                at += len(ids) // 4
-            if len(out) >= ROWS_A_BATCH:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+        part = TaskContext.get().partitionId()
+        pairs = ((d.as_py(), t.as_py()) for b in batches for d, t in zip(b.column(0), b.column(1)))
+        yield from _batches(windows(pairs, word_ids(tokenizer).encode, capacity), 0, part, with_ids)
+
+    def later(number: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ("part", "sequence_id", "doc_id", "start", "ids", "doc_tokens")
+            given = (r for b in batches for r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names)))
+            for part, mine in groupby(given, key=lambda r: r[0]):
+                held = [[r[2:] for r in window] for _, window in groupby(mine, key=lambda r: r[1])]
+                yield from _batches(merged(held, capacity, last), number, part, with_ids)
+
+        return run
+
+    now, number, out = stored(rows.mapInArrow(first, SCHEMA)), 0, []
+    while True:
+        out.append(now.where("filled_by is not null"))
+        rest = now.where("filled_by is null").withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        most = rest.agg(F.max("part")).first()[0]
+        if most is None:
+            break
+        number += 1
+        order = ["part", "sequence_id", "offset"]
+        now = stored(rest.repartition("part").sortWithinPartitions(*order).mapInArrow(later(number, most == 0), SCHEMA))
+    pieces = out[0]
+    for more in out[1:]:
+        pieces = pieces.unionByName(more)
+    return pieces.drop("part")
+
+
+def _batches(found: Iterator[tuple[str | None, list]], number: int, part: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA; open windows keep their ids for the next pass."""
+    out: list[tuple] = []
+    for k, (by, window) in enumerate(found):
+        sequence, at = number << 56 | part << 32 | k, 0
+        for doc, start, ids, total in window:
+            n = len(ids) // 4
+            out.append((doc, start, n, ids if with_ids or by is None else None, crc32(ids), total, sequence, at, by, part))
+            at += n
+        if len(out) >= ROWS_A_BATCH:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    columns = list(zip(*rows)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [c.split() for c in SCHEMA.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def filled(pieces: DataFrame) -> DataFrame:
+    """``filled_by, windows, tokens``: how many windows a document alone, the rule and the cutting
+    of the last rest have filled."""
+    return pieces.groupBy("filled_by").agg(F.countDistinct("sequence_id").alias("windows"), F.sum("length").alias("tokens"))
 
 
 def _tokenizer() -> str:
@@ -150,9 +209,9 @@ def _tokenizer() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer()))
+    return packed(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of all documents, with their ids' checksums."""
-    return digests(pack(docs, _tokenizer()))
+    return pack(docs.select("doc_id", "text"), _tokenizer(), with_ids=False).drop("ids")

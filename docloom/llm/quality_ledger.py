@@ -17,21 +17,30 @@ from docloom.llm.common import WORD, table, text_or_empty, words_of
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
+#: Marks that begin a list line, and what ends a line that breaks off.
+BULLETS, ELLIPSES = r"^[\x20\t]*[-*\x{2022}]", r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bullets", "n_ellipses", "n_wordlike")
+
+
+#: The position of a rule is its bit: append new rules, never reorder them.
+RULES = ("short", "repeated", "symbols", "dup_lines", "upper", "word_length", "bullets", "ellipses", "wordlike")
 
 
 def rules() -> dict[str, Column]:
-    """Rule name to a test of the measurements that is true where a document fails. The
-    position of a rule is its bit: append new rules, never reorder them."""
+    """Rule name to a test of the measurements that is true where a document fails."""
     n = F.col("n_words")
-    return {
+    tests = {
         "short": n < 20,
         "repeated": 100 * F.col("n_repeat_words") > 30 * n,
         "symbols": 10 * F.col("n_symbols") > n,
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         "upper": 100 * F.col("n_upper") > 40 * F.col("word_chars"),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
+        "bullets": 10 * F.col("n_bullets") > 9 * F.col("n_lines"),
+        "ellipses": 10 * F.col("n_ellipses") > 3 * F.col("n_lines"),
+        "wordlike": 10 * F.col("n_wordlike") < 8 * n,
     }
+    return {r: tests[r] for r in RULES}
 
 
 @dataclass(frozen=True)
@@ -41,14 +50,15 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        names = list(rules())
-        return sum(1 << names.index(r) for r in self.rejects)
+        return sum(1 << RULES.index(r) for r in self.rejects)
 
 
 BASE = Policy(1, ("short", "repeated"))
 #: Repeated lines are measured but don't reject: licence lines and footers repeat in good texts.
 CURRENT = Policy(2, ("short", "repeated", "symbols", "upper", "word_length"))
-POLICIES = (BASE, CURRENT)
+#: Measured for comparison: lists and lines that break off, and texts of few words with letters.
+STRICT = Policy(3, (*CURRENT.rejects, "dup_lines", "bullets", "ellipses", "wordlike"))
+POLICIES = (BASE, CURRENT, STRICT)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,6 +84,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         long(F.size("lines")).alias("n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         long(F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).alias("n_upper"),
+        long(F.size(F.filter("lines", lambda x: x.rlike(BULLETS)))).alias("n_bullets"),
+        long(F.size(F.filter("lines", lambda x: x.rlike(ELLIPSES)))).alias("n_ellipses"),
+        long(F.size(F.filter("w", lambda x: x.rlike(r"\p{L}")))).alias("n_wordlike"),
         F.when(
             F.size("w") > WINDOW,
             F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))),
@@ -102,8 +115,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    # not deterministic by name only: else a filter on the bits would be pushed below all of the
-    # above, with the split into words copied into the functions that run for each word
+    # A hint to the optimizer: a column that it holds to be not deterministic stops it from pushing a
+    # filter on the bits below all of the above, with the split into words copied into each measure.
+    # Storing the ledger would do the same at the cost of another copy of the texts.
     fixed = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
     return df.drop("p").select("row", *MEASURES, total.cast("long").bitwiseOR(fixed).alias("fail_bits"))
 
@@ -120,10 +134,9 @@ def ablations(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Da
     The ledger is first counted by its bits, at most 2 to the number of rules, so everything
     after that is a few rows whatever the input. An empty ledger gives zeros."""
     by_bits = entries.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    names = list(rules())
     of = F.array(
         *[
-            F.struct(F.lit(p.version).alias("version"), F.lit(p.mask).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("long").alias("bit"))
+            F.struct(F.lit(p.version).alias("version"), F.lit(p.mask).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit"))
             for p in policies
             for r in p.rejects
         ]
@@ -154,13 +167,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, over all documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps."""
     return ledger(docs).where(kept(CURRENT)).select("row.*")
 
 
-
-ORACLE = r"""
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -180,14 +197,25 @@ m AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')))::BIGINT AS n_upper,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_wordlike,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)),
 e AS (
   SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words,
          (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
          + 8 * (10 * (len(ls) - len(list_distinct(ls))) > 3 * len(ls))::BIGINT + 16 * (100 * n_upper > 40 * word_chars)::BIGINT
-         + 32 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT AS fail_bits
+         + 32 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
+         + 64 * (10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\t]*[-*\x{2022}]'))) > 9 * len(ls))::BIGINT
+         + 128 * (10 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) > 3 * len(ls))::BIGINT
+         + 256 * (10 * n_wordlike < 8 * n_words)::BIGINT AS fail_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+ORACLE = _LEDGER_SQL + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 55) = 0 AS kept, fail_bits FROM e
 """
+ABLATIONS = _LEDGER_SQL + """, a AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({p.version}, {p.mask}, '{r}', {1 << RULES.index(r)})" for p in POLICIES for r in p.rejects
+) + """) AS a(version, mask, rule, bit))
+SELECT version::INTEGER AS version, rule, count(*) FILTER ((fail_bits & bit) <> 0) AS fails, count(*) FILTER ((fail_bits & mask) = bit) AS only_this,
+       count(*) FILTER ((fail_bits & mask) = 0) AS kept, count(*) FILTER ((fail_bits & mask & ~bit) = 0) AS kept_without FROM e, a GROUP BY version, rule
+"""

@@ -13,6 +13,7 @@ _QUERIES = (
     (packing.op2_packing, None),
     (zip_warc.op3_warc, zip_warc.ORACLE),
     (quality_ledger.op4_quality_rules, quality_ledger.ORACLE),
+    (quality_ledger.quality_ablations, quality_ledger.ABLATIONS),
     (token_offsets.op5_token_counts, None),
     (toxicity_cnn.op6_toxicity, None),
     (simhash_pigeonhole.op7_simhash, None),

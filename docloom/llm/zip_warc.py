@@ -29,6 +29,10 @@ WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT = 100
 #: Payload after which an archive is closed, and records that are read by one range.
 ARCHIVE_BYTES, RANGE_RECORDS = 32 << 20, 128
+#: Archive bytes that a reading task gets, about.
+READ_BYTES = 16 << 20
+#: Spark's names of stores that the file-system library calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
 MANIFEST = "uri string, records long, size long"
 RANGES = "uri string, start long, length long, sizes array<long>"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, stated_digest string, stated_bytes long"
@@ -102,11 +106,16 @@ def data_start(f, member: Member) -> int:
     return member.header + 30 + sum(struct.unpack("<HH", local[26:30]))
 
 
+def renamed(uri: str) -> str:
+    """The URI under the scheme that the file-system library knows."""
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme.lower(), scheme)}{mark}{rest}" if mark else uri
+
+
 def _open(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
+    return fs.FileSystem.from_uri(renamed(uri))
 
 
 # --- WARC records ------------------------------------------------------------------------------
@@ -232,7 +241,8 @@ def ranges(manifest: DataFrame) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """The records of all archives, dealt out evenly by range before they are read."""
+    """The records of all archives, dealt out evenly by range before they are read: to as many tasks
+    as the archives' size asks for, and to every core at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,10 +257,35 @@ def read(manifest: DataFrame) -> DataFrame:
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in RECORDS.split(", ")])
 
-    spread = stored(ranges(manifest)).repartition("uri", "start")
+    spark = manifest.sparkSession
+    size = manifest.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    spread = stored(ranges(manifest)).repartition(int(tasks), "uri", "start")
     return spread.mapInArrow(run, RECORDS)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``page_id, url, record_type, refers_to, payload_bytes, payload_digest`` of all records, both
+    figures from payloads that were read: a revisit's are those of the response that it refers to.
+
+    What is stored for this has no payloads. A revisit of a response that is not there, or whose
+    digest or length its header states otherwise, is an error."""
+    facts = records.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), "stated_digest", "stated_bytes")
+    facts = stored(facts)
+    revisits = facts.where("record_type = 'revisit'")
+    wanted = revisits.select(F.col("refers_to").alias("page"), F.col("stated_digest").alias("d")).distinct()
+    first = facts.where("record_type = 'response'").select(F.col("page_id").alias("page"), F.col("digest").alias("d"), F.col("n").alias("found")).join(wanted, ["page", "d"], "left_semi")
+    # stored, so that the join below has a shuffle of its own that can split a response with many revisits
+    first = stored(first.distinct())
+    met = revisits.join(first, (F.col("refers_to") == F.col("page")) & (F.col("stated_digest") == F.col("d")), "left")
+    same = F.col("found") == F.col("stated_bytes")
+    wrong = F.raise_error(F.concat(F.lit("no response that a revisit refers to: page "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))
+    columns = ["page_id", "url", "record_type", "refers_to"]
+    met = met.select(*columns, F.when(same, F.col("found")).otherwise(wrong.cast("long")).alias("payload_bytes"), F.col("d").alias("payload_digest"))
+    own = facts.where("record_type = 'response'").select(*columns, F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    return own.unionByName(met)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload, stated_digest, stated_bytes``: all pages
     written to archives in the shared folder and read back from them.
@@ -263,13 +298,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
-        "page_id",
-        F.coalesce(F.octet_length("payload"), "stated_bytes").cast("long").alias("payload_bytes"),
-        F.coalesce(F.sha2("payload", 256), "stated_digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    records = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

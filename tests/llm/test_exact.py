@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from hashlib import sha256
 from zlib import crc32
 
 import duckdb
@@ -61,7 +62,7 @@ def test_ablations_are_bitwise(spark, data):
     ledger = quality_ledger.ledger(spark.read.parquet(f"{data}/documents.parquet")).cache()
     for r in quality_ledger.ablations(ledger).collect():
         policy = next(p for p in quality_ledger.POLICIES if p.version == r.version)
-        bit = 1 << list(quality_ledger.rules()).index(r.rule)
+        bit = 1 << quality_ledger.RULES.index(r.rule)
         bits = [x.fail_bits for x in ledger.select("fail_bits").collect()]
         assert r.fails == sum(b & bit != 0 for b in bits) and r.kept == sum(b & policy.mask == 0 for b in bits)
         assert r.kept_without == sum(b & policy.mask & ~bit == 0 for b in bits) and r.only_this == r.kept_without - r.kept
@@ -98,42 +99,61 @@ def test_level_minimises_the_sum_of_squares():
 
         fits = [0, *(h for h in range(1, 33 - size) if p.count[h])]
         assert total(p.level_for(size)) == min(map(total, fits))
-        p.place(("d", 0, b"", 0), size)
+        p.place([("d", 0, b"", 0)], size)
 
 
-def check_pieces(pieces, want):
-    """Every id in one piece, gapless sequences, no padding but at powers of two."""
+def check_pieces(pieces, want, capacity=2048):
+    """Every id of every row (``want`` lists the rows' ids by document) in one piece, gapless
+    sequences, no padding but at powers of two."""
     docs, sequences = {}, {}
     for r in pieces:
         docs.setdefault(r.doc_id, []).append(r)
         sequences.setdefault(r.sequence_id, []).append(r)
     assert set(docs) == set(want)
     for d, got in docs.items():
-        at = 0
+        left = {}  # rows that repeat an id: pieces follow each other in as many chains
+        for ids in want[d]:
+            left[len(ids) // 4, 0] = [*left.get((len(ids) // 4, 0), []), ids]
         for r in sorted(got, key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens * 4 == len(want[d])
-            assert r.ids_crc32 == crc32(want[d][4 * at : 4 * (at + r.length)])
-            at += r.length
-        assert at == r.doc_tokens
+            open_ = left[r.doc_tokens, r.start]
+            ids = next(x for x in open_ if crc32(x[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32)
+            open_.remove(ids)
+            left.setdefault((r.doc_tokens, r.start + r.length), []).append(ids)
+        assert all(not x for (n, at), x in left.items() if n != at), d
     for got in sequences.values():
         at = 0
         for r in sorted(got, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == 2048 or (at < 2048 and at & (at - 1) == 0)
+        assert at == capacity or (at < capacity and at & (at - 1) == 0)
 
 
-def test_packing_is_whole(spark, data):
+def test_packing_is_whole(spark, data, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing._tokenizer())
-    df = rows(spark).where("doc_id is not null and size = 7")
     exact = lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
-    check_pieces(packing.packed(spark, df, "").collect(), {i: exact(x) for i, x in enumerate(ODD)})
-    assert packing.packed(spark, rows(spark), "").where("doc_id is null").count() == 1
+    by = lambda df: {d: [exact(x) for i, x in df if i == d] for d, _ in df}
+    df = rows(spark)
+    check_pieces(packing.packed(spark, df, "").collect(), by([(r.doc_id, r.text) for r in df.collect()]))
     assert packing.packed(spark, df.limit(0), "").count() == 0
-    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
-    check_pieces(packing.op2_packing(spark, data).collect(), {r.doc_id: exact(r.text) for r in docs})
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    check_pieces(packing.op2_packing(spark, data).collect(), by(docs))
+
+
+def test_open_windows_are_packed_again(spark, monkeypatch):
+    """Three passes: most windows are filled by the rule, and the last rest does not grow."""
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["word"] * int(rng.integers(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    out = packing.pack(df, packing._tokenizer(), capacity=32).cache()
+    n = {r.filled_by: r.windows for r in packing.filled(out).collect()}
+    assert n["rule"] > 5 * n["rest"] and n["document"] > 0
+    assert {r.sequence_id >> 56 for r in out.select("sequence_id").collect()} == {0, 1, 2, 3}
+    ids = packing.word_ids(packing._tokenizer())
+    check_pieces(out.collect(), {i: [ids.encode(x) + packing.END] for i, x in enumerate(texts)}, 32)
+    assert all(crc32(bytes(r.ids)) == r.ids_crc32 for r in out.collect())
 
 
 # --- archives
@@ -149,7 +169,36 @@ def test_round_trip_and_revisits(spark):
     ]
     assert [r.payload for r in got if r.page_id == 7] == [bytearray(("<b>ü</b>" * 40).encode())]
     assert {r.stated_bytes for r in got if r.record_type == "revisit"} == {len(long)}
-    assert zip_warc.round_trip(df.limit(0)).count() == 0
+    facts = zip_warc.resolved(zip_warc.round_trip(df)).collect()
+    assert len(facts) == len(pages) and {(r.payload_bytes, r.payload_digest) for r in facts if r.record_type == "revisit"} == {(len(long), sha256(long.encode()).hexdigest())}
+    assert zip_warc.round_trip(df.limit(0)).count() == 0 and zip_warc.resolved(zip_warc.round_trip(df.limit(0))).count() == 0
+
+
+def test_revisits_must_meet_their_response(spark):
+    rows = [(1, "u", "response", None, b"abc", sha256(b"abc").hexdigest(), 3), (2, "u", "revisit", 1, None, sha256(b"abc").hexdigest(), 3)]
+    good = spark.createDataFrame(rows, zip_warc.RECORDS)
+    assert {r.payload_bytes for r in zip_warc.resolved(good).collect()} == {3}
+    for bad in ((2, "u", "revisit", 7, None, rows[1][5], 3), (2, "u", "revisit", 1, None, "00", 3), (2, "u", "revisit", 1, None, rows[1][5], 4)):
+        with pytest.raises(Exception, match="no response"):
+            zip_warc.resolved(spark.createDataFrame([rows[0], bad], zip_warc.RECORDS)).collect()
+
+
+def test_many_archives_and_long_payloads(spark, monkeypatch):
+    """A task closes several archives, and its records are read by several ranges and tasks."""
+    monkeypatch.setattr(zip_warc, "ARCHIVE_BYTES", 5_000)
+    monkeypatch.setattr(zip_warc, "RANGE_RECORDS", 3)
+    monkeypatch.setattr(zip_warc, "READ_BYTES", 500)
+    pages = [(i, f"http://h/{i}", f"<p>{i}</p>" * (1 + i % 90)) for i in range(200)] + [(500, "http://long", "é<long payload>" * 300_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    manifest = zip_warc.write(df, zip_warc.shared_dir(spark))
+    assert manifest.count() > 10 and manifest.agg(F.sum("records")).first()[0] == len(pages)
+    got = zip_warc.read(manifest)
+    assert got.rdd.getNumPartitions() > 8
+    assert {(r.page_id, bytes(r.payload)) for r in got.collect()} == {(i, h.encode()) for i, _, h in pages}
+
+
+def test_store_names():
+    assert zip_warc.renamed("s3a://b/x") == "s3://b/x" and zip_warc.renamed("file:///tmp/x") == "file:///tmp/x" and zip_warc.renamed("/tmp/x") == "/tmp/x"
 
 
 class Bytes(io.BytesIO):
@@ -209,6 +258,43 @@ def test_attribution_matches_brute_force(spark):
     assert got.select("doc_id").distinct().count() == len(ODD) + 1 and token_offsets.token_counts(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_query_and_rules_through_spark(spark, data):
+    """op5's rows and both rules against a count of characters, odd and repeated rows among them."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+
+    def brute(text, rule, mark):
+        text = text or ""
+        parts = text.split(mark)
+        parts = [p + mark for p in parts[:-1]] + [parts[-1]] * (parts[-1] != "" or len(parts) == 1)
+        own = [k for k, p in enumerate(parts) for _ in p]
+        counts, cross, at = [0] * len(parts), [0] * len(parts), np.cumsum([0, *map(len, parts)])
+        spans = token_offsets.spans(text, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        assert len(spans[0]) == len(exact.encode(text, add_special_tokens=False).ids)
+        for a, b in zip(*spans):
+            inside = [own[a:b].count(k) for k in range(len(parts))]
+            counts[own[a] if rule == "start" else inside.index(max(inside))] += 1
+            cross[own[a]] += own[a] != own[b - 1]
+        return [(k, int(at[k]), int(at[k + 1]), counts[k], cross[k], len(spans[0])) for k in range(len(parts))]
+
+    few = [t for t in ODD if t is None or len(t) < 2000] + ["one. two. three\n\n\nfour — ü\n", "日本語。\n\nテキスト"]
+    df = rows(spark, few)
+    for rule in token_offsets.RULES:
+        for mark in ("\n", ". "):
+            got = token_offsets.token_counts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, rule, mark)
+            want = [(r.doc_id, *x) for r in df.collect() for x in brute(r.text, rule, mark)]
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)), (rule, mark)
+    docs = [r for r in spark.read.parquet(f"{data}/documents.parquet").collect() if len(r.text) < 3000]
+    got = {}
+    for r in token_offsets.op5_token_counts(spark, data).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    for r in docs[:60]:
+        assert sorted(got[r.doc_id]) == brute(r.text, "start", "\n")
+
+
 # --- top-k
 
 
@@ -229,6 +315,29 @@ def test_topk_odd_vectors(spark, monkeypatch):
     assert set(got) == {0, 100, 200, 300, 400} and topk_blocks.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_skips_pieces_and_keeps_ties(spark, monkeypatch):
+    """Vectors in clusters: bounds leave most pieces out; equal scores at the bound stay, and so do
+    rows that repeat an id."""
+    for name, n in (("BLOCK_ROWS", 8), ("PIECE_BLOCKS", 2), ("SPAN_PIECES", 3), ("QUERY_GROUP", 2)):
+        monkeypatch.setattr(topk_blocks, name, n)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 12))
+    data = [(i, (centres[i // 100] + rng.normal(size=12) * 0.02).round(2).tolist()) for i in range(800)]
+    data = [(i, centres[i // 100].tolist() if i % 7 == 0 else v) for i, v in data]  # ties at the top
+    data += [(300, [0.1] * 12), (301, data[301][1]), (301, data[301][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    stats = topk_blocks.pruning(df).first()
+    assert stats.queries == 8 and stats.skipped > 0.5 * stats.queries * stats.pieces and stats.scored + stats.skipped == stats.queries * stats.pieces
+    terms = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data]
+    got = {}
+    for r in topk_blocks.top_k(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    for q in range(0, 800, 100):
+        x = min(v for i, v in terms if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in terms if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, -s, i) for n, (s, i) in enumerate(scored)], q
+
+
 # --- sharding
 
 
@@ -258,6 +367,48 @@ def test_sharding_law_and_links(spark, data):
     assert label_sharding.shard(df.limit(0)).count() == 0
 
 
+def test_rows_whose_hashes_meet_stay_apart(spark, monkeypatch):
+    """All rows get one hash: none is lost or doubled, and groups still come together."""
+    monkeypatch.setattr(label_sharding, "_hash", lambda *parts: F.lit(5).cast("long"))
+    texts = ["hot"] * 30 + ["a", "a", "b", "b", "b"] + [f"own {i}" for i in range(40)]
+    df = spark.createDataFrame([(i % 37, t) for i, t in enumerate(texts)] + [(1, "hot")] * 5, "doc_id long, text string")
+    out = label_sharding.shard(df, 5).collect()
+    check_shards(out, df.count(), 5)
+    assert sorted((r.doc_id, r.text_crc32) for r in out) == sorted((r.doc_id, crc32(r.text.encode())) for r in df.collect())
+
+
+def test_moves_keep_to_quotas():
+    """Moves that the rates allow never bring a shard beyond its quota but by exchange."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        load = rng.integers(5, 50, 6).astype(float)
+        wishes = rng.integers(0, 6, (6, 6)) * (1 - np.eye(6))
+        quota = np.full(6, 30.0)
+        moved = label_sharding.allowed(load, wishes, quota) * wishes
+        assert (moved <= wishes + 1e-9).all()
+        after = load + moved.sum(axis=0) - moved.sum(axis=1)
+        assert (after <= np.maximum(quota, load) + 1e-9).all()
+
+
+def test_running_sums(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 11).alias("k"), "id", F.when(F.col("id") % 5 > 0, F.col("id") * 2).alias("v"))
+    got = common.running(df, ["g"], ["k", "id"], {"v": "before"}).collect()
+    for g in range(3):
+        at = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: (r.k, r.id)):
+            assert r.before == at
+            at += r.v or 0
+
+
+def test_scratch_deletes_what_stays_listed(spark):
+    with common.scratch(spark) as made:
+        gone, kept = common.stored(spark.range(3)), common.stored(spark.range(4))
+        made.pop()
+    assert kept.count() == 4
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_numbered_has_no_gaps(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 11).alias("k"), "id")
     got = common.numbered(df, ["g"], ["k", "id"]).collect()
