@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, analytics, answers, evidence, facts, retrieval, streams, tables
+from docloom.plans import analysis, analytics, answers, evidence, facts, language, retrieval, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers)
+MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers, language)
 
 
 def queries() -> dict[str, Query]:

@@ -6,12 +6,16 @@ function of DataFrames, so Catalyst sees one plan for a whole batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.store import stored
 
 #: Fixed values of the ranking functions.
 K1, B = 1.4, 0.72
@@ -52,24 +56,142 @@ def postings(stats: DataFrame, key: str, wanted: DataFrame | None = None) -> Dat
     return rows.groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, q: str, stats: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
-    """``q, key, score`` of all pairs that share a term; ``questions`` has ``q, term`` (and what
-    ``weight`` reads). Document frequencies are of all chunks."""
-    post = postings(stats, key, questions)
-    # counted from tf, which keeps the shuffle of the postings the same for both its readers
-    df = post.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    n, mean = totals(stats)
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + F.lit(0.5)))
-    scored = questions.join(df, "term").select(q, "term", (idf * (F.lit(1.0) if weight is None else weight)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (1 - B + F.lit(B) * F.col("len") / F.lit(mean)))
-    return post.join(scored, "term").groupBy(q, key).agg(F.round(F.sum(part.cast("double")), 6).alias("score"))
-
-
-def coverage(questions: DataFrame, q: str, stats: DataFrame, key: str) -> DataFrame:
-    """``q, key, covered``: share of the question's terms that the chunk has."""
-    total = questions.groupBy(q).agg(F.count("*").alias("asked"))
-    hits = postings(stats, key, questions).join(questions, "term").groupBy(q, key).agg(F.count("*").alias("hits"))
-    return hits.join(total, q).select(q, key, F.round(F.col("hits") / F.col("asked"), 6).alias("covered"))
+#: Rows of question terms that are asked at once, and documents that are scored at once.
+ASKED_AT_ONCE, DOCS_AT_ONCE = 1_000_000, 8192
+KEYWORD, COVERAGE = "keyword", "coverage"
+
+
+class _Asked:
+    """Some questions: their terms by number, and of each the terms' numbers and weights."""
+
+    def __init__(self, rows: list):
+        self.number: dict[str, int] = {}
+        self.terms = [(r["q"], np.array([self.number.setdefault(e["term"], len(self.number)) for e in r["ts"]], dtype=np.int64), np.array([e["weight"] for e in r["ts"]])) for r in rows]
+
+
+def index(docs: DataFrame, key: str, text: str, number: dict[str, int], group: str | None = None) -> DataFrame:
+    """``key, part, len, ids, tfs``, stored: of every document that has terms how many, and the asked
+    ones among them with their counts. Every text is split once, and nothing is shuffled."""
+    given = docs.sparkSession.sparkContext.broadcast(number)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = given.value.get
+        for b in batches:
+            sizes, ids, tfs = [], [], []
+            for line in b.column(2).to_pylist():
+                words = line.split(" ")
+                at, n = np.unique([i for i in map(place, words) if i is not None], return_counts=True)
+                sizes.append(len(words))
+                ids.append(at.astype("<i4").tobytes())
+                tfs.append(n.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], ["key", "part", "len", "ids", "tfs"])
+
+    part = F.col(group).cast("string") if group else F.lit("")
+    lines = docs.select(F.col(key).alias("key"), part.alias("part"), F.array_join(T.terms(T.text_or_empty(text)), " ").alias("line"))
+    return stored(lines.where("line <> ''").mapInArrow(run, f"key {kind}, part string, len int, ids binary, tfs binary"))
+
+
+def _frequencies(found: DataFrame, terms: int) -> np.ndarray:
+    """Documents of each asked term: a sum of each task, of as many numbers as there are asked terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(terms, dtype=np.int64)
+        for b in batches:
+            df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=terms)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["id", "df"])
+
+    out = np.zeros(terms, dtype=np.int64)
+    for r in found.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
+        out[r["id"]] = r["df"]
+    return out
+
+
+def _best(value: np.ndarray, keys: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k of the places ``at`` with the highest values, of equal ones those of the smaller keys."""
+    if len(at) > k:
+        floor = np.partition(value[at], len(at) - k)[len(at) - k]
+        at = at[value[at] >= floor]
+    return at[np.lexsort((keys[at], -value[at]))[:k]]
+
+
+def arms(questions: DataFrame, q: str, docs: DataFrame, key: str, text: str, k: int, kinds: tuple[str, ...] = (KEYWORD,), group: str | None = None) -> DataFrame:
+    """``q, key, arm, value``, and ``part`` if there is a group: each arm's k best documents of every
+    question (of every group of documents), and as many of each task that have not been merged yet.
+
+    ``questions`` has ``q, term`` and may have ``weight``. Arm keyword is BM25 over all documents that
+    have terms, arm coverage the share of the question's terms that a document has. Questions are
+    broadcast ASKED_AT_ONCE terms at a time; a task scores its own documents against all of them and
+    hands on k rows a question, so no row for each question and document is ever made. A block of
+    documents is left out for a question where the largest weights of its terms in the block together
+    stay below the k-th score that the task has."""
+    spark = questions.sparkSession
+    weight = F.col("weight").cast("double") if "weight" in questions.columns else F.lit(1.0)
+    asked = questions.select(F.col(q).alias("q"), "term", weight.alias("weight"))
+    groups = max(1, -(-asked.count() // ASKED_AT_ONCE))
+    out = None
+    for n in range(groups):
+        mine = asked.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == n).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("ts"))
+        now = _Asked(mine.collect())
+        found = index(docs, key, text, now.number, group)
+        total = found.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+        df = _frequencies(found, len(now.number))
+        given = spark.sparkContext.broadcast((now.terms, df, total["n"], total["a"] or 1.0))
+        rows = found.mapInArrow(lambda b, given=given: _score(b, *given.value, k, kinds), f"{q} {questions.schema[q].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, part string, arm string, value double")
+        out = rows if out is None else out.unionByName(rows)
+    return out if group else out.drop("part")
+
+
+def _score(batches: Iterator[pa.RecordBatch], questions: list, df: np.ndarray, n: int, mean: float, k: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    floors: dict[tuple, float] = {}
+    held: list[pa.RecordBatch] = []
+
+    def block() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        keys, parts = t.column(0).to_numpy(), np.array(t.column(1).to_pylist())
+        sizes = t.column(2).to_numpy().astype(float)
+        lists = t.column(3).to_pylist()
+        ids = np.frombuffer(b"".join(lists), "<i4")
+        tf = np.frombuffer(b"".join(t.column(4).to_pylist()), "<i4").astype(float)
+        doc = np.repeat(np.arange(len(keys)), [len(x) // 4 for x in lists])
+        order = np.argsort(ids, kind="stable")
+        ids, tf, doc = ids[order], tf[order], doc[order]
+        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+        starts = np.searchsorted(ids, np.arange(len(df) + 1))
+        most = np.zeros(len(df))
+        np.maximum.at(most, ids, w)
+        places = {p: np.flatnonzero(parts == p) for p in np.unique(parts)}
+        out = []
+        for q, terms, weights in questions:
+            for arm in kinds:
+                gain = idf[terms] * weights if arm == KEYWORD else np.full(len(terms), 1.0 / len(terms))
+                bound = float((gain * (most[terms] if arm == KEYWORD else most[terms] > 0)).sum()) + 1e-6
+                wanted = [p for p in places if bound > floors.get((q, arm, p), 0.0)]
+                if not wanted:
+                    continue
+                value = np.zeros(len(keys))
+                for term, g in zip(terms, gain):
+                    at = slice(starts[term], starts[term + 1])
+                    value[doc[at]] += g * w[at] if arm == KEYWORD else 1.0
+                value = np.round(value if arm == KEYWORD else value / len(terms), 6)
+                for p in wanted:
+                    at = places[p]
+                    at = _best(value, keys, at[value[at] > 0], k)
+                    out += [(q, keys[i], p, arm, value[i]) for i in at]
+                    if len(at) == k:
+                        floors[q, arm, p] = max(floors.get((q, arm, p), 0.0), float(value[at[-1]]) - 1e-6)
+        columns = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c)) if out else pa.array([], x) for c, x in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))], ["q", "key", "part", "arm", "value"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= DOCS_AT_ONCE:
+            yield from block()
+            held.clear()
+    if held and sum(x.num_rows for x in held):
+        yield from block()
 
 
 def fuse(arms: DataFrame, q: str, key: str) -> DataFrame:

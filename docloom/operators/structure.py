@@ -6,9 +6,13 @@ before there is something to count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import vocabulary as V
+
 #: Chunk size in characters, and sizes of a summary.
 CHUNK_CHARS, SUMMARY_CHARS, SUMMARY_SENTENCES = 1400, 300, 3
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
@@ -102,6 +106,13 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1))
 
 
+def domain_rank(host: Column) -> Column:
+    """0 for authorities and what is below them, 2 for aggregators, else 1."""
+    some = lambda tests: reduce(lambda a, b: a | b, tests)
+    first = some([(host == h) | host.endswith("." + h) for h in V.AUTHORITATIVE_HOSTS] + [host.endswith(s) for s in V.AUTHORITATIVE_SUFFIXES])
+    return F.when(first, 0).when(some([host.contains(h) for h in V.LOW_QUALITY_HOSTS]), 2).otherwise(1)
+
+
 def canonical(url: Column) -> Column:
     """A URL without scheme, query, fragment and last slash."""
     bare = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z]+://", ""), r"[?#].*$", "")

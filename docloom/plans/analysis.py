@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions import vocabulary as V
 from docloom.operators import retrieval as R
 from docloom.operators import structure as S
 from docloom.plans.retrieval import read
@@ -176,10 +177,14 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by host: 0 for .org, 2 for blogs, else 1."""
-    p = read(spark, sf_dir, "pages").select(S.host(T.text_or_empty("url")).alias("host"))
-    rank = F.when(F.col("host").endswith(".org"), 0).when(F.col("host").startswith("blog."), 2).otherwise(1)
-    return p.groupBy("host").agg(F.count("*").alias("pages")).withColumn("rank", rank)
+    """Pages by host: 0 for authorities, 2 for hosts of low quality, else 1. Every third host is taken
+    below one of the listed names, as the corpus has none of them."""
+    hosts = (*V.AUTHORITATIVE_HOSTS, *V.LOW_QUALITY_HOSTS, *[f"x{s}" for s in V.AUTHORITATIVE_SUFFIXES])
+    host = S.host(T.text_or_empty("url"))
+    nth = F.col("page_id") % (3 * len(hosts))
+    listed = F.get(F.array(*[F.lit(h) for h in hosts]), nth.cast("int"))
+    p = read(spark, sf_dir, "pages").select(F.when(nth < len(hosts), F.concat(F.lit("www."), listed)).otherwise(host).alias("host"))
+    return p.groupBy("host").agg(F.count("*").alias("pages")).withColumn("rank", S.domain_rank(F.col("host")))
 
 
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +213,7 @@ def _without(text: str, pattern: str, by: str = "") -> str:
 def _redacted() -> str:
     out = _T
     for k, p in T.PRIVATE.items():
-        out = _without(out, p, f"[{k}]")
+        out = _without(out, p, f"\\1[{k}]")
     return out
 
 
@@ -230,6 +235,7 @@ _LINES = f"ln AS (SELECT doc_id, (i - 1)::INTEGER AS line, ls[i] AS content FROM
 _HEADS = f"""WITH h AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{S.HEADING}', 1) AS ls, regexp_extract_all(coalesce(html, ''), '{S.HEADING}', 2) AS hs FROM pages),
 s0 AS (SELECT page_id, (i - 1)::INTEGER AS section, ls[i]::INTEGER AS level, {_plain('hs[i]')} AS heading FROM h, unnest(range(1, len(ls) + 1)) AS r(i)),
 s AS (SELECT a.*, coalesce((SELECT max(b.section) FROM s0 b WHERE b.page_id = a.page_id AND b.section < a.section AND b.level < a.level), -1)::INTEGER AS parent FROM s0 a)"""
+_HOSTS = (*V.AUTHORITATIVE_HOSTS, *V.LOW_QUALITY_HOSTS, *[f"x{s}" for s in V.AUTHORITATIVE_SUFFIXES])
 _HOST = "lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/:?#]+)', 1))"
 
 SQL = {
@@ -278,6 +284,8 @@ SQL = {
     "page_text": f"SELECT page_id, length({_plain('coalesce(html, ' + _Q * 2 + ')')})::BIGINT AS chars, sha256({_plain('coalesce(html, ' + _Q * 2 + ')')}) AS hash FROM pages",
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1) AS l FROM pages)
         SELECT page_id, len(l)::BIGINT AS links, len(list_filter(l, lambda x: starts_with(x, '/')))::BIGINT AS own, len(list_distinct(l))::BIGINT AS distinct_links FROM l""",
-    "domain_rank": f"SELECT {_HOST} AS host, count(*) AS pages, CASE WHEN ends_with({_HOST}, '.org') THEN 0 WHEN starts_with({_HOST}, 'blog.') THEN 2 ELSE 1 END AS rank FROM pages GROUP BY ALL",
+    "domain_rank": f"""WITH p AS (SELECT CASE WHEN page_id % {3 * len(_HOSTS)} < {len(_HOSTS)} THEN 'www.' || ([{', '.join(_Q + h + _Q for h in _HOSTS)}])[(page_id % {3 * len(_HOSTS)})::INTEGER + 1] ELSE {_HOST} END AS host FROM pages)
+        SELECT host, count(*) AS pages, CASE WHEN {' OR '.join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in V.AUTHORITATIVE_HOSTS)} OR {' OR '.join(f"ends_with(host, '{s}')" for s in V.AUTHORITATIVE_SUFFIXES)} THEN 0
+          WHEN {' OR '.join(f"contains(host, '{h}')" for h in V.LOW_QUALITY_HOSTS)} THEN 2 ELSE 1 END AS rank FROM p GROUP BY host""",
     "url_dedup": """SELECT lower(regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '^[a-zA-Z]+://', ''), '[?#].*$', ''), '/+$', '')) AS address, min(page_id) AS first_page, count(*) AS pages FROM pages GROUP BY 1""",
 }

@@ -21,20 +21,20 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chunk_stats(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_asked(spark, sf_dir), "item_id", _stats(spark, sf_dir), "doc_id")
+def _best(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    found = R.arms(asked, "item_id", read(spark, sf_dir, "documents"), "doc_id", "text", k).select("item_id", "doc_id", F.col("value").alias("score"))
+    return R.ranked(found, ["item_id"], F.desc("score"), F.col("doc_id")).where(F.col("rank") <= k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """The 20 best documents of every question."""
-    return R.ranked(_scores(spark, sf_dir), ["item_id"], F.desc("score"), F.col("doc_id")).where(F.col("rank") <= k)
+    return _best(spark, sf_dir, _asked(spark, sf_dir), k)
 
 
 def bm25_weighted(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """As bm25_topk, with terms that hold digits weighing half, as expansions do."""
     weight = F.when(F.col("term").rlike(r"\d"), 0.5).otherwise(1.0)
-    scores = R.bm25(_asked(spark, sf_dir), "item_id", _stats(spark, sf_dir), "doc_id", weight)
-    return R.ranked(scores, ["item_id"], F.desc("score"), F.col("doc_id")).where(F.col("rank") <= k)
+    return _best(spark, sf_dir, _asked(spark, sf_dir).withColumn("weight", weight), k)
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,8 @@ def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arms(spark: SparkSession, sf_dir: str, pool: int = 30) -> DataFrame:
     """Both arms' pools: ``item_id, doc_id, arm, rank, value``."""
-    asked, stats = _asked(spark, sf_dir), _stats(spark, sf_dir)
-    keyword = R.bm25(asked, "item_id", stats, "doc_id").withColumnRenamed("score", "value").withColumn("arm", F.lit("keyword"))
-    covered = R.coverage(asked, "item_id", stats, "doc_id").withColumnRenamed("covered", "value").withColumn("arm", F.lit("coverage"))
-    both = keyword.unionByName(covered)
-    return R.ranked(both, ["item_id", "arm"], F.desc("value"), F.col("doc_id")).where(F.col("rank") <= pool)
+    found = R.arms(_asked(spark, sf_dir), "item_id", read(spark, sf_dir, "documents"), "doc_id", "text", pool, (R.KEYWORD, R.COVERAGE))
+    return R.ranked(found, ["item_id", "arm"], F.desc("value"), F.col("doc_id")).where(F.col("rank") <= pool)
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +133,9 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round robin by language: each language's best document, then each second one, and so on."""
-    found = _scores(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    docs = read(spark, sf_dir, "documents")
+    found = R.arms(_asked(spark, sf_dir), "item_id", docs, "doc_id", "text", 5, group="lang")
+    found = found.select("item_id", "doc_id", F.col("part").alias("lang"), F.col("value").alias("score"))
     turn = R.ranked(found, ["item_id", "lang"], F.desc("score"), F.col("doc_id"), out="turn").where("turn <= 5")
     return R.ranked(turn, ["item_id"], F.col("turn"), F.col("lang"), F.col("doc_id"), out="place").select("item_id", "doc_id", "lang", "turn", "place")
 

@@ -6,42 +6,31 @@ batches keeps its last state. Checkpoints are in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
+from docloom.operators.store import shared
 
 WATERMARK = "10 minutes"
 SESSION_GAP = "30 minutes"
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where a local session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def events(spark: SparkSession, path: str) -> DataFrame:
+def events(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A table as a stream, whether it is one file or a folder of files: the file source takes a
-    single file only as a pattern."""
+    single file only as a pattern. ``files_a_batch`` bounds what one batch takes in."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(schema)
+    source = source.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else source
+    return source.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     """Runs the stream over all that is there now; the last state of each key."""
     spark = stream.sparkSession
-    folder = shared(spark)
+    folder = shared(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")

@@ -82,12 +82,47 @@ def test_recency_halves(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, doc_id long, text string")
-    stats = retrieval.chunk_stats(none, "doc_id", "text")
     asked = retrieval.question_terms(none, "item_id", "text")
-    assert retrieval.bm25(asked, "item_id", stats, "doc_id").count() == 0
+    assert retrieval.arms(asked, "item_id", none, "doc_id", "text", 5).count() == 0
     assert structure.blocks(structure.lines(none, "doc_id", F.col("text")).withColumn("class", F.lit("x")), "doc_id").count() == 0
 
 
+def brute_bm25(asked, docs, k):
+    import math
+    import re
+
+    split = lambda t: [w for w in re.split(r"\W+", (t or "").lower()) if len(w) > 1]
+    docs = {d: split(t) for d, t in docs if split(t)}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in ts for ts in docs.values()) for ts in docs.values() for w in ts}
+    out = []
+    for q, text in asked:
+        scored = []
+        for d, ts in docs.items():
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ts.count(w) * 2.4 / (ts.count(w) + 1.4 * (0.28 + 0.72 * len(ts) / mean)) for w in set(split(text)) if w in ts)
+            scored += [(-round(s, 6), d)] if s > 0 else []
+        out += [(q, d, -s) for s, d in sorted(scored)[:k]]
+    return sorted(out)
+
+
+def test_arms_keep_k_rows_of_each_block(spark, monkeypatch):
+    """Scores by brute force over many small blocks and several groups of questions; hardly any pairs."""
+    monkeypatch.setattr(retrieval, "DOCS_AT_ONCE", 16)
+    monkeypatch.setattr(retrieval, "ASKED_AT_ONCE", 12)
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(rng.choices(words, weights=range(1, 61), k=rng.randrange(0, 30)))) for i in range(300)] + [(900, None), (901, "w1 w2 w3")]
+    asked = [(i, " ".join(rng.sample(words, 4))) for i in range(9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = retrieval.question_terms(spark.createDataFrame(asked, "item_id long, text string"), "item_id", "text")
+    found = retrieval.arms(q, "item_id", d, "doc_id", "text", 5)
+    assert found.count() < 9 * 5 * 24
+    top = retrieval.ranked(found, ["item_id"], F.desc("value"), F.col("doc_id")).where("rank <= 5")
+    assert sorted((r.item_id, r.doc_id, r.value) for r in top.collect()) == pytest.approx(brute_bm25(asked, docs, 5))
+
+
 def test_files_and_markdown(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\nTitle: 'Plan'\nsecret: x\nowner:\nstatus: draft\n---\nintro\n# One\ntext\n```\n# no heading\n```\n## Two ##\n")
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7")
