@@ -45,25 +45,6 @@ def blocks(classed: DataFrame, key: str) -> DataFrame:
     return out.where("class <> 'blank'")
 
 
-def packed_lines(text: Column, size: int = CHUNK_CHARS) -> Column:
-    """Greedy chunks of neighbouring lines: an array of (first line, lines, characters). A line
-    goes to the open chunk unless that would grow beyond ``size``; a longer line is a chunk alone.
-    An ordered fold, as where a chunk starts depends on all before it."""
-    item = "struct<first:int,n:int,chars:int>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("open"), F.lit(0).alias("at"))
-
-    def step(acc: Column, line: Column) -> Column:
-        n = F.length(line)
-        opened = acc["open"]
-        fits = opened.isNotNull() & (opened["chars"] + 1 + n <= size)
-        grown = F.struct(opened["first"].alias("first"), (opened["n"] + 1).alias("n"), (opened["chars"] + 1 + n).alias("chars"))
-        fresh = F.struct(acc["at"].alias("first"), F.lit(1).alias("n"), n.alias("chars"))
-        done = F.when(fits | opened.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(opened)))
-        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(fresh).alias("open"), (acc["at"] + 1).alias("at"))
-
-    return F.aggregate(F.split(text, "\n"), start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-
-
 def hard_cut(text: Column, size: int = CHUNK_CHARS) -> Column:
     """Pieces of ``size`` characters, the last one shorter; an empty text has none."""
     n = F.ceil(F.length(text) / size).cast("int")

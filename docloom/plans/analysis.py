@@ -93,18 +93,6 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", S.leading(_text()).alias("s")).select("doc_id", S.summary("s").alias("summary"))
 
 
-def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of lines of 1400 characters at most."""
-    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.packed_lines(_text())).alias("chunk", "c"))
-    return c.select("doc_id", "chunk", F.col("c.first").alias("first_line"), F.col("c.n").alias("n_lines"), F.col("c.chars").alias("chars"))
-
-
-def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut every 1400 characters."""
-    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(S.hard_cut(_text())).alias("part", "body"))
-    return c.select("doc_id", "part", F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("hash"))
-
-
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.lines(_docs(spark, sf_dir), "doc_id", _text())
     return S.blocks(rows.select("doc_id", "line", S.line_class(F.col("content")).alias("class")), "doc_id")
@@ -196,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lang_profile, stopword_language, language_confusion, tok_terms, numeric_tokens, pii_counts, pii_redact, injection_scrub, question_hash, dedup_upload, duplicate_groups,
-        text_damage, extractive_summary, chunk_pack, oversize_split, line_blocks, metadata_precedence, term_document_share, page_sections, section_children, related_sections,
+        text_damage, extractive_summary, line_blocks, metadata_precedence, term_document_share, page_sections, section_children, related_sections,
         page_titles, page_text, page_links, domain_rank, url_dedup,
     )
 }
@@ -257,13 +245,6 @@ SQL = {
     "text_damage": rf"""SELECT doc_id, CASE WHEN length({_T}) > 0 THEN round((length({_T}) - length(regexp_replace({_T}, '[^\p{{L}}\p{{N}}\s.,;:!?''"()\-]', '', 'g'))) / length({_T})::DOUBLE, 6) ELSE 0 END AS damage FROM documents""",
     "extractive_summary": rf"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array({_T}, '[.!?]+\s+'), lambda x: trim(x) <> '')[1:3] AS ss FROM documents)
         SELECT doc_id, array_to_string(list_filter(ss, lambda x, i: i = 1 OR list_sum(list_transform(ss[1:i], lambda y: length(y))) <= 300), ' | ') AS summary FROM s""",
-    "chunk_pack": f"""WITH RECURSIVE {_LINES}, f AS (
-          SELECT doc_id, line, 0 AS chunk, length(content)::INTEGER AS used FROM ln WHERE line = 0 UNION ALL
-          SELECT ln.doc_id, ln.line, CASE WHEN used + 1 + length(content) <= 1400 THEN chunk ELSE chunk + 1 END, (CASE WHEN used + 1 + length(content) <= 1400 THEN used + 1 ELSE 0 END + length(content))::INTEGER
-          FROM f JOIN ln ON ln.doc_id = f.doc_id AND ln.line = f.line + 1)
-        SELECT doc_id, chunk::INTEGER AS chunk, min(line)::INTEGER AS first_line, count(*)::INTEGER AS n_lines, max(used)::INTEGER AS chars FROM f GROUP BY doc_id, chunk""",
-    "oversize_split": f"""SELECT doc_id, i::INTEGER AS part, length(substring({_T}, i * 1400 + 1, 1400))::BIGINT AS chars, sha256(substring({_T}, i * 1400 + 1, 1400)) AS hash
-        FROM documents, unnest(range(0, ceil(length({_T}) / 1400.0)::BIGINT)) AS r(i)""",
     "line_blocks": rf"""WITH {_LINES}, c AS (SELECT doc_id, line, CASE WHEN trim(content) = '' THEN 'blank' WHEN regexp_matches(content, '^\s*#{{1,6}}\s') THEN 'heading'
           WHEN regexp_matches(content, '^\s*(?:[-*+]|\d+[.)])\s') THEN 'list' WHEN regexp_matches(content, '\|.*\|') THEN 'table' ELSE 'paragraph' END AS class FROM ln),
         m AS (SELECT *, class IS DISTINCT FROM lag(class) OVER (PARTITION BY doc_id ORDER BY line) AS starts FROM c),
