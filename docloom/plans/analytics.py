@@ -223,12 +223,6 @@ def access_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("r_name").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("owners"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def scope_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, by segment: rows that no registry entry refers to."""
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return c.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
-
-
 def scd_active_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as versions of their customer: numbered by date; the active one is the last done."""
     v = R.ranked(read(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey"), out="version_no")
@@ -270,7 +264,7 @@ QUERIES = {
     for f in (
         metrics_summary, nearest_rank_percentiles, daily_percentiles, latency_histogram, prometheus_lines, daily_series, user_daily_series, week_over_week, error_top8, slowest10, alerts,
         quota_today, user_sessions, concurrency, rate_limit, idempotent_replay, nonce_replay, stage_first, last_view_asof, rephrase_pairs, illegal_transitions, current_state, retention_prune,
-        latency_estimate, library_stats, tallies_grouping_sets, folder_tree, distinct_categories, registry_list, access_filter, scope_visible, scd_active_version, latest_replace, index_health,
+        latency_estimate, library_stats, tallies_grouping_sets, folder_tree, distinct_categories, registry_list, access_filter, scd_active_version, latest_replace, index_health,
         orphans, metric_users,
     )
 }
@@ -345,7 +339,6 @@ SQL = {
         ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 25""",
     "access_filter": """SELECT r_name, count(*) AS orders, count(DISTINCT o_custkey) AS owners, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
-    "scope_visible": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment",
     "scd_active_version": """WITH v AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS version_no FROM orders)
         SELECT o_custkey, o_orderkey, version_no FROM v WHERE o_orderstatus = 'F' QUALIFY version_no = max(version_no) OVER (PARTITION BY o_custkey)""",
     "latest_replace": "SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",

@@ -72,13 +72,6 @@ def bind_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(p, ["conv_id", "turn", "part"], F.desc("overlap"), F.col("sentence"), out="place").where("place <= 3").select("conv_id", "turn", "part", "sentence", "overlap", "place")
 
 
-def usage_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of a question its answer takes up: stated, applied or offered."""
-    t = V.previous(_turns(spark, sf_dir), "conv_id", "turn", "user", "text", "asked").where("role = 'assistant' and asked is not null")
-    o = F.round(V.overlap(T.terms(F.col("asked")), T.terms(F.col("text"))), 6)
-    return t.groupBy(F.when(o >= 0.6, "stated").when(o > 0.2, "applied").otherwise("offered").alias("usage")).agg(F.count("*").alias("n"))
-
-
 def contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question's text whole: candidates share its rarest term, so texts are
     compared only where that equi-join has brought them together."""
@@ -177,39 +170,17 @@ def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.orderBy("p_name", "p_partkey").limit(40).select("p_partkey", "p_name", "p_type")
 
 
-def scope_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users all of whose event types are allowed, by day."""
-    e = read(spark, sf_dir, "events").groupBy("user_id", F.to_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.collect_set("event_type").alias("ts"))
-    ok = F.size(F.array_except("ts", F.array(*[F.lit(x) for x in ("view", "click", "purchase")]))) == 0
-    return e.groupBy("day").agg(F.count_if(ok).alias("allowed"), F.count("*").alias("users")).withColumn("day", F.col("day").cast("string"))
-
-
 def open_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of each customer that are offered: the three oldest open ones."""
     o = R.ranked(read(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey"), out="nth")
     return o.where("nth <= 3").select("o_custkey", "o_orderkey", "nth")
 
 
-def feedback_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of each k, once each and sorted, as one text."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    e = read(spark, sf_dir, "events").where("event_type = 'error'").select(k.alias("k"), "user_id").distinct()
-    s = e.groupBy("k").agg(F.sort_array(F.collect_list("user_id")).alias("us"))
-    return s.select("k", F.array_join(F.transform("us", lambda u: u.cast("string")), ",").alias("users"))
-
-
-def approval_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who may approve orders of a customer: by segment, region and size."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    right = F.when(F.col("o_totalprice") > 300_000, "admin").when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("n_regionkey") == 0), "owner").when(F.col("n_regionkey") < 3, "team").otherwise("department")
-    return o.groupBy(right.alias("who")).agg(F.count("*").alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        question_plan, part_coverage, coverage_score, answer_contract, bind_evidence, usage_influence, contained_passages, looked_at, source_first_merge, rare_term_splice, embed_text,
-        topic_of_page, rebuilt_text, replaced_documents, tombstones, upsert_vectors, entity_lookup, scope_subset, open_cap, feedback_spread, approval_rights,
+        question_plan, part_coverage, coverage_score, answer_contract, bind_evidence, contained_passages, looked_at, source_first_merge, rare_term_splice, embed_text,
+        topic_of_page, rebuilt_text, replaced_documents, tombstones, upsert_vectors, entity_lookup, open_cap,
     )
 }
 
@@ -247,9 +218,6 @@ SQL = {
     "bind_evidence": rf"""WITH {_P}, s AS (SELECT conv_id, turn, part, ts, (j - 1)::INTEGER AS sentence, ss[j] AS s FROM (SELECT *, regexp_split_to_array(answer, '[.!?]+\s+') AS ss FROM p), unnest(range(1, len(ss) + 1)) AS r(j)),
         o AS (SELECT conv_id, turn, part, sentence, round({_over('ts', _T.format('s'))}, 6) AS overlap FROM s)
         SELECT *, row_number() OVER (PARTITION BY conv_id, turn, part ORDER BY overlap DESC, sentence)::INTEGER AS place FROM o WHERE overlap >= 0.2 QUALIFY place <= 3""",
-    "usage_influence": f"""WITH a AS (SELECT *, last_value(CASE WHEN role = 'user' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
-        o AS (SELECT round({_over(_T.format('asked'), _T.format('text'))}, 6) AS o FROM a WHERE role = 'assistant' AND asked IS NOT NULL)
-        SELECT CASE WHEN o >= 0.6 THEN 'stated' WHEN o > 0.2 THEN 'applied' ELSE 'offered' END AS usage, count(*) AS n FROM o GROUP BY 1""",
     "contained_passages": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "looked_at": _BASE + """, f AS (SELECT item_id, source, min(rank) AS r FROM top JOIN documents USING (doc_id) GROUP BY ALL), gg AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY r) AS n FROM f QUALIFY n <= 5)
         SELECT item_id, string_agg(source, ' > ' ORDER BY n) AS sources FROM gg GROUP BY item_id""",
@@ -268,9 +236,5 @@ SQL = {
     "tombstones": "SELECT lang, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) GROUP BY lang",
     "upsert_vectors": "SELECT CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, count(*) AS n FROM embeddings GROUP BY 1",
     "entity_lookup": "SELECT p_partkey, p_name, p_type FROM part WHERE (contains(p_name, 'ring') OR contains(p_name, 'red') OR contains(p_name, 'bolt')) AND p_type IN ('ECONOMY', 'PROMO') ORDER BY p_name, p_partkey LIMIT 40",
-    "scope_subset": """WITH u AS (SELECT user_id, ts::DATE AS day, bool_and(event_type IN ('view', 'click', 'purchase')) AS ok FROM events GROUP BY ALL) SELECT day::VARCHAR AS day, count(*) FILTER (ok) AS allowed, count(*) AS users FROM u GROUP BY day""",
     "open_cap": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS nth FROM orders WHERE o_orderstatus = 'O' QUALIFY nth <= 3",
-    "feedback_spread": "WITH e AS (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS k, user_id FROM events WHERE event_type = 'error') SELECT k, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS users FROM e GROUP BY k",
-    "approval_rights": """SELECT CASE WHEN o_totalprice > 300000 THEN 'admin' WHEN c_mktsegment = 'HOUSEHOLD' AND n_regionkey = 0 THEN 'owner' WHEN n_regionkey < 3 THEN 'team' ELSE 'department' END AS who, count(*) AS n
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
 }
