@@ -1,0 +1,248 @@
+"""Documents as their files lay them out: paragraphs, lines of words, tables without rules, pictures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.operators import retrieval as R
+
+#: Headings by declared styles, share of paragraphs that a guess may take, their length.
+MIN_HEADINGS, MAX_SHARE, MAX_CHARS, MAX_DEPTH = 3, 0.35, 120, 4
+NUMBERED = r"^\s*(\d+(?:\.\d+)*)[.)\-–]?\s+\S"
+SENTENCE_END = r"[۔.!؟?:،,;؛]$"
+#: A line's height, a column's gap, rows of a table, shares of rows that are clear in a lane.
+ROW, GAP, MIN_ROWS, CLEAR, ROUGHLY = 3.0, 12.0, 3, 0.9, 0.55
+CONFORMING, NUMERIC_SHARE, NEAR = 0.5, 0.3, 2.0
+SCANNED, PAGE_CHARS, PICTURED, REREAD_TEXT, NEW_LINES = 0.6, 40, 0.15, 0.85, 3
+FIGURE = r"\d+(?:[.,]\d+)*"
+AGREED, NUMBERS, DIGITS, THIN, JUDGED = 0.3, 3, 3, 0.3, 40
+_LETTER = r"[\p{L}]"
+
+
+# --- paragraphs ----------------------------------------------------------------------------------
+
+
+def numbering_depth(text: Column) -> Column:
+    """How deep a heading's number goes: "3." is 1, "3.2.1" is 3; 1 without a number."""
+    n = F.regexp_extract(text, NUMBERED, 1)
+    return F.when(n == "", 1).otherwise(F.least(F.size(F.split(n, r"\.")), F.lit(MAX_DEPTH)))
+
+
+def headings(paragraphs: DataFrame, doc: str) -> DataFrame:
+    """``doc, ord, level`` of a document's headings, from ``doc, ord, text, style, bold`` (style: the declared
+    level or null). Declared ones where there are three; else bold, short lines that don't end like a
+    sentence: the numbered among them where there are three, all where they are no more than 35 % of the
+    paragraphs; else the declared ones that there are."""
+    looks = F.col("bold") & (F.length("text") <= MAX_CHARS) & ~F.col("text").rlike(SENTENCE_END)
+    numbered = looks & F.col("text").rlike(NUMBERED)
+    w = Window.partitionBy(doc)
+    n = lambda c: F.count_if(c).over(w)
+    p = paragraphs.withColumns({"looks": looks, "numbered": numbered, "styled": F.col("style").isNotNull()})
+    p = p.withColumns({"s": n(F.col("styled")), "l": n(F.col("looks")), "k": n(F.col("numbered")), "all": F.count("*").over(w)})
+    tier = F.when(F.col("s") >= MIN_HEADINGS, "style").when(F.col("k") >= MIN_HEADINGS, "number").when((F.col("l") > 0) & (F.col("l") <= MAX_SHARE * F.col("all")), "shape").otherwise("style")
+    p = p.withColumn("tier", tier)
+    taken = F.when(F.col("tier") == "style", F.col("styled")).when(F.col("tier") == "number", F.col("numbered")).otherwise(F.col("looks"))
+    level = F.when(F.col("tier") == "style", F.least(F.col("style"), F.lit(MAX_DEPTH))).otherwise(numbering_depth(F.col("text")))
+    return p.where(taken).select(doc, "ord", level.cast("int").alias("level"), "tier")
+
+
+def sections(lines: DataFrame, doc: str, heads: DataFrame) -> DataFrame:
+    """``doc, section, first, n``: from heading to heading where a document has any (lines before the first
+    are section 0), else a section for each page. ``lines``: ``doc, ord, page``."""
+    any_head = heads.select(doc).distinct().withColumn("has", F.lit(True))
+    l = lines.join(heads.select(doc, "ord", F.lit(1).alias("h")), [doc, "ord"], "left").join(any_head, doc, "left")
+    running = F.sum(F.coalesce("h", F.lit(0))).over(Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    l = l.withColumn("section", F.when(F.col("has"), running).otherwise(F.col("page")).cast("long"))
+    return l.groupBy(doc, "section").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+
+
+# --- lines of words ------------------------------------------------------------------------------
+
+
+def right_to_left(text: Column) -> Column:
+    """More than half of the letters are Arabic."""
+    letters = T.count_of(text, _LETTER)
+    return F.when(letters > 0, T.count_of(text, T.ARABIC) / letters > 0.5).otherwise(False)
+
+
+def page_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, text, rtl`` of words ``keys, x, text``: in the order of their line's direction."""
+    per = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("ws"))
+    joined = F.array_join(F.transform("ws", lambda w: w["text"]), " ")
+    per = per.withColumn("rtl", right_to_left(joined))
+    text = F.when(F.col("rtl"), F.array_join(F.transform(F.reverse("ws"), lambda w: w["text"]), " ")).otherwise(joined)
+    return per.select(*keys, text.alias("text"), "rtl")
+
+
+_RUN = r"[A-Za-z0-9](?:[A-Za-z0-9 .,%:@_/\-]*[A-Za-z0-9%])?|[^A-Za-z0-9]+"
+
+
+def reading_order(text: Column) -> Column:
+    """A line in drawing order, turned round; numbers, codes and Latin words in it turned back."""
+    runs = F.regexp_extract_all(F.reverse(text), F.lit(_RUN), F.lit(0))
+    turned = F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.reverse(r)).otherwise(r)), "")
+    turned = F.translate(turned, "یھک؈", "يهكي")
+    return F.regexp_replace(turned, "(?<=[ء-ي]{2}) ([ء-نهي])(?=$|[^ء-ي])", "$1")
+
+
+def logical_cells(cells: DataFrame, table: str, cell: str = "cell") -> DataFrame:
+    """Cells of tables that were stored in drawing order, put right. It is decided for a whole table: two
+    words or more that only a reversed line has, and more of them than of others."""
+    words = F.regexp_extract_all(cell, F.lit("[ء-يٱ-ۿ؈]+"), F.lit(0))
+    some = lambda p: F.size(F.filter(words, lambda w: w.rlike(p)))
+    votes = cells.groupBy(F.col(table).alias("t")).agg(F.sum(some("^[ةى]|..لا$")).alias("back"), F.sum(some("^ال..|[ةى]$")).alias("forth"))
+    met = cells.join(votes, F.col(table) == F.col("t"))
+    turn = (F.col("back") >= 2) & (F.col("back") > F.col("forth")) & (F.size(words) > 0)
+    return met.withColumn(cell, F.when(turn, reading_order(F.col(cell))).otherwise(F.col(cell))).drop("t", "back", "forth")
+
+
+# --- tables without rules ------------------------------------------------------------------------
+
+
+def _lanes(words: DataFrame, band: list[str], share: float) -> DataFrame:
+    """``band, cut``: middles of the lanes of white space that are clear in enough of a band's rows."""
+    ends = words.groupBy(*band).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.countDistinct("row").alias("rows"))
+    ends = ends.where(F.col("right") - F.col("left") >= GAP).withColumn("width", F.floor(F.col("right") - F.col("left")).cast("int") + 1)
+    at = lambda x: F.greatest(F.lit(0), F.least(F.col("width") - 1, F.floor(F.col(x) - F.col("left")).cast("int")))
+    covered = words.join(ends, band).select(*band, "row", F.explode(F.sequence(at("x0"), at("x1"))).alias("i")).distinct().groupBy(*band, "i").agg(F.count("*").alias("c"))
+    axis = ends.select(*band, "left", "right", "rows", "width", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("i"))
+    clear = axis.join(covered, [*band, "i"], "left").where(F.col("rows") - F.coalesce("c", F.lit(0)) >= F.col("rows") * share)
+    island = F.col("i") - F.row_number().over(Window.partitionBy(*band).orderBy("i"))
+    lanes = clear.withColumn("island", island).groupBy(*band, "left", "right", "width", "island").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b")).where(F.col("b") - F.col("a") >= GAP)
+    end = F.when(F.col("b") == F.col("width"), F.col("right")).otherwise(F.col("left") + F.col("b"))
+    return lanes.select(*band, ((F.col("left") + F.col("a") + end) / 2).alias("cut"))
+
+
+def layout_cells(words: DataFrame, page: str) -> DataFrame:
+    """``page, band, row, top, col, text`` of what may be tables, from words ``page, x0, x1, y, text``: words of
+    one height are a row, rows that lie close a band, lanes that nearly all agreeing rows leave clear part
+    its columns, and a word belongs to the column that most of it lies in."""
+    row = F.bround(F.col("y") / ROW, 0).cast("int")
+    w = words.withColumn("row", row)
+    rows = w.groupBy(page, "row").agg(F.min_by("y", "x0").alias("top"))
+    gap = F.col("top") - F.lag("top").over(Window.partitionBy(page).orderBy("row"))
+    rows = rows.withColumn("gap", gap)
+    usual = rows.where("gap > 0").groupBy(page).agg(F.sort_array(F.collect_list("gap")).alias("gs")).select(page, F.get("gs", F.floor(F.size("gs") / 2).cast("int")).alias("usual"))
+    rows = rows.join(usual, page, "left").withColumn("limit", F.greatest(3 * F.coalesce("usual", F.lit(ROW)), F.lit(4 * ROW)))
+    parts = F.sum(F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0))).over(Window.partitionBy(page).orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("band", parts).withColumn("n", F.count("*").over(Window.partitionBy(page, "band"))).where(F.col("n") >= MIN_ROWS)
+    band = [page, "band"]
+    w = w.join(rows.select(page, "row", "band", "top", F.col("n").alias("rows_in_band")), [page, "row"])
+
+    rough = _lanes(w, band, ROUGHLY).groupBy(*band).agg(F.collect_list("cut").alias("rough"))
+    w = w.join(rough, band)
+    bad = F.exists("rough", lambda b: (F.col("x0") < b) & (b < F.col("x1")))
+    fits = ~F.max(bad).over(Window.partitionBy(page, "row"))
+    w = w.withColumn("fits", fits)
+    agree = w.groupBy(*band).agg(F.countDistinct(F.when(F.col("fits"), F.col("row"))).alias("ok"), F.first("rows_in_band").alias("all"))
+    agree = agree.withColumn("only_fitting", (F.col("ok") >= MIN_ROWS) & (F.col("ok") >= F.col("all") * CONFORMING)).select(*band, "only_fitting")
+    chosen = w.join(agree, band).where("fits or not only_fitting")
+    cuts = _lanes(chosen, band, CLEAR).groupBy(*band).agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    w = w.join(cuts, band)
+    inside = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.struct(
+        (F.least(F.col("x1"), F.coalesce(F.get("cuts", i), F.lit(1e18))) - F.greatest(F.col("x0"), F.when(i == 0, F.lit(-1e18)).otherwise(F.get("cuts", i - 1)))).alias("o"), (-i).alias("i")
+    ))
+    w = w.withColumn("col", -F.array_max(inside)["i"])
+    cells = w.groupBy(*band, "row", "top", "col").agg(F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("ws"), F.first(F.size("cuts") + 1).alias("columns"))
+    return cells.select(*band, "row", "top", "col", "columns", F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("text"))
+
+
+def merged_rows(rows: Column, limit: Column) -> Column:
+    """Rows (top, cells) in order with continuations folded in: a row without a label, near the row above
+    and only in cells that are empty there, fills those."""
+    item = "struct<top:double,cells:array<string>,n:int>"
+    start = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("open"))
+
+    def step(s: Column, r: Column) -> Column:
+        o = s["open"]
+        clash = F.exists(F.zip_with(o["cells"], r["cells"], lambda a, b: (a != "") & (b != "")), lambda x: x)
+        joins = o.isNotNull() & (F.get(r["cells"], 0) == "") & ~clash & (r["top"] - o["top"] <= limit)
+        grown = F.struct(o["top"].alias("top"), F.zip_with(o["cells"], r["cells"], lambda a, b: F.when(b != "", b).otherwise(a)).alias("cells"), (o["n"] + 1).alias("n"))
+        fresh = F.struct(r["top"].alias("top"), r["cells"].alias("cells"), F.lit(1).alias("n"))
+        done = F.when(joins | o.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(o)))
+        return F.struct(done.alias("done"), F.when(joins, grown).otherwise(fresh).alias("open"))
+
+    return F.aggregate(rows, start, step, lambda s: F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+
+
+def tables(cells: DataFrame, page: str) -> DataFrame:
+    """``page, band, row, cells``: rows of what reads as a table once continuations are folded in: three rows,
+    three of them with two cells, and figures in 30 % of the cells after the first column."""
+    from docloom.operators.language import LAYOUT_NUMBER
+
+    band = [page, "band"]
+    slots = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
+    per = cells.groupBy(*band, "row", "top").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.first("columns").alias("columns"))
+    rows = per.select(*band, F.struct("row", F.col("top").cast("double").alias("top"), slots.alias("cells")).alias("r"))
+    bands = rows.groupBy(*band).agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    gaps = F.sort_array(F.filter(F.zip_with(F.slice("rs", 2, 1_000_000), "rs", lambda b, a: b["top"] - a["top"]), lambda g: g > 0))
+    usual = F.coalesce(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(ROW))
+    bands = bands.select(*band, merged_rows(F.transform("rs", lambda r: F.struct(r["top"].alias("top"), r["cells"].alias("cells"))), usual * NEAR).alias("rows"))
+    many = F.size(F.filter("rows", lambda r: F.size(F.filter(r["cells"], lambda c: c != "")) >= 2))
+    later = F.filter(F.flatten(F.transform("rows", lambda r: F.slice(r["cells"], 2, 1_000))), lambda c: c != "")
+    figures = F.size(F.filter(later, lambda c: c.rlike(LAYOUT_NUMBER) | c.rlike(r"^\s*[-–—]\s*$")))
+    kept = bands.where((F.size("rows") >= MIN_ROWS) & (many >= MIN_ROWS) & (F.size(later) > 0) & (figures >= NUMERIC_SHARE * F.size(later)))
+    return kept.select(*band, F.posexplode("rows").alias("row", "r")).select(*band, "row", "r.cells", "r.n")
+
+
+# --- pages that were read again, pictures, tables twice ------------------------------------------
+
+
+def scanned(texts: DataFrame, doc: str, text: Column) -> DataFrame:
+    """``doc, pages, share, scan``: a page of fewer than 40 characters is empty; 60 % of them make a scan."""
+    empty = (F.length(text) < PAGE_CHARS).cast("int")
+    return texts.groupBy(doc).agg(F.count("*").alias("pages"), F.round(F.avg(empty), 6).alias("share"), (F.avg(empty) >= SCANNED).alias("scan"))
+
+
+def better_reading(layer: Column, read: Column, damage) -> Column:
+    """Whether a page read again replaces its text: half the damage, and 85 % of its letters."""
+    letters = lambda t: T.count_of(t, _LETTER)
+    return (damage(read) <= damage(layer) / 2) & (letters(read) >= letters(layer) * REREAD_TEXT)
+
+
+def new_figure_lines(typed: DataFrame, read: DataFrame, page: str) -> DataFrame:
+    """``page, line`` of what was read from a page's pictures: lines with a figure of two digits or more that
+    the typed text lacks; where a page has three of them."""
+    plain = lambda f: F.regexp_replace(f, ",", "")
+    known = typed.select(page, F.explode(F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0))).alias("f")).select(page, plain(F.col("f")).alias("f"))
+    known = known.unionByName(known.select(page, F.explode(F.split("f", r"\.")).alias("f"))).distinct()
+    figures = read.select(page, "line", F.explode(F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0))).alias("raw")).select(page, "line", plain(F.col("raw")).alias("f"))
+    fresh = figures.where(F.length(F.regexp_replace("f", r"\.", "")) >= 2).join(known, [page, "f"], "left_anti").select(page, "line").distinct()
+    return fresh.withColumn("n", F.count("*").over(Window.partitionBy(page))).where(F.col("n") >= NEW_LINES).drop("n")
+
+
+def uncovered_lines(lines: DataFrame, cells: DataFrame, page: str) -> DataFrame:
+    """The lines of a page that are neither a cell of its tables nor a whole row of one, spaces aside."""
+    same = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    rows = cells.where(F.trim("cell") != "").groupBy(page, "row").agg(F.sort_array(F.collect_list(F.struct("col", "cell"))).alias("cs"))
+    whole = rows.where(F.size("cs") > 1).select(page, same(F.array_join(F.transform("cs", lambda x: x["cell"]), " ")).alias("t"))
+    taken = cells.select(page, same(F.col("cell")).alias("t")).unionByName(whole).where("t <> ''").distinct()
+    return lines.withColumn("t", same(F.col("text"))).join(taken, [page, "t"], "left_anti").drop("t")
+
+
+def first_source(grids: DataFrame, page: str) -> DataFrame:
+    """Of a page's grids of two rows and two columns or more those of its best source alone (0: ruled)."""
+    sound = grids.where("n_rows >= 2 and n_cols >= 2")
+    best = F.min("source").over(Window.partitionBy(page))
+    return sound.withColumn("best", best).where("source = best").drop("best")
+
+
+def picture_share(area: Column, page_area: Column) -> Column:
+    return F.least(F.lit(1.0), F.coalesce(area, F.lit(0.0)) / page_area)
+
+
+def agreed(table_text: Column, our_text: Column) -> tuple[Column, Column, Column]:
+    """(numbers, share, kept) of a table that someone else has read: three numbers of three digits, 30 % of
+    which our text has too, and not so many thin letters that it is misread Arabic."""
+    numbers = lambda t: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(F.regexp_replace(x, ",", ""), r"\.0+$", "")), lambda x: T.count_of(x, r"\d") >= DIGITS))
+    theirs = numbers(table_text)
+    share = F.when(F.size(theirs) > 0, F.size(F.array_intersect(theirs, numbers(our_text))) / F.size(theirs)).otherwise(0.0)
+    letters = T.count_of(table_text, "[A-Za-z]")
+    misread = (letters >= JUDGED) & (T.count_of(table_text, "[lijIJ]") > THIN * letters)
+    return F.size(theirs), share, (F.size(theirs) >= NUMBERS) & (share >= AGREED) & ~misread
+
+
+def ordered(df: DataFrame, key: str, *order: Column, out: str) -> DataFrame:
+    return R.ranked(df, [key], *order, out=out)

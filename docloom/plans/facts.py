@@ -127,11 +127,6 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("c_custkey", "s_suppkey", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("apart"))
 
 
-def heading_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as lines of their brand's document, sizes as font sizes: which are headings."""
-    return X.heading_levels(read(spark, sf_dir, "part"), "p_brand", "p_size", F.length("p_name"))
-
-
 def letter_swap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part words with their first letters exchanged, repaired by the vocabulary of all names."""
     words = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
@@ -141,12 +136,6 @@ def letter_swap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.unswapped(broken, vocabulary)
 
 
-def scan_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts most of whose pages are nearly empty."""
-    p = read(spark, sf_dir, "pages").select(F.lower(F.regexp_extract(T.text_or_empty("url"), r"^[a-zA-Z]+://([^/:?#]+)", 1)).alias("host"), (F.length(T.text_or_empty("html")) < 1200).cast("int").alias("empty"))
-    return p.groupBy("host").agg(F.count("*").alias("pages"), F.round(F.avg("empty"), 6).alias("share"), (F.avg("empty") >= 0.6).alias("scan"))
-
-
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most frequent terms of four letters or more of each document."""
     t = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.terms(T.text_or_empty("text"))).alias("term")).where(F.length("term") >= 4)
@@ -237,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entities_by_kind, value_classify, dates_found, evidence_date, standing, recency_rank, explicit_dates, relative_windows, dated_sweep, ranged_timeline, supersede_rivals, amount_conflicts,
-        band_join, heading_sizes, letter_swap_repair, scan_decision, key_terms, canonical_names, synonym_expand, ambiguous_words, locator_labels, pool_term_weights, uncovered_terms,
+        band_join, letter_swap_repair, key_terms, canonical_names, synonym_expand, ambiguous_words, locator_labels, pool_term_weights, uncovered_terms,
         expand_sections, short_doc_complete, regression_gate,
     )
 }
@@ -273,13 +262,10 @@ SQL = {
           (SELECT count(*) FROM n b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.s = 'superseded') AS old FROM n a WHERE a.s = 'superseded') SELECT o_orderkey, rivals FROM r WHERE rivals > 0 AND old <= 3""",
     "amount_conflicts": f'WITH {_N} SELECT o_custkey, day::VARCHAR AS day, count(DISTINCT o_totalprice) AS "values", min(o_totalprice) AS low, max(o_totalprice) AS high FROM n GROUP BY o_custkey, day HAVING count(DISTINCT o_totalprice) > 1',
     "band_join": "SELECT c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 2) AS apart FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 5",
-    "heading_sizes": """WITH p AS (SELECT p_brand, p_size, sum(length(p_name)) AS c, count(*) AS n FROM part GROUP BY ALL), b AS (SELECT p_brand, p_size AS body FROM p QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, p_size) = 1)
-        SELECT p_brand, p_size, body, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC)::INTEGER AS level, n FROM p JOIN b USING (p_brand) WHERE p_size >= 1.15 * body QUALIFY level <= 6""",
     "letter_swap_repair": """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), v AS (SELECT word, count(*) AS n FROM w GROUP BY word),
         b AS (SELECT DISTINCT substring(word, 2, 1) || substring(word, 1, 1) || substring(word, 3) AS word FROM w WHERE p_partkey % 3 = 0),
         t AS (SELECT word, substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2) AS t FROM b, unnest(range(1, length(word))) AS r(i) WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM v))
         SELECT t.word, arg_min(v.word, (-n, v.word)) AS fixed FROM t JOIN v ON v.word = t.t GROUP BY t.word""",
-    "scan_decision": "SELECT lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages, round(avg((length(coalesce(html, '')) < 1200)::INTEGER), 6) AS share, avg((length(coalesce(html, '')) < 1200)::INTEGER) >= 0.6 AS scan FROM pages GROUP BY 1",
     "key_terms": r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 4)) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::INTEGER AS rank FROM c QUALIFY rank <= 5""",
     "canonical_names": f"SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_CANON}), ' ') AS name, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1",
