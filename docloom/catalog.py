@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, analytics, answers, evidence, facts, filing, knowledge, language, layout, measures, retrieval, streams, tables
+from docloom.plans import analysis, analytics, answers, checks, evidence, facts, filing, knowledge, language, layout, measures, retrieval, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers, language, filing, measures, knowledge, layout)
+MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers, language, filing, measures, knowledge, layout, checks)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import retrieval as R
 
 #: Headings by declared styles, share of paragraphs that a guess may take, their length.
 MIN_HEADINGS, MAX_SHARE, MAX_CHARS, MAX_DEPTH = 3, 0.35, 120, 4
@@ -243,6 +242,3 @@ def agreed(table_text: Column, our_text: Column) -> tuple[Column, Column, Column
     misread = (letters >= JUDGED) & (T.count_of(table_text, "[lijIJ]") > THIN * letters)
     return F.size(theirs), share, (F.size(theirs) >= NUMBERS) & (share >= AGREED) & ~misread
 
-
-def ordered(df: DataFrame, key: str, *order: Column, out: str) -> DataFrame:
-    return R.ranked(df, [key], *order, out=out)
