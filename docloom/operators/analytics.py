@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.store import stored
+
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank: the value at index ``round(p * (n - 1))``, halves to even.
 
-    Equal values are counted first, in every task, so what the window sees is a row for each
-    distinct value and never a group's rows."""
+    Equal values are counted first, in every task. The counts are sorted by ranges of group and value,
+    so that no group is in one task; the ranges' totals say in which range an index lies, and only
+    that one is counted up to it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*group)
-    upto = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(w))
-    at = lambda p: F.bround(p * (F.col("__all") - 1), 0)
-    return counts.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()], F.first("__all").alias("n"))
+    placed = stored(counts.repartitionByRange(*group, value).withColumn("__part", F.spark_partition_id()))
+    parts = placed.groupBy(*group, "__part").agg(F.sum("__n").alias("__sum"))
+    all_ = Window.partitionBy(*group)
+    upto = F.sum("__sum").over(all_.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("__upto", upto).withColumn("__all", F.sum("__sum").over(all_))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])
+    parts = parts.select(*group, "__part", (F.col("__upto") - F.col("__sum")).alias("__before"), "__upto", "__all", F.explode(wanted).alias("w"))
+    index = F.bround(F.col("w.p") * (F.col("__all") - 1), 0)
+    parts = parts.withColumn("__at", index).where((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__upto")))
+    inside = placed.join(parts, [*group, "__part"])
+    here = Window.partitionBy(*group, "__part", "w").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__now", F.col("__before") + F.sum("__n").over(here)).where(F.col("__now") > F.col("__at"))
+    first = inside.groupBy(*group, F.col("w.name").alias("name")).agg(F.min(value).alias("v"), F.first("__all").alias("n"))
+    return first.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares], F.max("n").alias("n"))
 
 
 def calendar(days: DataFrame, day: str) -> DataFrame:
@@ -40,35 +52,18 @@ def most_at_once(df: DataFrame, key: str, start: Column, end: Column) -> DataFra
 
 
 def retention(days: DataFrame, day: str, daily: int, weekly: int) -> DataFrame:
-    """Days to keep: the newest ``daily`` ones, then the newest of each of ``weekly`` earlier
-    weeks that none of those is in. One row for each day is ranked, whatever the log's size."""
+    """Days to keep: the newest ``daily`` ones, then of each of the last ``weekly`` weeks that have days
+    besides those the newest of these. One row for each day is ranked, whatever the log's size."""
     every = Window.partitionBy(F.lit(0)).orderBy(F.desc(day))
     d = days.select(day).distinct().withColumn("nth", F.row_number().over(every)).withColumn("week", F.date_trunc("week", F.col(day)).cast("date"))
-    taken = F.max((F.col("nth") <= daily).cast("int")).over(Window.partitionBy("week"))
-    newest = F.row_number().over(Window.partitionBy("week").orderBy(F.desc(day))) == 1
-    d = d.withColumn("by_week", (taken == 0) & newest)
+    rest = F.col("nth") > daily
+    newest = F.row_number().over(Window.partitionBy("week", rest).orderBy(F.desc(day))) == 1
+    d = d.withColumn("by_week", rest & newest)
     week_no = F.when(F.col("by_week"), F.sum(F.col("by_week").cast("int")).over(every.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("kept", F.when(F.col("nth") <= daily, "daily").when(week_no <= weekly, "weekly").otherwise("dropped"))
-
-
-def token_bucket(df: DataFrame, key: str, at: str, per_minute: float, burst: float, order: str) -> DataFrame:
-    """Replays a token bucket: a row passes if a token is left when it comes; tokens refill with
-    time. An ordered fold by key in constant state, streamed over sorted partitions."""
-    import pandas as pd
-
-    schema = f"{key} long, {order} long, allowed boolean"
-
-    def run(batches):
-        last_key, tokens, last = None, burst, 0.0
-        for b in batches:
-            out = []
-            for k, t, o in zip(b[key], b[at], b[order]):
-                if k != last_key:
-                    last_key, tokens, last = k, burst, t
-                tokens, last = min(burst, tokens + (t - last) * per_minute / 60.0), t
-                ok = tokens >= 1.0
-                tokens -= ok
-                out.append((k, o, ok))
-            yield pd.DataFrame(out, columns=[key, order, "allowed"])
-
-    return df.select(key, at, order).repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, schema)
+    return d.withColumn("kept", F.when(~rest, "daily").when(week_no <= weekly, "weekly").otherwise("dropped"))
+
+
+def over_limit(df: DataFrame, key: str, at: str, seconds: int, most: int, order: str) -> DataFrame:
+    """Rows that come when their key has had ``most`` others in the seconds before: a sliding window."""
+    seen = F.count("*").over(Window.partitionBy(key).orderBy(F.floor(F.col(at) * 1000).cast("long")).rangeBetween(-seconds * 1000, 0)) - 1
+    return df.withColumn("__seen", seen).select(key, order, (F.col("__seen") < most).alias("allowed"))

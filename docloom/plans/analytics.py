@@ -11,9 +11,12 @@ from docloom.operators import retrieval as R
 from docloom.plans.retrieval import read
 
 #: Latency bounds in seconds, and which states may follow each other.
-BOUNDS = (1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 45.0, 60.0, 90.0, 120.0, 180.0, 300.0)
+BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0, 90.0, 120.0, 180.0, 300.0, 600.0)
 ALLOWED = (("view", "click"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("signup", "view"), ("error", "view"))
-PER_MINUTE, BURST, GAP_S = 0.02, 3.0, 1800
+WINDOW_S, BURST, GAP_S, NONCE_S = 86_400, 3, 1800, 600
+#: How an event stands for a request's end, and thresholds of alerts.
+OUTCOMES = {"view": "answered", "click": "answered", "purchase": "clarified", "signup": "refused", "error": "error"}
+ERROR_RATE, REFUSAL_RATE, P95, LEAST = 0.05, 0.40, 240.0, 10
 SHARES = {"p50": 0.5, "p95": 0.95}
 
 
@@ -90,13 +93,60 @@ def slowest10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy(F.desc("value"), "event_id").limit(10)
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
+    return _events(spark, sf_dir).withColumn("outcome", F.try_element_at(names, F.col("event_type")))
+
+
+def monitoring_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by channel (k) and how they ended: rates, spreads of latency without errors, means."""
+    e = _outcomes(spark, sf_dir).withColumn("channel", F.col("k") % 3)
+    served = A.nearest_rank(e.where("outcome <> 'error'"), ["channel"], "value", {"p50": 0.5, "p95": 0.95})
+    rate = lambda o: F.round(F.count_if(F.col("outcome") == o) / F.count("*"), 3).alias(f"{o}_rate")
+    whole = e.groupBy("channel").agg(F.count("*").alias("total"), *[rate(o) for o in ("answered", "refused", "clarified", "error")], F.round(F.avg(F.when(F.col("outcome") != "error", F.col("k"))), 1).alias("mean_retrieved"))
+    return whole.join(served.select("channel", "p50", "p95"), "channel")
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of ten events or more with too many errors or a slow 95th percentile."""
-    e = _events(spark, sf_dir)
-    rate = e.groupBy("day").agg(F.count("*").alias("n"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("rate")).where("n >= 10")
-    slow = A.nearest_rank(e, ["day"], "value", {"p95": 0.95}).where("n >= 10 and p95 > 100")
-    both = rate.where("rate > 0.2").select("day", F.lit("errors").alias("alert"), F.round("rate", 6).alias("measure")).unionByName(slow.select("day", F.lit("latency").alias("alert"), F.col("p95").alias("measure")))
-    return both.withColumn("day", F.col("day").cast("string"))
+    """Days of ten requests or more with over 5 % errors, over 40 % refusals or a slow 95th percentile."""
+    e = _outcomes(spark, sf_dir)
+    share = lambda o: F.count_if(F.col("outcome") == o) / F.count("*")
+    rate = e.groupBy("day").agg(F.count("*").alias("n"), share("error").alias("error"), share("refused").alias("refused")).where(F.col("n") >= LEAST)
+    slow = A.nearest_rank(e.where("outcome <> 'error'"), ["day"], "value", {"p95": 0.95}).join(rate.select("day"), "day").where(F.col("p95") > P95)
+    one = lambda d, name, c: d.select("day", F.lit(name).alias("alert"), F.round(c, 6).alias("measure"))
+    every = one(rate.where(F.col("error") > ERROR_RATE), "error_rate", F.col("error")).unionByName(one(rate.where(F.col("refused") > REFUSAL_RATE), "refusal_rate", F.col("refused"))).unionByName(one(slow, "latency", F.col("p95")))
+    return every.withColumn("day", F.col("day").cast("string"))
+
+
+def quality_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole period, this week and the one before: questions, share answered, verified (an even k), liked
+    (k below 50), remembered (k of 7), median seconds of those not remembered, users."""
+    e = _outcomes(spark, sf_dir)
+    last = e.agg(F.max("day").alias("last")).withColumn("one", F.lit(1))
+    e = e.withColumn("one", F.lit(1)).join(last, "one").withColumn("age", F.datediff("last", "day"))
+    spans = F.array(F.when(F.col("age") < 30, "period"), F.when(F.col("age") < 7, "this week"), F.when(F.col("age").between(7, 13), "last week"))
+    w = e.withColumn("span", F.explode(F.array_compact(spans)))
+    good, remembered = F.col("outcome") == "answered", F.col("k") % 7 == 0
+    rate = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 3)
+    up, down = F.count_if(F.col("k") < 20), F.count_if(F.col("k") >= 80)
+    return w.groupBy("span").agg(
+        F.count("*").alias("questions"), rate(F.count_if(good), F.count("*")).alias("answer_rate"), rate(F.count_if(good & (F.col("k") % 2 == 0)), F.count_if(good)).alias("verified_rate"), rate(up, up + down).alias("satisfaction"),
+        F.count_if(remembered).alias("remembered"), F.round(F.median(F.when(good & ~remembered, F.col("value"))), 1).alias("median_seconds"), F.countDistinct("user_id").alias("users"),
+    )
+
+
+def nightly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's lines: outcomes with whole percents, the median, the most frequent reasons for a refusal."""
+    e = _outcomes(spark, sf_dir)
+    last = e.agg(F.max("at").alias("last")).withColumn("one", F.lit(1))
+    e = e.withColumn("one", F.lit(1)).join(last, "one").where(F.col("last") - F.col("at") < 86_400).drop("one")
+    total = e.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    per = e.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)).join(total, "one")
+    lines = per.select(F.concat(F.lit("outcome "), "outcome").alias("line"), "n", F.floor(F.col("n") * 100 / F.col("total")).alias("percent"))
+    reasons = e.where("outcome = 'refused'").groupBy((F.col("k") % 4).alias("reason")).agg(F.count("*").alias("n"))
+    reasons = reasons.orderBy(F.desc("n"), "reason").limit(5).select(F.concat(F.lit("reason "), "reason").alias("line"), "n", F.lit(None).cast("long").alias("percent"))
+    middle = e.agg(F.round(F.median("value")).cast("long").alias("n")).select(F.lit("median seconds").alias("line"), "n", F.lit(None).cast("long").alias("percent"))
+    return lines.unionByName(reasons).unionByName(middle)
 
 
 def quota_today(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +168,8 @@ def concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which events a token bucket for each user lets pass."""
-    return A.token_bucket(_events(spark, sf_dir), "user_id", "at", PER_MINUTE, BURST, "event_id")
+    """Which requests stay within three others of the same user in the day before."""
+    return A.over_limit(_events(spark, sf_dir), "user_id", "at", WINDOW_S, BURST, "event_id")
 
 
 def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +181,10 @@ def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose (user, k) was used in the day before."""
-    w = Window.partitionBy("user_id", "k").orderBy("at", "event_id")
+    """Events of which the user or one with the same k claimed this nonce (k) within 600 seconds before."""
+    w = Window.partitionBy("k").orderBy("at", "event_id")
     e = _events(spark, sf_dir).withColumn("age", F.col("at") - F.lag("at").over(w))
-    return e.where("age <= 86400").select("event_id", F.round("age", 3).alias("age"))
+    return e.where(F.col("age") <= NONCE_S).select("event_id", F.round("age", 3).alias("age"))
 
 
 def stage_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +222,7 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the log to keep: seven newest, then the newest of two earlier weeks."""
+    """Days of the log to keep: seven newest, then the newest other one of two weeks."""
     out = A.retention(_events(spark, sf_dir), "day", 7, 2)
     return out.select(F.col("day").cast("string").alias("day"), "kept")
 
@@ -262,7 +312,7 @@ def metric_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metrics_summary, nearest_rank_percentiles, daily_percentiles, latency_histogram, prometheus_lines, daily_series, user_daily_series, week_over_week, error_top8, slowest10, alerts,
+        metrics_summary, nearest_rank_percentiles, daily_percentiles, latency_histogram, prometheus_lines, daily_series, user_daily_series, week_over_week, error_top8, slowest10, monitoring_rates, alerts, quality_windows, nightly_report,
         quota_today, user_sessions, concurrency, rate_limit, idempotent_replay, nonce_replay, stage_first, last_view_asof, rephrase_pairs, illegal_transitions, current_state, retention_prune,
         latency_estimate, library_stats, tallies_grouping_sets, folder_tree, distinct_categories, registry_list, access_filter, scd_active_version, latest_replace, index_health,
         orphans, metric_users,
@@ -277,6 +327,7 @@ def _rank_sql(group: str, value: str, shares: dict[str, float], where: str = "tr
     return f"SELECT {group}, {picks}, len(vs)::BIGINT AS n FROM (SELECT {group}, list_sort(list({value})) AS vs FROM e WHERE {where} GROUP BY {group})"
 
 
+_O = "o AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'clarified' WHEN 'signup' THEN 'refused' WHEN 'error' THEN 'error' ELSE 'answered' END AS outcome FROM e)"
 _BUCKETS = "[" + ", ".join(f"{b}::DOUBLE" for b in BOUNDS) + "]"
 _LES = "[" + ", ".join(f"'{b:g}'" for b in BOUNDS) + ", '+Inf']"
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, b in ALLOWED)
@@ -300,22 +351,26 @@ SQL = {
         SELECT CASE WHEN age < 7 THEN 'this week' ELSE 'last week' END AS period, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM a WHERE age < 14 GROUP BY 1""",
     "error_top8": "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 8",
     "slowest10": "SELECT event_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 10",
-    "alerts": f"""WITH {_E}, r AS (SELECT day, count(*) AS n, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS rate FROM e GROUP BY day), p AS ({_rank_sql('day', 'value', {'p95': 0.95})})
-        SELECT day::VARCHAR AS day, 'errors' AS alert, round(rate, 6) AS measure FROM r WHERE n >= 10 AND rate > 0.2 UNION ALL SELECT day::VARCHAR, 'latency', p95 FROM p WHERE n >= 10 AND p95 > 100""",
+    "alerts": f"""WITH {_E}, {_O}, r AS (SELECT day, count(*) AS n, count(*) FILTER (outcome = 'error') / count(*)::DOUBLE AS er, count(*) FILTER (outcome = 'refused') / count(*)::DOUBLE AS rf FROM o GROUP BY day HAVING count(*) >= 10), p AS ({_rank_sql('day', 'value', {'p95': 0.95}, "event_type <> 'error'")})
+        SELECT day::VARCHAR AS day, 'error_rate' AS alert, round(er, 6) AS measure FROM r WHERE er > 0.05 UNION ALL SELECT day::VARCHAR, 'refusal_rate', round(rf, 6) FROM r WHERE rf > 0.4 UNION ALL SELECT day::VARCHAR, 'latency', round(p95, 6) FROM p JOIN r USING (day) WHERE p95 > 240""",
+    "monitoring_rates": f"""WITH {_E}, {_O}, p AS (SELECT channel, vs[(round_even(0.5 * (len(vs) - 1), 0))::BIGINT + 1] AS p50, vs[(round_even(0.95 * (len(vs) - 1), 0))::BIGINT + 1] AS p95 FROM (SELECT k % 3 AS channel, list_sort(list(value)) AS vs FROM o WHERE outcome <> 'error' GROUP BY 1)),
+        w AS (SELECT k % 3 AS channel, count(*) AS total, round(count(*) FILTER (outcome = 'answered') / count(*)::DOUBLE, 3) AS answered_rate, round(count(*) FILTER (outcome = 'refused') / count(*)::DOUBLE, 3) AS refused_rate, round(count(*) FILTER (outcome = 'clarified') / count(*)::DOUBLE, 3) AS clarified_rate,
+          round(count(*) FILTER (outcome = 'error') / count(*)::DOUBLE, 3) AS error_rate, round(avg(k) FILTER (outcome <> 'error'), 1) AS mean_retrieved FROM o GROUP BY 1) SELECT * FROM w JOIN p USING (channel)""",
+    "quality_windows": f"""WITH {_E}, {_O}, a AS (SELECT *, (SELECT max(day) FROM e) - day AS age FROM o), w AS (SELECT *, unnest(list_filter([CASE WHEN age < 30 THEN 'period' END, CASE WHEN age < 7 THEN 'this week' END, CASE WHEN age BETWEEN 7 AND 13 THEN 'last week' END], lambda x: x IS NOT NULL)) AS span FROM a)
+        SELECT span, count(*) AS questions, round(count(*) FILTER (outcome = 'answered') / count(*)::DOUBLE, 3) AS answer_rate, round(count(*) FILTER (outcome = 'answered' AND k % 2 = 0) / nullif(count(*) FILTER (outcome = 'answered'), 0)::DOUBLE, 3) AS verified_rate,
+          round(count(*) FILTER (k < 20) / nullif(count(*) FILTER (k < 20 OR k >= 80), 0)::DOUBLE, 3) AS satisfaction, count(*) FILTER (k % 7 = 0) AS remembered, round(median(value) FILTER (outcome = 'answered' AND k % 7 <> 0), 1) AS median_seconds, count(DISTINCT user_id) AS users FROM w GROUP BY span""",
+    "nightly_report": f"""WITH {_E}, {_O}, d AS (SELECT * FROM o WHERE (SELECT max(sec) FROM e) - sec < 86400), r AS (SELECT 'reason ' || k % 4 AS line, count(*) AS n, NULL::BIGINT AS percent FROM d WHERE outcome = 'refused' GROUP BY k % 4 ORDER BY n DESC, k % 4 LIMIT 5)
+        SELECT 'outcome ' || outcome AS line, count(*) AS n, (count(*) * 100 // (SELECT count(*) FROM d))::BIGINT AS percent FROM d GROUP BY outcome UNION ALL SELECT * FROM r UNION ALL SELECT 'median seconds', round(median(value))::BIGINT, NULL FROM d""",
     "quota_today": f"WITH {_E} SELECT user_id, count(*) AS used FROM e WHERE day = (SELECT max(day) FROM e) AND event_type = 'purchase' GROUP BY user_id",
     "user_sessions": f"""WITH {_E}, l AS (SELECT *, coalesce((sec - lag(sec) OVER w > 1800)::INTEGER, 0) AS starts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
         s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM l)
         SELECT user_id, session, count(*) AS n, round(max(sec) - min(sec), 3) AS seconds, round(sum(value), 2) AS total FROM s GROUP BY user_id, session""",
     "concurrency": f"""WITH {_E}, m AS (SELECT user_id, sec, 1 AS step FROM e UNION ALL SELECT user_id, sec + value * 60, -1 FROM e),
         o AS (SELECT user_id, sum(step) OVER (PARTITION BY user_id ORDER BY sec, step ROWS UNBOUNDED PRECEDING)::BIGINT AS open FROM m) SELECT user_id, max(open) AS most FROM o GROUP BY user_id""",
-    "rate_limit": f"""WITH RECURSIVE {_E}, n AS (SELECT user_id, event_id, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM e),
-        f AS (SELECT user_id, event_id, sec, i, true AS allowed, {BURST}::DOUBLE - 1 AS tokens FROM n WHERE i = 1 UNION ALL
-          SELECT n.user_id, n.event_id, n.sec, n.i, least({BURST}::DOUBLE, f.tokens + (n.sec - f.sec) * {PER_MINUTE}::DOUBLE / 60.0::DOUBLE) >= 1,
-            least({BURST}::DOUBLE, f.tokens + (n.sec - f.sec) * {PER_MINUTE}::DOUBLE / 60.0::DOUBLE) - (least({BURST}::DOUBLE, f.tokens + (n.sec - f.sec) * {PER_MINUTE}::DOUBLE / 60.0::DOUBLE) >= 1)::INTEGER
-          FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1) SELECT user_id, event_id, allowed FROM f""",
+    "rate_limit": f"""WITH {_E} SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(sec * 1000)::BIGINT RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) - 1 < 3 AS allowed FROM e""",
     "idempotent_replay": f"""WITH {_E} SELECT event_id, CASE WHEN event_id = first_value(event_id) OVER w THEN 'first' WHEN event_type = first_value(event_type) OVER w THEN 'replay' ELSE 'conflict' END AS state
         FROM e WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id)""",
-    "nonce_replay": f"WITH {_E}, a AS (SELECT event_id, sec - lag(sec) OVER (PARTITION BY user_id, k ORDER BY sec, event_id) AS age FROM e) SELECT event_id, round(age, 3) AS age FROM a WHERE age <= 86400",
+    "nonce_replay": f"WITH {_E}, a AS (SELECT event_id, sec - lag(sec) OVER (PARTITION BY k ORDER BY sec, event_id) AS age FROM e) SELECT event_id, round(age, 3) AS age FROM a WHERE age <= 600",
     "stage_first": """WITH f AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1)
         SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS stage FROM f""",
     "last_view_asof": """WITH v AS (SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id FROM events)
@@ -326,9 +381,8 @@ SQL = {
         SELECT before, event_type, count(*) AS n FROM p WHERE before IS NOT NULL AND (before, event_type) NOT IN ({_EDGES}) GROUP BY ALL""",
     "current_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY user_id",
     "retention_prune": f"""WITH {_E}, d AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS nth, date_trunc('week', day) AS week FROM (SELECT DISTINCT day FROM e)),
-        w AS (SELECT *, NOT bool_or(nth <= 7) OVER (PARTITION BY week) AND row_number() OVER (PARTITION BY week ORDER BY day DESC) = 1 AS by_week FROM d),
-        k AS (SELECT *, sum(by_week::INTEGER) OVER (ORDER BY day DESC) AS week_no FROM w)
-        SELECT day::VARCHAR AS day, CASE WHEN nth <= 7 THEN 'daily' WHEN by_week AND week_no <= 2 THEN 'weekly' ELSE 'dropped' END AS kept FROM k""",
+        w AS (SELECT day, dense_rank() OVER (ORDER BY week DESC) AS week_no FROM d WHERE nth > 7 QUALIFY row_number() OVER (PARTITION BY week ORDER BY day DESC) = 1)
+        SELECT day::VARCHAR AS day, CASE WHEN nth <= 7 THEN 'daily' WHEN week_no <= 2 THEN 'weekly' ELSE 'dropped' END AS kept FROM d LEFT JOIN w USING (day)""",
     "latency_estimate": "SELECT event_type, round(median(value), 6) AS typical FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20) GROUP BY event_type",
     "library_stats": """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS waiting, round(sum(o_totalprice), 2) AS total,
         max(o_orderdate)::DATE::VARCHAR AS last_day FROM orders GROUP BY o_orderpriority""",

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How the known kinds of file begin, and the front-matter keys that are read.
-MAGIC = (("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("ooxml", "504B0304"))
-KEYS = ("title", "category", "project", "version", "date", "language", "status", "owner", "author", "tags")
+MAGIC = (
+    ("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("bmp", "424D"), ("tiff", "49492A00"), ("tiff", "4D4D002A"), ("webp", "52494646"), ("ole", "D0CF11E0"),
+)
+KEYS = ("title", "category", "source", "version", "date", "language", "author", "tags", "project", "reference")
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
@@ -16,12 +18,26 @@ def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def kind(content: Column, path: Column) -> Column:
-    """By the first bytes; text only where the name says Markdown, else ``unknown``."""
+    """By the first bytes, Office files by the names inside of their ZIP; empty and broken ones are called
+    so; text only where the name says Markdown, else ``unknown``."""
     head = F.hex(F.substring(content, 1, 4))
+    inside = F.decode(content, "ISO-8859-1")
+    office = F.when(~inside.contains("PK\x05\x06"), "corrupt").when(inside.contains("word/document.xml"), "docx").when(inside.contains("xl/workbook.xml"), "xlsx").otherwise("zip")
     out = F.when(F.lower(path).rlike(r"\.(md|markdown)$"), "markdown").otherwise("unknown")
+    out = F.when(head == "504B0304", office).otherwise(out)
     for name, magic in reversed(MAGIC):
         out = F.when(head.startswith(magic), name).otherwise(out)
-    return out
+    return F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "empty").otherwise(out)
+
+
+#: What reads each kind of file; a kind without a reader is refused.
+READERS = {"markdown": "markdown", "docx": "paragraphs", "xlsx": "cells", "pdf": "pages", "png": "pages", "jpeg": "pages", "tiff": "pages"}
+
+
+def dispatched(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """``path, kind, reader``: the reader of each file whose kind is allowed and has one, else null."""
+    lookup = F.create_map(*[F.lit(x) for k, r in READERS.items() if k in allowed for x in (k, r)])
+    return files.select("path", "kind", F.try_element_at(lookup, F.col("kind")).alias("reader"))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on small tables of examples."""
 
+import time
+import zipfile
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import analytics, evidence, filing, retrieval, structure
 from docloom.sources import files, tables
+from docloom.streaming import events
 
 
 def values(spark, column, texts):
@@ -71,6 +75,31 @@ def test_nearest_rank_halves_to_even(spark):
     assert got == {"a": (3.0, 6), "b": (5.0, 1)}
 
 
+def test_retention_takes_other_days_of_a_week(spark):
+    """Thirty unbroken days: seven daily ones, then the newest other day of each of two weeks."""
+    days = [(date(2026, 1, 30) - timedelta(days=k),) for k in range(30)]
+    got = analytics.retention(spark.createDataFrame(days, "d date"), "d", 7, 2).collect()
+    assert sorted(r.d.isoformat() for r in got if r.kept == "weekly") == ["2026-01-18", "2026-01-23"]
+    assert sum(r.kept == "daily" for r in got) == 7
+
+
+def test_streams_keep_state_over_batches(spark, tmp_path):
+    """Four files in four batches, out of order: late rows are left out of windows, counters go on, and a
+    key's last state wins."""
+    t0 = datetime(2026, 1, 1)
+    rows = lambda *ms: [(i, t0 + timedelta(minutes=m), 1, "view", 1.0, "{}") for i, m in enumerate(ms)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    for n, minutes in enumerate(((0, 1), (2, 61), (62, 3), (200,))):  # minute 3 comes when the watermark is at 51
+        spark.createDataFrame(rows(*minutes), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = lambda: events.events(spark, f"{tmp_path}/e", 1)
+    counted = events.drained(events.counters(stream(), (5.0,)), "update", ["event_type", "bucket"])
+    assert [(r.event_type, r.n) for r in counted.collect()] == [("view", 7)]
+    windows = {r.start_s // 60 - int(t0.timestamp()) // 60: r.n for r in events.drained(events.windows(stream(), "60 minutes"), "append", ["start_s", "event_type"]).collect()}
+    assert windows == {0: 3, 60: 2}
+    assert events.drained(events.first_sights(stream()), "append", ["user_id", "event_type"]).count() == 1
+
+
 def test_budget_keeps_the_first(spark):
     df = spark.createDataFrame([("q", 1, 900), ("q", 2, 100), ("q", 3, 50), ("r", 1, 400), ("r", 2, 700), ("r", 3, 1)], "q string, o int, n int")
     got = retrieval.within_budget(df, ["q"], [F.col("o")], F.col("n"), 800).select("q", "o").collect()
@@ -126,13 +155,19 @@ def test_arms_keep_k_rows_of_each_block(spark, monkeypatch):
 
 
 def test_files_and_markdown(spark, tmp_path):
-    (tmp_path / "a.md").write_text("---\nTitle: 'Plan'\nsecret: x\nowner:\nstatus: draft\n---\nintro\n# One\ntext\n```\n# no heading\n```\n## Two ##\n")
+    (tmp_path / "a.md").write_text("---\nTitle: 'Plan'\nsecret: x\nauthor:\nproject: north\n---\nintro\n# One\ntext\n```\n# no heading\n```\n## Two ##\n")
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7")
     (tmp_path / "c.bin").write_bytes(b"??")
+    (tmp_path / "d.png").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
+        z.writestr("word/document.xml", "<x/>")
+    (tmp_path / "f.docx").write_bytes((tmp_path / "e.docx").read_bytes()[:40])
     kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in files.registry(spark, str(tmp_path)).collect()}
-    assert kinds == {"a.md": "markdown", "b.pdf": "pdf", "c.bin": "unknown"}
+    assert kinds == {"a.md": "markdown", "b.pdf": "pdf", "c.bin": "unknown", "d.png": "empty", "e.docx": "docx", "f.docx": "corrupt"}
+    readers = {r.path.rsplit("/", 1)[1]: r.reader for r in files.dispatched(files.registry(spark, str(tmp_path)), ("markdown", "docx")).collect()}
+    assert readers == {"a.md": "markdown", "b.pdf": None, "c.bin": None, "d.png": None, "e.docx": "paragraphs", "f.docx": None}
     md = files.markdown(spark, str(tmp_path))
-    assert md.first().meta == {"title": "Plan", "status": "draft"}
+    assert md.first().meta == {"title": "Plan", "project": "north"}
     got = [(r.level, r.heading, r.n_lines) for r in files.markdown_sections(md, "path", "body").orderBy("section").collect()]
     assert got == [(0, None, 1), (1, "One", 5), (2, "Two", 2)]
 
