@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import evidence as V
+from docloom.operators import filing as G
 from docloom.operators import retrieval as R
 from docloom.plans.retrieval import read
 
@@ -78,12 +79,10 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that share a word, by an equi-join on words, never on all pairs."""
-    n = read(spark, sf_dir, "part").select("p_name").distinct().withColumn("ts", F.array_distinct(T.terms(F.col("p_name"))))
-    words = n.select("p_name", F.size("ts").alias("k"), F.explode("ts").alias("t"))
-    other = words.select(F.col("p_name").alias("other"), F.col("k").alias("j"), "t")
-    both = words.join(other, "t").where("p_name < other").groupBy("p_name", "other").agg(F.count("*").alias("shared"), F.first(F.least("k", "j")).alias("least"))
-    return both.select("p_name", "other", F.round(F.col("shared") / F.col("least"), 6).alias("overlap"))
+    """Part names that share 0.6 of the smaller one's words; each looks for its rarest words alone."""
+    n = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("id")).distinct().withColumn("ts", F.array_distinct(T.terms(F.col("id"))))
+    both = G.overlap_pairs(n, n, 0.6).where("l < r")
+    return both.select(F.col("l").alias("p_name"), F.col("r").alias("other"), F.round("overlap", 6).alias("overlap"))
 
 
 def supplier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +139,12 @@ def resolved_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions asked before, in an earlier conversation, and the last one that asked them."""
+    """Questions asked before, in an earlier conversation, and the last one that asked them. The window sees
+    a row for each question and conversation, not the question's repeats."""
     u = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", F.sha2(T.normalize(F.col("text")), 256).alias("h"))
-    w = Window.partitionBy("h").orderBy("conv_id").rangeBetween(Window.unboundedPreceding, -1)
-    return u.withColumn("recalled", F.max("conv_id").over(w)).where("recalled is not null").select("conv_id", "turn", "recalled")
+    w = Window.partitionBy("h").orderBy("conv_id")
+    before = u.select("h", "conv_id").distinct().withColumn("recalled", F.lag("conv_id").over(w)).where("recalled is not null")
+    return u.join(before, ["h", "conv_id"]).select("conv_id", "turn", "recalled")
 
 
 def unsupported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +208,8 @@ SQL = {
         o AS (SELECT *, lead(rank) OVER w AS r2, lead(p_size) OVER w AS s2, row_number() OVER w AS i, count(*) OVER (PARTITION BY p_name) AS n FROM r WINDOW w AS (PARTITION BY p_name ORDER BY rank DESC, p_size DESC, p_partkey))
         SELECT p_name, p_partkey AS winner, CASE WHEN r2 IS NULL THEN 'only' WHEN rank > r2 THEN 'authority' WHEN p_size > s2 THEN 'version' ELSE 'order' END AS basis, n FROM o WHERE i = 1""",
     "version_compare": """SELECT p_brand, p_partkey, 'v' || p_size || '.' || p_partkey % 12 AS version FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 12 DESC, p_partkey) = 1""",
-    "name_overlap": f"""WITH n AS (SELECT DISTINCT p_name, list_distinct({_T.format('p_name')}) AS ts FROM part)
-        SELECT a.p_name, b.p_name AS other, round({_overlap_sql('a.ts', 'b.ts')}, 6) AS overlap FROM n a JOIN n b ON a.p_name < b.p_name WHERE len(list_intersect(a.ts, b.ts)) > 0""",
+    "name_overlap": f"""WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand AS id FROM part), m AS (SELECT id, list_distinct({_T.format('id')}) AS ts FROM n)
+        SELECT a.id AS p_name, b.id AS other, round({_overlap_sql('a.ts', 'b.ts')}, 6) AS overlap FROM m a JOIN m b ON a.id < b.id WHERE {_overlap_sql('a.ts', 'b.ts')} >= 0.6::DOUBLE""",
     "supplier_rank": """SELECT n_name, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey)::INTEGER AS place, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY place <= 3""",
     "turn_stats": f"SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, sum(len({_TERMS}))::BIGINT AS terms, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "previous_turn": f"WITH {_PREV} SELECT conv_id, turn, coalesce(sha256(asked), '') AS asked_hash, round({_overlap_sql(_T.format('asked'), _TERMS)}, 6) AS overlap FROM p WHERE role = 'assistant'",

@@ -105,16 +105,6 @@ def ranged_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(inside.where("k >= 2"), ["o_custkey"], F.col("day"), F.col("o_orderkey"), out="place").select("o_custkey", "o_orderkey", "place")
 
 
-def supersede_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Superseded orders and how many later orders in force of the same customer and priority rival
-    them; a replacement that would stand for more than three is left out."""
-    n = _notes(spark, sf_dir).withColumn("s", X.standing(F.col("note"))).select("o_custkey", "o_orderpriority", "o_orderkey", "day", "s")
-    w = Window.partitionBy("o_custkey", "o_orderpriority")
-    later = F.count(F.when(F.col("s") == "current", 1)).over(w.orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    old = F.count(F.when(F.col("s") == "superseded", 1)).over(w)
-    return n.withColumn("rivals", later).withColumn("old", old).where("s = 'superseded' and rivals > 0 and old <= 3").select("o_orderkey", "rivals")
-
-
 def amount_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with different totals on one day: the lowest and the highest."""
     n = _notes(spark, sf_dir).groupBy("o_custkey", "day").agg(F.countDistinct("o_totalprice").alias("values"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
@@ -225,7 +215,7 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        entities_by_kind, value_classify, dates_found, evidence_date, standing, recency_rank, explicit_dates, relative_windows, dated_sweep, ranged_timeline, supersede_rivals, amount_conflicts,
+        entities_by_kind, value_classify, dates_found, evidence_date, standing, recency_rank, explicit_dates, relative_windows, dated_sweep, ranged_timeline, amount_conflicts,
         band_join, letter_swap_repair, key_terms, canonical_names, synonym_expand, ambiguous_words, locator_labels, pool_term_weights, uncovered_terms,
         expand_sections, short_doc_complete, regression_gate,
     )
@@ -258,8 +248,6 @@ SQL = {
     "dated_sweep": f"WITH {_N} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY day DESC, o_orderkey)::INTEGER AS timeline_rank FROM n QUALIFY timeline_rank <= 14",
     "ranged_timeline": f"""WITH {_N}, e AS (SELECT o_custkey, min(day) FILTER (s = 'superseded') AS a, max(day) FILTER (s = 'current') AS b FROM n GROUP BY o_custkey)
         SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey)::INTEGER AS place FROM n JOIN e USING (o_custkey) WHERE day BETWEEN a AND b QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2""",
-    "supersede_rivals": f"""WITH {_N}, r AS (SELECT a.o_orderkey, (SELECT count(*) FROM n b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.s = 'current' AND b.day >= a.day) AS rivals,
-          (SELECT count(*) FROM n b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.s = 'superseded') AS old FROM n a WHERE a.s = 'superseded') SELECT o_orderkey, rivals FROM r WHERE rivals > 0 AND old <= 3""",
     "amount_conflicts": f'WITH {_N} SELECT o_custkey, day::VARCHAR AS day, count(DISTINCT o_totalprice) AS "values", min(o_totalprice) AS low, max(o_totalprice) AS high FROM n GROUP BY o_custkey, day HAVING count(DISTINCT o_totalprice) > 1',
     "band_join": "SELECT c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 2) AS apart FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 5",
     "letter_swap_repair": """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), v AS (SELECT word, count(*) AS n FROM w GROUP BY word),

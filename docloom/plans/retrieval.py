@@ -96,18 +96,6 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(best, "item_id", "left").select("item_id", F.coalesce("best", F.lit(0.0)).alias("best"), (F.coalesce("best", F.lit(0.0)) >= R.COVERAGE_FLOOR).alias("passes"))
 
 
-def feature_rerank(spark: SparkSession, sf_dir: str, limit: int = 16) -> DataFrame:
-    """Linear rerank of the fused pool: fused, coverage, share of the pool's best keyword score,
-    and the document's standing (good labels up, toxic ones down)."""
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    best = F.max("keyword").over(Window.partitionBy("item_id"))
-    pool = _pool(spark, sf_dir).withColumn("share", F.when(best > 0, F.col("keyword") / best).otherwise(0.0))
-    pool = pool.join(labels, "doc_id", "left")
-    standing = F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 0.4).otherwise(0.0)
-    score = F.round(F.col("fused") + 0.9 * F.col("coverage") + F.col("share") + standing, 6)
-    return R.ranked(pool.select("item_id", "doc_id", score.alias("score")), ["item_id"], F.desc("score"), F.col("doc_id")).where(F.col("rank") <= limit)
-
-
 def reserved_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten places for each question, the three best-covering documents first."""
     pool = R.ranked(_pool(spark, sf_dir), ["item_id"], F.desc("coverage"), F.col("doc_id"), out="by_coverage")
@@ -179,7 +167,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_weighted, term_stats, chunk_lengths, rare_terms, unknown_terms, rrf_fuse, coverage_gate, feature_rerank, reserved_slots,
+        bm25_topk, bm25_weighted, term_stats, chunk_lengths, rare_terms, unknown_terms, rrf_fuse, coverage_gate, reserved_slots,
         context_budget, tiers, side_by_side, which_source, vector_knn, vector_label_vote, retrieval_eval,
     )
 }
@@ -231,11 +219,6 @@ SQL = {
     "rrf_fuse": _BASE + "SELECT * FROM fused",
     "coverage_gate": _BASE + """SELECT item_id, coalesce(best, 0) AS best, coalesce(best, 0) >= 0.35 AS passes FROM (SELECT item_id FROM benchmark) LEFT JOIN (
         SELECT item_id, max(coverage) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS r FROM pool QUALIFY r <= 8) GROUP BY item_id) USING (item_id)""",
-    "feature_rerank": _BASE + """, l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-        s AS (SELECT item_id, doc_id, round(fused + 0.9::DOUBLE * coverage + CASE WHEN best > 0 THEN keyword / best ELSE 0 END
-            + CASE WHEN toxic = 1 THEN -1.0::DOUBLE WHEN quality = 1 THEN 0.4::DOUBLE ELSE 0 END, 6) AS score
-          FROM (SELECT *, max(keyword) OVER (PARTITION BY item_id) AS best FROM pool) LEFT JOIN l USING (doc_id))
-        SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 16""",
     "reserved_slots": _BASE + """, b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) <= 3 AS reserved FROM pool)
         SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY reserved DESC, fused DESC, doc_id)::INTEGER AS place, reserved FROM b QUALIFY place <= 10""",
     "context_budget": _BASE + """, u AS (SELECT item_id, doc_id, rank AS position, (sum(length(coalesce(text, ''))) OVER (PARTITION BY item_id ORDER BY rank ROWS UNBOUNDED PRECEDING))::BIGINT AS used
