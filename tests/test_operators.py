@@ -84,12 +84,12 @@ def test_retention_takes_other_days_of_a_week(spark):
 
 
 def test_streams_keep_state_over_batches(spark, tmp_path):
-    """Four files in four batches, out of order: late rows are left out of windows, counters go on, and a
+    """Five files in five batches, out of order: late rows are left out of windows, counters go on, and a
     key's last state wins."""
     t0 = datetime(2026, 1, 1)
     rows = lambda *ms: [(i, t0 + timedelta(minutes=m), 1, "view", 1.0, "{}") for i, m in enumerate(ms)]
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    for n, minutes in enumerate(((0, 1), (2, 61), (62, 3), (200,))):  # minute 3 comes when the watermark is at 51
+    for n, minutes in enumerate(((0, 1), (2, 75), (76,), (3,), (200,))):  # minute 3 comes when the window of minute 0 has been closed
         spark.createDataFrame(rows(*minutes), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
         time.sleep(1.1)  # files are taken in order of their time
     stream = lambda: events.events(spark, f"{tmp_path}/e", 1)
