@@ -151,6 +151,8 @@ def test_toxicity_query_and_stage(spark, data):
     odd = spark.createDataFrame([(i, t, None, 1, "x") for i, t in enumerate(ODD)] + [(None, None, "en", 2, "y"), (3, "one", "en", 1, "z"), (3, "one", "en", 1, "z")], "doc_id long, text string, lang string, score int, flagged string")
     stage = toxicity_cnn.not_toxic(spark, odd, data)
     assert stage.columns == odd.columns
+    model = toxicity_cnn.fit(odd, spark.read.parquet(f"{data}/labels.parquet"))  # a stage learns from its own input
+    scorer = toxicity_cnn.Scorer(model.network)
     want = sorted(str(tuple(r)) for r in odd.collect() if scorer.score(r.text or "") < model.thresholds.get(r.lang, 0.5))
     assert sorted(str(tuple(r)) for r in stage.collect()) == want and toxicity_cnn.not_toxic(spark, odd.limit(0), data).count() == 0
 
