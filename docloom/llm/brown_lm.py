@@ -34,13 +34,15 @@ END_CLASS, OPEN_CLASS = CLASSES - 1, CLASSES - 2
 FREQUENT, ENDINGS = 4096, 1024
 #: Words that every task knows: the most frequent ones of LOOKUP_BYTES bytes at most, which bounds
 #: what is broadcast. All other words' counts and classes come by a join.
-LOOKUP, LOOKUP_BYTES = 100_000, 64
+LOOKUP, LOOKUP_BYTES = 120_000, 64
 #: Passes over all units at most, each in so many turns: what moves in one turn moves at once. They end
 #: when a pass adds less than a thousandth of the gain so far.
 ROUNDS, TURNS = 3, 8
 DELTA = 0.1
 #: A task's counts are handed on when it holds this many.
 FLUSH = 400_000
+#: Texts whose tokens are held as arrays at once.
+SLICE = 500
 #: Tokens whose bigrams are sorted at once.
 CHUNK = 1 << 22
 
@@ -107,7 +109,14 @@ class Places(dict):
         return -1
 
 
-CODED = "row long, doc_id long, held_out boolean, ids binary, rare array<string>"
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in parts of SLICE rows: arrays over all their tokens are held several times."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+CODED = "row long, doc_id long, held_out boolean, ids array<int>, rare array<string>"
 
 
 def coded(docs: DataFrame, places: Places) -> DataFrame:
@@ -118,28 +127,30 @@ def coded(docs: DataFrame, places: Places) -> DataFrame:
         from pyspark import TaskContext
 
         row, place = TaskContext.get().partitionId() << 33, given.value.__getitem__
-        for b in batches:
+        for b in slices(batches):
             ids, rare = [], []
             for t in b.column(2):
                 ws = words(t.as_py())
-                at = np.fromiter(map(place, ws), dtype="<i4", count=len(ws))
-                ids.append(at.tobytes())
+                at = np.fromiter(map(place, ws), dtype=np.int32, count=len(ws))
+                ids.append(at)
                 rare.append([ws[i] for i in np.flatnonzero(at < 0).tolist()])
-            arrays = [pa.array(range(row, row + len(ids)), pa.int64()), b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            arrays = [pa.array(range(row, row + len(ids)), pa.int64()), b.column(0), b.column(1), lists, pa.array(rare, pa.list_(pa.string()))]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in CODED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, CODED)
 
 
-def sequence(ids: pa.Array, n: int) -> np.ndarray:
+def sequence(ids: pa.ListArray, n: int) -> np.ndarray:
     """The texts one after another: places, n for the end that stands before, between and after
     them, n + 1 for a word without a place."""
-    end = np.array([n], dtype=np.int64)
-    parts = [end]
-    for x in ids.to_pylist():
-        parts += [np.frombuffer(x, "<i4").astype(np.int64), end]
-    seq = np.concatenate(parts)
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    seq = np.full(offsets[-1] - offsets[0] + len(ids) + 1, n, dtype=np.int64)
+    words = np.ones(len(seq), dtype=bool)
+    words[offsets - offsets[0] + np.arange(len(offsets))] = False
+    seq[words] = ids.flatten().to_numpy()
     seq[seq < 0] = n + 1
     return seq
 
@@ -147,7 +158,7 @@ def sequence(ids: pa.Array, n: int) -> np.ndarray:
 def _tally(batches: Iterator[pa.RecordBatch], codes) -> Iterator[pa.RecordBatch]:
     """``code, n`` of the numbers that ``codes`` makes of each batch, counted in the task."""
     held, n = [], 0
-    for b in batches:
+    for b in slices(batches):
         held.append(codes(b))
         n += len(held[-1])
         if n > CHUNK:
@@ -350,7 +361,7 @@ def class_bigrams(ids: DataFrame, classes: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(CLASSES**2, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             seq = sequence(b.column(0), n)
             c, has = given.value[seq], (seq[:-1] <= n) & (seq[1:] <= n)
             out += np.bincount((c[:-1] * CLASSES + c[1:])[has], minlength=CLASSES**2)
@@ -376,7 +387,7 @@ def rare_tokens(texts: DataFrame, classes: np.ndarray) -> DataFrame:
     given, n = texts.sparkSession.sparkContext.broadcast(classes), len(classes) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seq = sequence(b.column(3), n)
             at = np.flatnonzero(seq > n)
             c = np.where(seq > n, -1, given.value[seq]).astype(np.int32)
@@ -391,25 +402,35 @@ def rare_tokens(texts: DataFrame, classes: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, RARE)
 
 
-def rare_bigrams(known: DataFrame, rare: DataFrame) -> np.ndarray:
+def matched(rare: DataFrame, known: DataFrame, ends: DataFrame) -> DataFrame:
+    """Every token outside the lookup with its word's count and class, and the class of a word after it
+    that is outside too: ``row, held_out, n, c, before, after, following``, stored. Both sides of each
+    join are stored tables, so a word that is frequent and yet too long for the lookup is a key that a
+    join can split. Words that training never saw have count 0 and their ending's class."""
+    # the stored table of endings has a fixed number of rows at most
+    ends, words = F.broadcast(ends), known.select(F.col("word").alias("w"), "n", "c")
+    got = rare.join(words, F.col("word") == F.col("w"), "left").join(ends, F.right("word", F.lit(2)) == F.col("ending"), "left")
+    own = F.coalesce("c", "ec", F.lit(OPEN_CLASS))
+    got = stored(got.select("row", "held_out", F.coalesce("n", F.lit(0)).alias("n"), own.alias("c"), "before", "after", "next"))
+    alone = got.where("next is null").drop("next").withColumn("following", F.lit(-1))
+    pairs = got.where("next is not null").join(words.select("w", F.col("c").alias("c2")), F.col("next") == F.col("w"), "left").join(ends, F.right("next", F.lit(2)) == F.col("ending"), "left")
+    pairs = stored(pairs.select("row", "held_out", "n", "c", "before", "after", F.coalesce("c2", "ec", F.lit(OPEN_CLASS)).alias("following")))
+    return alone.unionByName(pairs)
+
+
+def rare_bigrams(tokens: DataFrame) -> np.ndarray:
     """Counts of class bigrams of which at least one word is outside the lookup, in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(CLASSES**2, dtype=np.int64)
         for b in batches:
-            lists, values = b.column(1), b.column(1).flatten()
-            c = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())).astype(np.int64)
-            before, after, n = (values.field(f).to_numpy() for f in ("before", "after", "n"))
-            np.add.at(out, (before * CLASSES + c)[before >= 0], n[before >= 0])
-            np.add.at(out, (c * CLASSES + after)[after >= 0], n[after >= 0])
+            c, before, after, following = (x.to_numpy().astype(np.int64) for x in b.columns)
+            for cells, has in ((before * CLASSES + c, before >= 0), (c * CLASSES + after, after >= 0), (c * CLASSES + following, following >= 0)):
+                out += np.bincount(cells[has], minlength=CLASSES**2)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["cell", "n"])
 
-    one = known.select("c", "e").mapInArrow(run, "cell long, n long")
-    pairs = stored(rare.where("not held_out and next is not null").groupBy("word", "next").agg(F.count("*").alias("n")))
-    left, right = (known.select(F.col("word").alias(f"w{x}"), F.col("c").alias(f"c{x}")) for x in "12")
-    pairs = pairs.join(left, F.col("word") == F.col("w1")).join(right, F.col("next") == F.col("w2"))
-    return _cells(one.unionByName(pairs.select((F.col("c1") * CLASSES + F.col("c2")).cast("long").alias("cell"), "n")))
+    return _cells(tokens.where("not held_out").select("c", "before", "after", "following").mapInArrow(run, "cell long, n long"))
 
 
 # --- the model and its scores ------------------------------------------------------------------
@@ -433,8 +454,8 @@ class Model:
 @dataclass
 class Fitted:
     """The model, the words of its lookup by place, and stored tables: all texts as numbers, tokens
-    outside the lookup, the counts and classes of the words among them (``word, n, c``), and endings'
-    classes (``ending, ec``)."""
+    outside the lookup (as ``matched`` has them), the counts and classes of the words among them
+    (``word, n, c``), and endings' classes (``ending, ec``)."""
 
     model: Model
     listed: list[str]
@@ -467,8 +488,10 @@ def fit(docs: DataFrame) -> Fitted:
     rare = stored(rare_tokens(texts, classes))
     pairs = class_bigrams(ids, classes)
     contexts = rare.where("not held_out").select("word", "before", "after", F.lit(1).cast("long").alias("n"))
-    known = stored(classed(contexts, "word", "string", pairs))
-    pairs = pairs + rare_bigrams(known, rare)
+    known = stored(classed(contexts, "word", "string", pairs).drop("e"))
+    ends = endings(known)
+    tokens_outside = matched(rare, known, ends)
+    pairs = pairs + rare_bigrams(tokens_outside)
     tokens = np.bincount(classes[:size], n_listed, CLASSES) if size else np.zeros(CLASSES)
     kinds = np.bincount(classes[:size], minlength=CLASSES).astype(float)
     for r in known.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
@@ -480,7 +503,7 @@ def fit(docs: DataFrame) -> Fitted:
     model = Model(
         np.log10(np.append(n_listed, n_docs) + DELTA), classes, transition, np.log10(tokens + DELTA * (kinds + 1)), math.log10(n + DELTA * (v + 1)), n_docs, n, history,
     )
-    return Fitted(model, listed, texts, rare, known.select("word", "n", "c"), endings(known))
+    return Fitted(model, listed, texts, tokens_outside, known, ends)
 
 
 def endings(known: DataFrame) -> DataFrame:
@@ -497,19 +520,17 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 def _listed_scores(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the words in the lookup and the ends give: counts, emissions, and transitions between them."""
     n = len(m.log_count) - 1
-    for b in batches:
-        out = []
-        for x in b.column(3).to_pylist():
-            at = np.concatenate([[n], np.frombuffer(x, "<i4").astype(np.int64), [n]])
-            has = at >= 0
-            listed = at[1:][has[1:]]
-            counts = float(m.log_count[listed].sum())
-            c = m.classes[at]
-            both = has[:-1] & has[1:]
-            score = counts - float(m.class_norm[m.classes[listed]].sum()) + float(m.transition[c[:-1][both], c[1:][both]].sum())
-            out.append((len(at) - 1, len(listed) - (m.ends == 0), counts - (len(at) - 1) * m.base_norm, score))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
+    for b in slices(batches):
+        seq, sizes = sequence(b.column(3), n), np.diff(b.column(3).offsets.to_numpy())
+        at, row = seq[1:], np.repeat(np.arange(b.num_rows), sizes + 1)  # each text's words and its end
+        per = lambda x: np.bincount(row, x, b.num_rows)  # noqa: B023, E731
+        has = at <= n
+        counts = np.where(has, m.log_count[np.minimum(at, n)], 0.0)
+        score = counts - np.where(has, m.class_norm[m.classes[at]], 0.0)
+        both = has & (seq[:-1] <= n)
+        score += np.where(both, m.transition[m.classes[seq[:-1]], m.classes[at]], 0.0)
+        known = per(has).astype(np.int64) - (m.ends == 0)
+        columns = [pa.array((sizes + 1).astype(np.int64)), pa.array(known), pa.array(per(counts) - (sizes + 1) * m.base_norm), pa.array(per(score))]
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), *columns], [c.split()[0] for c in SCORED.split(", ")])
 
 
@@ -526,26 +547,15 @@ def _rare_scores(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    The model is fitted on the rows that aren't held out. Tokens outside the bounded lookup are
-    joined with their words' counts and classes; both sides are stored, so a word that is frequent
-    and yet too long for the lookup is a key that the join can split. Null texts are empty texts: one
-    token, the end. A null doc_id hashes as an empty string. Without training rows all counts are 0
+    The model is fitted on the rows that aren't held out. Null texts are empty texts: one token, the
+    end. A null doc_id hashes as an empty string. Without training rows all counts are 0
     and scores are finite. Repeated rows are scored each; extra columns are left out."""
     fitted = fit(docs)
     model = docs.sparkSession.sparkContext.broadcast(fitted.model)
     own = fitted.texts.select("row", "doc_id", "held_out", "ids").mapInArrow(lambda b: _listed_scores(model.value, b), SCORED)
 
-    # the stored table of endings has a fixed number of rows at most
-    ends = F.broadcast(fitted.endings)
-    known = fitted.known
-    got = fitted.rare.join(known.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left").join(ends, F.right("word", F.lit(2)) == F.col("ending"), "left")
-    first = F.coalesce("c", "ec", F.lit(OPEN_CLASS)).alias("c")
-    got = got.select("row", "next", F.coalesce("n", F.lit(0)).alias("n"), first, "before", "after")
-    alone = got.where("next is null").select("row", "n", "c", "before", "after", F.lit(-1).alias("following"))
-    second = known.select(F.col("word").alias("w2"), F.col("c").alias("c2"))
-    pairs = got.where("next is not null").join(second, F.col("next") == F.col("w2"), "left").join(ends, F.right("next", F.lit(2)) == F.col("ending"), "left")
-    pairs = pairs.select("row", "n", "c", "before", "after", F.coalesce("c2", "ec", F.lit(OPEN_CLASS)).alias("following"))
-    added = alone.unionByName(pairs).mapInArrow(lambda b: _rare_scores(model.value, b), "r long, known long, base_more double, score_more double")
+    outside = fitted.rare.select("row", "n", "c", "before", "after", "following")
+    added = outside.mapInArrow(lambda b: _rare_scores(model.value, b), "r long, known long, base_more double, score_more double")
     added = added.groupBy("r").agg(*[F.sum(c).alias(c) for c in ("known", "base_more", "score_more")])
     zero = lambda c: F.coalesce(c, F.lit(0))
     return own.join(added, F.col("row") == F.col("r"), "left").select(
