@@ -1,4 +1,4 @@
-"""Connected components of a graph of long ids, by alternating star joins."""
+"""Connected components of a graph of ordered ids (longs, digests), by alternating star joins."""
 
 from __future__ import annotations
 
