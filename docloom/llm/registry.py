@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import brown_lm, label_sharding, mixing, packed_negatives, packing, quality_ledger, simhash_pigeonhole, token_offsets, topk_blocks, toxicity_cnn, url_aliases, zip_warc
+from docloom.llm import brown_lm, label_sharding, mixing, packed_negatives, packing, quality_ledger, simhash_pigeonhole, spelling_kd, token_offsets, topk_blocks, toxicity_cnn, url_aliases, zip_warc
 
 _QUERIES = (
     (topk_blocks.op1_topk, topk_blocks.ORACLE),
@@ -22,6 +22,7 @@ _QUERIES = (
     (label_sharding.op10_sharding, None),
     (packed_negatives.op11_hard_negatives, packed_negatives.ORACLE),
     (url_aliases.op12_url_aliases, url_aliases.ORACLE),
+    (spelling_kd.op13_spelling, spelling_kd.ORACLE),
 )
 
 
