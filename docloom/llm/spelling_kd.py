@@ -224,12 +224,14 @@ class Piece:
         points = counts(asked)
         same = length == self.length
         wanted = 2 if same else 1
+        # what holds the square of a length exactly
+        exact = np.float32 if self.length < 1 << 11 else np.float64 if self.length < 1 << 25 else np.int64
         for node, rows in self.tree.search(points, 1, int(same)):
             leaf = self.tree.leaves[node]
             step = max(1, PAIRS // max(1, len(leaf)))
             for at in range(0, len(rows), step):
                 q = rows[at : at + step]
-                a, b = points[q].astype(np.float32), self.points[leaf].astype(np.float32)
+                a, b = points[q].astype(exact), self.points[leaf].astype(exact)
                 # squared distances of integers: 2 if one letter became another, 1 if one is added
                 far = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
                 i, j = np.nonzero(far == wanted)
