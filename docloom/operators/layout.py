@@ -75,6 +75,45 @@ def page_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, text.alias("text"), "rtl")
 
 
+#: A piece of a figure, and how far apart pieces of one figure are.
+PIECE, NUMBER_GAP = r"^[\d.,٫٬]+$", 1.0
+#: How much larger than the body a heading is set, and headings of a page at most.
+LARGER, HEADINGS_A_PAGE = 1.15, 6
+
+
+def lines_of(words: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, line, text, rtl, size, bold, top, left`` of words ``keys, n, x0, y0, x1, size, bold, text`` with
+    boxes, lines numbered from 1 down the page.
+
+    Words less than ROW apart in height are one line. Pieces of figures that touch are one figure, whoever
+    drew them apart. A line is read in the direction of most of its letters, its size is its largest."""
+    w = Window.partitionBy(*keys).orderBy("y0", "x0", "n")
+    starts = F.coalesce((F.col("y0") - F.lag("y0").over(w) >= ROW).cast("int"), F.lit(1))
+    placed = words.where(F.trim("text") != "").withColumn("s", starts).withColumn("line", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("s")
+    across = Window.partitionBy(*keys, "line").orderBy("x0", "n")
+    space = F.col("x0") - F.lag("x1").over(across)
+    joins = F.col("text").rlike(PIECE) & F.lag("text").over(across).rlike(PIECE) & space.between(-0.01, NUMBER_GAP)
+    placed = placed.withColumn("s", F.when(joins, 0).otherwise(1)).withColumn("token", F.sum("s").over(across.rowsBetween(Window.unboundedPreceding, 0))).drop("s")
+    piece = F.struct("x0", "n", "text")
+    tokens = placed.groupBy(*keys, "line", "token").agg(F.sort_array(F.collect_list(piece)).alias("p"), F.min("x0").alias("x"), F.min("y0").alias("y0"), F.max("size").alias("size"), F.bool_or("bold").alias("bold"))
+    tokens = tokens.withColumn("text", F.array_join(F.transform("p", lambda p: p["text"]), "")).drop("p")
+    about = tokens.groupBy(*keys, "line").agg(F.round(F.max("size"), 1).alias("size"), F.bool_or("bold").alias("bold"), F.min("y0").alias("top"), F.min("x").alias("left"))
+    return page_lines(tokens, [*keys, "line"]).join(about, [*keys, "line"])
+
+
+def sized_headings(lines: DataFrame, doc: str) -> DataFrame:
+    """``doc, page, line, text, level`` of the lines that are set larger than the body, short, and that don't
+    end like a sentence; the larger the higher, to DEEPEST. None where they are more than six a page."""
+    per = lines.groupBy(doc, "size").agg(F.sum(F.length("text")).alias("c"))
+    body = per.groupBy(doc).agg((-F.max(F.struct("c", (-F.col("size")).alias("s")))["s"]).alias("body"))
+    large = per.join(body, doc).where(F.col("size") >= LARGER * F.col("body"))
+    levels = large.select(doc, "size", F.least(F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("size"))), F.lit(6)).alias("level"))
+    found = lines.where((F.length("text") <= MAX_CHARS) & ~F.col("text").rlike(SENTENCE_END)).join(levels, [doc, "size"])
+    pages = lines.groupBy(doc).agg(F.countDistinct("page").alias("pages"))
+    few = found.groupBy(doc).agg(F.count("*").alias("n")).join(pages, doc).where(F.col("n") <= HEADINGS_A_PAGE * F.col("pages"))
+    return found.join(few, doc, "left_semi").select(doc, "page", "line", "text", "level")
+
+
 _RUN = r"[A-Za-z0-9](?:[A-Za-z0-9 .,%:@_/\-]*[A-Za-z0-9%])?|[^A-Za-z0-9]+"
 
 

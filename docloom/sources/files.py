@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How the known kinds of file begin, and the front-matter keys that are read.
-MAGIC = (
-    ("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("bmp", "424D"), ("tiff", "49492A00"), ("tiff", "4D4D002A"), ("webp", "52494646"), ("ole", "D0CF11E0"),
-)
+from docloom.sources.listing import registry  # noqa: F401  every file below a folder and what it is
+
+#: The front-matter keys that are read.
 KEYS = ("title", "category", "source", "version", "date", "language", "author", "tags", "project", "reference")
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
@@ -17,19 +16,6 @@ def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def kind(content: Column, path: Column) -> Column:
-    """By the first bytes, Office files by the names inside of their ZIP; empty and broken ones are called
-    so; text only where the name says Markdown, else ``unknown``."""
-    head = F.hex(F.substring(content, 1, 4))
-    inside = F.decode(content, "ISO-8859-1")
-    office = F.when(~inside.contains("PK\x05\x06"), "corrupt").when(inside.contains("word/document.xml"), "docx").when(inside.contains("xl/workbook.xml"), "xlsx").otherwise("zip")
-    out = F.when(F.lower(path).rlike(r"\.(md|markdown)$"), "markdown").otherwise("unknown")
-    out = F.when(head == "504B0304", office).otherwise(out)
-    for name, magic in reversed(MAGIC):
-        out = F.when(head.startswith(magic), name).otherwise(out)
-    return F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "empty").otherwise(out)
-
-
 #: What reads each kind of file; a kind without a reader is refused.
 READERS = {"markdown": "markdown", "docx": "paragraphs", "xlsx": "cells", "pdf": "pages", "png": "pages", "jpeg": "pages", "tiff": "pages"}
 
@@ -40,12 +26,6 @@ def dispatched(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return files.select("path", "kind", F.try_element_at(lookup, F.col("kind")).alias("reader"))
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """``path, kind, size, hash`` of every file below a folder."""
-    f = binary(spark, path)
-    return f.select("path", kind(F.col("content"), F.col("path")).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
-
-
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """``path, meta, body`` of the Markdown files below a folder: flat front matter becomes a map
     of the known keys, lower-cased, without empty values; the block goes from the body."""

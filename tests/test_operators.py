@@ -1,5 +1,6 @@
 """Operators on small tables of examples."""
 
+import hashlib
 import time
 import zipfile
 from datetime import date, datetime, timedelta
@@ -151,7 +152,8 @@ def test_arms_keep_k_rows_of_each_block(spark, monkeypatch):
     found = retrieval.arms(q, "item_id", d, "doc_id", "text", 5)
     assert found.count() < 9 * 5 * 24
     top = retrieval.ranked(found, ["item_id"], F.desc("value"), F.col("doc_id")).where("rank <= 5")
-    assert sorted((r.item_id, r.doc_id, r.value) for r in top.collect()) == pytest.approx(brute_bm25(asked, docs, 5))
+    got = {(r.item_id, r.doc_id): r.value for r in top.collect()}
+    assert got == pytest.approx({(q, d): s for q, d, s in brute_bm25(asked, docs, 5)})
 
 
 def test_files_and_markdown(spark, tmp_path):
@@ -162,8 +164,10 @@ def test_files_and_markdown(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
         z.writestr("word/document.xml", "<x/>")
     (tmp_path / "f.docx").write_bytes((tmp_path / "e.docx").read_bytes()[:40])
-    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in files.registry(spark, str(tmp_path)).collect()}
-    assert kinds == {"a.md": "markdown", "b.pdf": "pdf", "c.bin": "unknown", "d.png": "empty", "e.docx": "docx", "f.docx": "corrupt"}
+    found = {r.path.rsplit("/", 1)[1]: r for r in files.registry(spark, str(tmp_path)).collect()}
+    assert {n: r.kind for n, r in found.items()} == {"a.md": "markdown", "b.pdf": "pdf", "c.bin": "unknown", "d.png": "empty", "e.docx": "docx", "f.docx": "corrupt"}
+    assert [n for n, r in sorted(found.items()) if not r.agrees] == ["d.png", "f.docx"]
+    assert found["d.png"].size == 0 and found["d.png"].hash == hashlib.sha256(b"").hexdigest()
     readers = {r.path.rsplit("/", 1)[1]: r.reader for r in files.dispatched(files.registry(spark, str(tmp_path)), ("markdown", "docx")).collect()}
     assert readers == {"a.md": "markdown", "b.pdf": None, "c.bin": None, "d.png": None, "e.docx": "paragraphs", "f.docx": None}
     md = files.markdown(spark, str(tmp_path))
