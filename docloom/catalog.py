@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, analytics, answers, checks, entities, evidence, expansion, facts, filing, knowledge, language, layout, measures, retrieval, streams, tables, uploads
+from docloom.plans import analysis, analytics, answers, checks, entities, evidence, expansion, facts, filing, knowledge, language, layout, measures, retrieval, stores, streams, tables, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers, language, filing, measures, knowledge, layout, checks, expansion, entities, uploads)
+MODULES = (retrieval, analysis, analytics, evidence, streams, tables, facts, answers, language, filing, measures, knowledge, layout, checks, expansion, entities, uploads, stores)
 
 
 def queries() -> dict[str, Query]:
