@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+from docloom.operators.store import stored
 from docloom.plans.analytics import BOUNDS, SQL as BATCH
+from docloom.plans.retrieval import read
+from docloom.streaming import conversations as C
 from docloom.streaming import events as E
 
 
@@ -32,7 +37,33 @@ def stream_first_sights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.drained(E.first_sights(_stream(spark, sf_dir)), "append", ["user_id", "event_type"])
 
 
-QUERIES = {f.__name__: f for f in (stream_counters, stream_tumbling, stream_sliding, stream_sessions, stream_first_sights)}
+def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question is about, by the state of its conversation; every second pair of turns comes an hour
+    after the one before. A reply of more than 40 words is an answer."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.text_or_empty("text").alias("text"))
+    words = lambda t: F.size(T.terms(t))
+    c = c.withColumn("answered", words(F.coalesce(F.lead("text").over(w), F.lit(""))) > 40).where("role = 'user'")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("conv_id", F.lit(97)) * 60 + F.col("turn") * 480 + F.floor(F.col("turn") / 4) * 2400)
+    turns = stored(c.select("conv_id", "turn", at.alias("ts"), C.follows(F.col("text"), words(F.col("text"))).alias("follows"), C.tells(F.col("text")).alias("tells"), "answered"))
+    path = turns.inputFiles()[0].rsplit("/", 1)[0] if turns.inputFiles() else None
+    stream = spark.readStream.schema(turns.schema).parquet(path)
+    with E.rocksdb(spark):
+        return E.drained(C.understood(stream), "append", ["conv_id", "turn", "kind", "subject"])
+
+
+def stream_not_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as steps of a work, their errors as its cancellation: steps that no error of the hour before
+    has called off."""
+    steps = _stream(spark, sf_dir).where("event_type <> 'error'").select(F.col("user_id").alias("doc"), F.col("event_id").alias("step"), "ts")
+    cancels = _stream(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("doc"), "ts")
+    out = E.drained(C.not_cancelled(steps, cancels), "append", ["doc", "step"])
+    return out.select("doc", "step", F.unix_micros("ts").alias("us"))
+
+
+QUERIES = {f.__name__: f for f in (stream_counters, stream_tumbling, stream_sliding, stream_sessions, stream_first_sights, stream_conversations, stream_not_cancelled)}
+
+_TERMS = r"len(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1))"
 
 SQL = {
     "stream_counters": BATCH["latency_histogram"],
@@ -44,4 +75,15 @@ SQL = {
         g AS (SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, session)
         SELECT * FROM g WHERE end_us <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events) - 600000000""",
     "stream_first_sights": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_conversations": rf"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce({_TERMS.format("lead(text) OVER (PARTITION BY conv_id ORDER BY turn)")}, 0) > 40 AS answered FROM conversations),
+        u AS (SELECT conv_id, turn, answered, 60 * (conv_id % 97) + 480 * turn + 2400 * (turn // 4) AS s, regexp_matches(text, '{C.FOLLOWS}') OR {_TERMS.format("text")} <= 1 AS follows, NOT regexp_matches(text, '{C.ASKS}') AS tells FROM c WHERE role = 'user'),
+        g AS (SELECT *, lag(s) OVER w AS before, lag(answered) OVER w AS answered_before FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY s, turn)),
+        p AS (SELECT *, sum((before IS NULL OR s > before + 1800)::INTEGER) OVER (PARTITION BY conv_id ORDER BY s, turn ROWS UNBOUNDED PRECEDING) AS part, before IS NULL OR s > before + 1800 OR NOT (follows OR tells) AS fresh FROM g),
+        o AS (SELECT *, last_value(CASE WHEN fresh THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id, part ORDER BY s, turn ROWS UNBOUNDED PRECEDING) AS subject, lead(s) OVER (PARTITION BY conv_id, part ORDER BY s, turn) AS later,
+          (SELECT max(s) FROM u) - 600 AS mark FROM p)
+        SELECT conv_id, turn, CASE WHEN fresh THEN 'fresh' WHEN tells THEN 'told' ELSE 'follow_up' END AS kind, subject, NOT fresh AND tells AND NOT answered_before AS clarifies FROM o WHERE s <= mark
+        UNION ALL SELECT conv_id, NULL, 'left_open', subject, false FROM o WHERE later IS NULL AND NOT answered AND s + 1800 < mark""",
+    "stream_not_cancelled": """WITH m AS (SELECT least(max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type <> 'error')) AS t FROM events)
+        SELECT user_id AS doc, event_id AS step, epoch_us(ts) AS us FROM events e WHERE event_type <> 'error' AND epoch_us(ts) < (epoch_us((SELECT t FROM m)) // 1000) * 1000 - 600000000
+        AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'error' AND c.user_id = e.user_id AND c.ts <= e.ts AND c.ts >= e.ts - INTERVAL 1 HOUR)""",
 }

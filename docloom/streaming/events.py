@@ -6,6 +6,9 @@ batches keeps its last state. Checkpoints are in the shared folder.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -41,6 +44,18 @@ def drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     return R.first_of(out, keys, F.desc("__batch")).drop("__batch")
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which typed state and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def counters(stream: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
     """Running counts by type and latency bucket."""
     return stream.groupBy("event_type", T.bucket(F.col("value"), bounds).alias("bucket")).agg(F.count("*").alias("n"))
