@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import vocabulary as V
 from docloom.operators import language as L
 from docloom.operators import retrieval as R
+from docloom.operators.store import stored
 
 #: Hits, sections and chunks of the entity arm; slots; projects that a word may name.
 HITS, SECTIONS, CHUNKS, RECENT, PROJECTS = 40, 8, 12, 3, 3
@@ -32,11 +33,32 @@ def chunks_in(sections: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
 
 def known_stems(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The terms that a vocabulary has, or that begin one of its words or begin with one, of three letters at
-    least. What begins with the other shares its first three letters: an equi-join on these."""
-    exact = terms.join(vocabulary, "term", "left_semi")
-    three = lambda d, c: d.where(F.length("term") >= 3).select(F.col("term").alias(c), F.substring("term", 1, 3).alias("head"))
-    near = three(terms, "term").join(three(vocabulary, "word"), "head").where(F.col("term").startswith(F.col("word")) | F.col("word").startswith(F.col("term"))).select("term")
-    return exact.select("term").unionByName(near).distinct()
+    least.
+
+    Both are sorted together by ranges. A word is the interval of all that begins with it: a term lies in
+    one if, of the words up to it, the furthest end lies behind it; and it begins a word if the next word
+    does. Each range is looked through on its own; the furthest end before it and the first word after it
+    are carried over, a row for each range. No bucket grows with the vocabulary."""
+    word = vocabulary.select(F.col("term").alias("t")).distinct().withColumn("known", F.lit(1))
+    term = terms.select(F.col("term").alias("t")).distinct().withColumn("known", F.lit(0))
+    sized = F.length("t") >= 3
+    end = F.when((F.col("known") == 1) & sized, F.concat("t", F.lit("\U0010ffff")))
+    # words come before equal terms, so that they count as up to them
+    placed = stored(word.unionByName(term).withColumn("end", end).repartitionByRange("t").withColumn("part", F.spark_partition_id()))
+    here = Window.partitionBy("part").orderBy("t", F.desc("known"))
+    own = F.when((F.col("known") == 1) & sized, F.col("t"))
+    inside = placed.withColumn("furthest", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    # the next word, as the last one of those that come before from the far end: a frame that only grows
+    back = Window.partitionBy("part").orderBy(F.desc("t"), "known").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("next", F.last(own, ignorenulls=True).over(back))
+    inside = inside.withColumn("same", F.max("known").over(Window.partitionBy("part", "t")) == 1)
+    parts = placed.groupBy("part").agg(F.max("end").alias("e"), F.min(own).alias("w"))
+    along = Window.partitionBy(F.lit(0)).orderBy("part")  # a row for each range
+    parts = parts.select("part", F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("w", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    met = inside.where("known = 0").join(parts, "part")
+    furthest, following = F.greatest("furthest", "before"), F.coalesce("next", "after")
+    hit = F.col("same") | (sized & (F.coalesce(furthest > F.col("t"), F.lit(False)) | F.coalesce(F.startswith(following, F.col("t")), F.lit(False))))
+    return met.where(hit).select(F.col("t").alias("term"))
 
 
 def runs(tokens: Column, most: int) -> Column:

@@ -260,3 +260,34 @@ def reserve(df: DataFrame, group: list[str], first: Column, order: list[Column],
 def first_of(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
     """The first row of each group by a total order."""
     return ranked(df, group, *order, out="__n").where("__n = 1").drop("__n")
+
+
+#: Texts without an inner word that are looked for in one row at once.
+LOOKED_FOR = 1024
+
+
+def holding(asked: DataFrame, q: str, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``q, key`` of the rows of ``docs`` whose text holds an asked one whole, as it stands.
+
+    The words of an asked text but its first and last are whole words of whatever holds it: candidates share
+    the rarest of these, by an equi-join. The words at both ends may be parts of longer ones there, so they
+    are no keys; texts without an inner word are compared with every row, a block of them at once. Null
+    texts hold nothing and are held by nothing; an empty text is held by all others."""
+    asked = asked.select(q, F.col(text).alias("__asked")).where("__asked is not null")
+    rows = docs.select(key, F.col(text).alias("__body")).where("__body is not null")
+    ends = r"(?s)\A[\p{L}\p{N}_]*|[\p{L}\p{N}_]*\z"
+    inner = asked.select(q, F.explode(F.array_distinct(T.terms(F.regexp_replace("__asked", ends, "")))).alias("term"))
+    wanted = stored(inner)
+    found = rows.select(key, F.explode(F.array_distinct(T.terms(F.col("__body")))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    found = stored(found)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # a word that no row has means that no row holds the text
+    rarest = first_of(wanted.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))), [q], F.col("df"), F.col("term"))
+    near = rarest.select(q, "term").join(found, "term").join(asked, q).join(rows, key)
+    by_word = near.where(F.contains("__body", F.col("__asked"))).select(q, key)
+    short = stored(asked.join(wanted.select(q).distinct(), q, "left_anti"))
+    blocks = max(1, -(-short.count() // LOOKED_FOR))
+    packed = short.groupBy(F.pmod(F.xxhash64(q), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct(q, "__asked")).alias("__all"))
+    every = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "__block")
+    held = every.select(key, F.explode(F.filter("__all", lambda x: F.contains(F.col("__body"), x["__asked"]))).alias("x"))
+    return by_word.unionByName(held.select(f"x.{q}", key))

@@ -73,14 +73,8 @@ def bind_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's text whole: candidates share its rarest term, so texts are
-    compared only where that equi-join has brought them together."""
-    asked = R.question_terms(read(spark, sf_dir, "benchmark"), "item_id", "text")
-    post = R.postings(R.chunk_stats(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", asked)
-    rarest = R.first_of(asked.join(post.groupBy("term").agg(F.count("*").alias("df")), "term"), ["item_id"], F.col("df"), F.col("term"))
-    near = rarest.join(post, "term").select("item_id", "doc_id")
-    near = near.join(read(spark, sf_dir, "documents").select("doc_id", T.text_or_empty("text").alias("body")), "doc_id").join(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
-    return near.where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id")
+    """Documents that hold a question's text whole."""
+    return R.holding(read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def looked_at(spark: SparkSession, sf_dir: str) -> DataFrame:

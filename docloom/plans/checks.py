@@ -127,11 +127,11 @@ def section_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of chosen kinds in the sections that an answer reads, 200 at most in order."""
+    """Facts of chosen kinds in the sections that an answer reads, of each answer 200 at most, in order."""
     f = _facts(spark, sf_dir).where("origin = 0").select("doc", "place", "kind", "value", (F.col("place") % 3).alias("section"))
     pairs = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 3).cast("int").alias("section"))
     hit = f.where(F.col("kind").isin("date", "amount")).join(pairs.distinct(), ["doc", "section"], "left_semi")
-    return hit.orderBy("doc", "place").limit(200).select("doc", "place", "value")
+    return R.ranked(hit, ["doc"], F.col("place"), out="n").where("n <= 200").select("doc", "place", "value")
 
 
 def clarified_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY doc, requirement ORDER BY confidence DESC, place)::INTEGER AS rank FROM b QUALIFY rank <= 3""",
     "stated_counts": f"WITH {_F} SELECT doc, count(*) AS items, count(*) FILTER (contains(lower(answer), lower(value))) AS stated FROM e JOIN a USING (doc) GROUP BY doc",
     "missing_facts": f"WITH {_F}, {_MISSING} SELECT doc, place, label, value FROM m",
-    "overlooked_values": f"WITH {_F}, {_MISSING} SELECT m.doc, m.place, f.place AS taught_at FROM m JOIN f ON f.doc = m.doc AND f.origin = 1 AND f.kind = m.kind AND lower(f.label) = lower(m.label) AND lower(f.value) = lower(m.value)",
+    "overlooked_values": f"WITH {_F}, {_MISSING}, o AS MATERIALIZED (SELECT doc, kind, lower(label) AS nl, lower(value) AS nv, place FROM m), t AS MATERIALIZED (SELECT doc, kind, lower(label) AS nl, lower(value) AS nv, place AS taught_at FROM f WHERE origin = 1) SELECT doc, place, taught_at FROM o JOIN t USING (doc, kind, nl, nv)",
     "answer_verdict": f"""WITH {_F}, {_MISSING}, {_PARTS}, c AS (SELECT a.doc, lines, {_CITED('answer')} AS cs, array_to_string({_WRONG('answer')}, ' ') AS unsupported FROM a), u AS (SELECT doc, CASE WHEN len(ps) > 1 THEN len(list_filter([{_SHORT('ps[1]')}, {_SHORT('ps[2]')}], lambda b: b)) ELSE 0 END AS unanswered FROM p),
         o AS (SELECT doc, count(*) AS omitted FROM m GROUP BY doc), v AS (SELECT c.doc, len(cs)::INTEGER AS cited, len(list_filter([1, 2], lambda p: p <= lines AND NOT list_contains(cs, p)))::INTEGER AS uncited, unsupported, unanswered::INTEGER AS unanswered, coalesce(omitted, 0) AS omitted FROM c JOIN u USING (doc) LEFT JOIN o USING (doc))
         SELECT *, unsupported = '' AND unanswered = 0 AND omitted = 0 AND cited > 0 AS complete FROM v""",
@@ -188,7 +188,7 @@ SQL = {
     "question_flags": f"WITH {_F} SELECT doc, doc % 2 = 0 AS compound, false AS reasoning FROM a",
     "section_slots": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS section, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS citation FROM lineitem), c AS (SELECT * FROM l WHERE l_suppkey % 4 = 0),
         s AS (SELECT DISTINCT doc, section FROM l) SELECT s.doc, s.section, coalesce(o.own, f.first) AS citation, o.own IS NOT NULL AS is_own FROM s JOIN (SELECT doc, min(citation) AS first FROM c GROUP BY doc) f USING (doc) LEFT JOIN (SELECT doc, section, max(citation) AS own FROM c GROUP BY ALL) o USING (doc, section)""",
-    "section_facts": f"""WITH {_F} SELECT doc, place, value FROM f0 WHERE kind IN ('date', 'amount') AND EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND o_orderkey = doc AND o_custkey % 3 = place % 3) ORDER BY doc, place LIMIT 200""",
+    "section_facts": f"""WITH {_F} SELECT doc, place, value FROM f0 WHERE kind IN ('date', 'amount') AND EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND o_orderkey = doc AND o_custkey % 3 = place % 3) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY place) <= 200""",
     "clarified_terms": """WITH q AS (SELECT p_partkey, p_name, unnest(string_split(regexp_extract(p_name, '^\\S+') || CASE p_partkey % 3 WHEN 0 THEN ' gadgetry' WHEN 1 THEN ' gadgetry thing odd' ELSE '' END, ' ')) AS word FROM part), k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
         SELECT p_partkey, string_agg(word, ' ' ORDER BY word) AS asked, any_value(p_name) AS meant FROM q ANTI JOIN k USING (word) GROUP BY p_partkey HAVING count(*) <= 2""",
 }

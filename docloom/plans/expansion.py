@@ -44,7 +44,7 @@ def confined_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations that documents know, whole or by their beginning."""
     terms = lambda n: read(spark, sf_dir, n).select(F.explode(T.terms(T.text_or_empty("text"))).alias("term")).distinct()
-    return X.known_stems(terms("conversations"), terms("benchmark"))
+    return X.known_stems(terms("conversations"), terms("documents"))
 
 
 def document_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +98,11 @@ def feature_rerank(spark: SparkSession, sf_dir: str, limit: int = 16) -> DataFra
 
 
 def cross_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve of the fused pool judged once more by a second scorer (here: how much of the text's
-    beginning a question has); the tail keeps its order."""
+    """The first twelve of the fused pool judged once more by a second scorer (how much of the question the whole
+    text has); the tail keeps its order."""
     f = rrf_fuse(spark, sf_dir).select("item_id", "doc_id", F.col("fused").alias("score"), "rank").where("rank <= 20")
-    f = f.join(read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.terms(F.substring(T.text_or_empty("text"), 1, 200))).alias("d")), "doc_id").join(read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.terms(T.text_or_empty("text"))).alias("q")), "item_id")
-    logit = lambda: F.coalesce(F.size(F.array_intersect("d", "q")) / F.nullif(F.size("d"), F.lit(0)), F.lit(0.0)) * 4 - 2
+    f = f.join(read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.terms(T.text_or_empty("text"))).alias("d")), "doc_id").join(read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.terms(T.text_or_empty("text"))).alias("q")), "item_id")
+    logit = lambda: F.coalesce(F.size(F.array_intersect("d", "q")) / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0)) * 4 - 2
     return X.cascade(f, "item_id", logit, 12, 2.0).select("item_id", "doc_id", "total", "place")
 
 
@@ -191,8 +191,9 @@ SQL = {
         s AS (SELECT q, document, section, row_number() OVER (PARTITION BY q, document ORDER BY min(n)) AS place FROM h GROUP BY q, document, section QUALIFY place <= 8)
         SELECT q, document, section, chunk FROM s JOIN (SELECT DISTINCT document, section, chunk FROM e) c USING (document, section) QUALIFY row_number() OVER (PARTITION BY q, document ORDER BY chunk, section) <= 12""",
     "confined_candidates": _BASE + "SELECT item_id, doc_id, rank FROM fused WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-    "known_words": f"""WITH c AS (SELECT DISTINCT unnest({_TERMS}) AS term FROM conversations), b AS (SELECT DISTINCT unnest({_TERMS}) AS word FROM benchmark)
-        SELECT term FROM c WHERE EXISTS (SELECT 1 FROM b WHERE term = word OR (length(term) >= 3 AND length(word) >= 3 AND (starts_with(term, word) OR starts_with(word, term))))""",
+    "known_words": f"""WITH c AS (SELECT DISTINCT unnest({_TERMS}) AS term FROM conversations), d AS (SELECT DISTINCT unnest({_TERMS}) AS word FROM documents),
+        heads AS (SELECT DISTINCT word[1 : n] AS head FROM d, unnest(range(3, length(word) + 1)) AS r(n)), mine AS (SELECT DISTINCT term, term[1 : n] AS head FROM c, unnest(range(3, length(term) + 1)) AS r(n))
+        SELECT term FROM c WHERE term IN (SELECT word FROM d) OR (length(term) >= 3 AND term IN (FROM heads)) OR term IN (SELECT term FROM mine JOIN d ON head = word)""",
     "document_scope": f"""WITH {_P}, d AS (SELECT p_partkey AS document, base, base || ' v' || p_size AS name, len(string_split(base, ' ')) AS width FROM p),
         q AS (SELECT p_partkey AS q, (p_partkey // 20) % 4 AS k, ' ' || CASE (p_partkey // 20) % 4 WHEN 0 THEN 'what is in ' || base || ' v' || p_size || ' pdf' WHEN 1 THEN 'fees of ' || base WHEN 2 THEN 'fees of ' || base || ' v' || p_size ELSE 'compare ' || base || ' with cold widget brand5' END || ' ' AS t FROM p WHERE p_partkey % 20 = 0),
         m AS (SELECT q, k, document, base, width, contains(t, ' ' || name || ' pdf ') AS exact, contains(t, ' ' || name || ' ') AS version FROM q JOIN d ON contains(t, ' ' || base || ' ')),
@@ -214,8 +215,8 @@ SQL = {
             + CASE WHEN has_table AND friendly THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN q <> '' AND contains(n, q) THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN list_has_any({_DATES('q')}, {_DATES('n')}) THEN 1.1::DOUBLE ELSE 0 END
             + CASE WHEN {has('heading', V.BOOKKEEPING)} OR {has('heading', V.SELF_REFERENCE)} THEN CASE WHEN about THEN 0.4::DOUBLE ELSE -0.9::DOUBLE END ELSE 0 END + CASE WHEN {has('lead', V.SUPERSEDED)} THEN -1.0::DOUBLE ELSE 0 END, 5) AS score FROM po LEFT JOIN cv ON cv.item_id = po.item_id AND cv.doc_id = po.doc_id LEFT JOIN sw ON sw.item_id = po.item_id)
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 16 AND score >= 0.15""",
-    "cross_rerank": _BASE + f""", x AS (SELECT fused.*, list_distinct({_TERMS.replace('text', "substring(coalesce(d.text, ''), 1, 200)")}) AS a, list_distinct({_TERMS.replace('text', 'b.text')}) AS b FROM fused JOIN documents d ON d.doc_id = fused.doc_id JOIN benchmark b ON b.item_id = fused.item_id WHERE rank <= 20),
-        y AS (SELECT item_id, doc_id, rank, round(fused + CASE WHEN rank <= 12 THEN round(2 / (1 + exp(-(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0)::DOUBLE, 0) * 4 - 2))), 6) ELSE 0 END, 6) AS total FROM x)
+    "cross_rerank": _BASE + f""", x AS (SELECT fused.*, list_distinct({_TERMS.replace('text', "coalesce(d.text, '')")}) AS a, list_distinct({_TERMS.replace('text', 'b.text')}) AS b FROM fused JOIN documents d ON d.doc_id = fused.doc_id JOIN benchmark b ON b.item_id = fused.item_id WHERE rank <= 20),
+        y AS (SELECT item_id, doc_id, rank, round(fused + CASE WHEN rank <= 12 THEN round(2 / (1 + exp(-(coalesce(len(list_intersect(a, b)) / nullif(len(b), 0)::DOUBLE, 0) * 4 - 2))), 6) ELSE 0 END, 6) AS total FROM x)
         SELECT item_id, doc_id, total, row_number() OVER (PARTITION BY item_id ORDER BY rank > 12, CASE WHEN rank <= 12 THEN -total ELSE rank END, rank)::INTEGER AS place FROM y""",
     "timeline_slots": _RES("fused.doc_id % 3 = 0", 8),
     "recent_slots": _RES("fused.doc_id % 3 = 0 AND fused.doc_id * 7 % 400 >= 200", 3),

@@ -251,7 +251,7 @@ def answer_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id", "k").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     when = lambda t: F.max(F.when(F.col("event_type").isin(*t), F.col("at"))).over(w)
     e = _events(spark, sf_dir).withColumns({"answered": when(("view", "click")), "gone": when(("error", "signup"))})
-    ok = (F.col("at") - F.col("answered") <= 86_400 * 30) & (F.col("gone").isNull() | (F.col("gone") < F.col("answered")))
+    ok = (F.col("at") - F.col("answered") <= 86_400) & (F.col("gone").isNull() | (F.col("gone") < F.col("answered")))
     return e.where(F.col("event_type").isin("view", "click") & ok).select("event_id", F.round(F.col("at") - F.col("answered"), 3).alias("age"))
 
 
@@ -318,6 +318,6 @@ SQL = {
     "learning_offers": f"""WITH {_E}, o AS (SELECT *, CASE WHEN k % 6 = 0 THEN 'term ' || k WHEN k % 4 = 0 THEN 'lesson ' || k WHEN event_type = 'signup' AND k % 3 > 0 THEN 'meaning ' || k END AS offer FROM e)
         SELECT user_id, event_id, offer, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS nth FROM o WHERE offer IS NOT NULL QUALIFY nth <= 3""",
     "answer_memory": f"""WITH {_E}, m AS (SELECT *, max(CASE WHEN event_type IN ('view', 'click') THEN sec END) OVER w AS answered, max(CASE WHEN event_type IN ('error', 'signup') THEN sec END) OVER w AS gone FROM e WINDOW w AS (PARTITION BY user_id, k ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-        SELECT event_id, round(sec - answered, 3) AS age FROM m WHERE event_type IN ('view', 'click') AND sec - answered <= 2592000 AND (gone IS NULL OR gone < answered)""",
+        SELECT event_id, round(sec - answered, 3) AS age FROM m WHERE event_type IN ('view', 'click') AND sec - answered <= 86400 AND (gone IS NULL OR gone < answered)""",
     "feedback_spread": f"""WITH {_E}, v AS (SELECT k, arg_max(event_type, (ts, event_id)) AS last FROM e WHERE event_type IN ('error', 'purchase') GROUP BY k) SELECT DISTINCT k, user_id, CASE WHEN last = 'error' THEN 'down' ELSE 'up' END AS vote FROM e JOIN v USING (k)""",
 }

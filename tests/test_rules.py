@@ -181,3 +181,33 @@ def test_standing_and_headings(spark):
     assert values(spark, filing.standing(T.normalize(F.col("x"))), ["the final version", "superseded by the final version", "renewed", "المأمورية النافذة"]) == ["current", "superseded", "unknown", "current"]
     assert values(spark, filing.bookkeeping(T.normalize(F.col("x"))), ["Version history of it", "indexes", "هذا الملف"]) == ["version history", "", "هذا الملف"]
     assert len(V.INTENTS) == 8
+
+
+def test_texts_held_whole(spark):
+    import random
+
+    from docloom.operators import retrieval
+
+    rng = random.Random(6)
+    piece = lambda: "".join(rng.choices("ab .-éB", k=rng.randrange(0, 9)))
+    docs = [(0, "say xxhello worldyy now"), (1, "hello world"), (2, "Hello World"), (3, None), (4, ""), (5, "one two three four")] + [(i, " ".join(piece() for _ in range(8))) for i in range(6, 80)]
+    asked = [(0, "hello world"), (1, "wo three fou"), (2, ""), (3, None), (4, "two nine three"), (5, "é"), (6, "- ."), (7, " two "), (8, "wo")] + [(i, piece() + " " + piece()) for i in range(9, 60)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")
+    got = sorted(tuple(r) for r in retrieval.holding(q, "item_id", d, "doc_id", "text").collect())
+    assert got == sorted((i, k) for i, a in asked for k, b in docs if a is not None and b is not None and a in b)
+    assert (0, 0) in got and (1, 5) in got
+
+
+def test_known_beginnings(spark):
+    import random
+
+    from docloom.operators import expansion
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("aaabé中", k=rng.randrange(1, 8)))
+    vocabulary, asked = {word() for _ in range(150)} | {"q" * 3000}, {word() for _ in range(400)} | {"q" * 2000, "q" * 4000, "qq", "zzz"}
+    column = lambda ws: spark.createDataFrame([(w,) for w in ws], "term string").repartition(3)
+    got = {r.term for r in expansion.known_stems(column(asked), column(vocabulary)).collect()}
+    known = lambda t: t in vocabulary or len(t) > 2 and any(len(w) > 2 and (w.startswith(t) or t.startswith(w)) for w in vocabulary)
+    assert got == {t for t in asked if known(t)} and len(got) < len(asked)
+    assert expansion.known_stems(column(asked), column([])).count() == 0
