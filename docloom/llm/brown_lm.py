@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ ROUNDS, TURNS = 3, 8
 DELTA = 0.1
 #: A task's counts are handed on when it holds this many.
 FLUSH = 400_000
-#: Texts whose tokens are held as arrays at once.
-SLICE = 500
+#: Texts whose tokens are held as arrays at once, and their bytes or words.
+SLICE, SLICE_SIZE = 500, 1 << 22
 #: Tokens whose bigrams are sorted at once.
 CHUNK = 1 << 22
 
@@ -110,10 +111,18 @@ class Places(dict):
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of texts in parts of SLICE rows: arrays over all their tokens are held several times."""
+    """Batches of texts in parts of at most SLICE rows and, but for a text that is longer by itself, SLICE_SIZE
+    bytes or words: arrays over all their tokens are held several times."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        column = b.column(b.schema.names.index("ids" if "ids" in b.schema.names else "text"))
+        size = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+        upto = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_SIZE, side="right"))
+            to = max(at + 1, min(fits, at + SLICE))
+            yield b.slice(at, to - at)
+            at = to
 
 
 CODED = "row long, doc_id long, held_out boolean, ids array<int>, rare array<string>"

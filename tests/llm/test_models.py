@@ -350,3 +350,25 @@ def test_pipeline_run_and_odd_tables(spark, data, tmp_path):
     odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{data}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    again = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("de").alias("lang"), F.concat(F.lit("copy "), F.col("id") % 9).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    got = toxicity_cnn.sample(docs.unionByName(again), labels)
+    assert got.count() == got.select("doc_id").distinct().count() > 20
+
+
+def test_slices_are_bounded_by_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(brown_lm, "SLICE_SIZE", 10)
+    monkeypatch.setattr(brown_lm, "SLICE", 3)
+    texts = ["", None, "aa", "b" * 9, "c" * 50, "d" * 10, "e", "f", "g", "h"]
+    b = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [x.column(0).to_pylist() for x in brown_lm.slices([b.slice(1), b.slice(0, 0)])]
+    assert sum(parts, []) == texts[1:]
+    assert parts == [[None, "aa"], ["b" * 9], ["c" * 50], ["d" * 10], ["e", "f", "g"], ["h"]]
+    lists = pa.RecordBatch.from_arrays([pa.array([[1] * 8, [], [1] * 3, [2] * 20])], ["ids"])
+    assert [len(x) for x in brown_lm.slices([lists])] == [2, 1, 1]
