@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.store import stored
+from docloom.operators.vectors import nearest
 
 #: Fixed values of the ranking functions.
 K1, B = 1.4, 0.72
@@ -203,36 +203,15 @@ def fuse(arms: DataFrame, q: str, key: str) -> DataFrame:
     )
 
 
-def top_vectors(vectors: DataFrame, every: int, k: int, floor: float = VECTOR_FLOOR, group: int = 1024, piece: int = 8192, asked: DataFrame | None = None) -> DataFrame:
+def top_vectors(vectors: DataFrame, every: int, k: int, floor: float = VECTOR_FLOOR, asked: DataFrame | None = None) -> DataFrame:
     """``query_id, vec_id, similarity, rank``: cosine neighbours of the rows whose id ``every``
-    divides among all others of ``vec_id, unit``. Groups of queries meet pieces of the rows, a
-    matrix product each; a piece gives k rows a query at most.
+    divides among all others of ``vec_id, unit``, exact, through pivot cells.
 
     Where the rows have a column ``by``, a query meets only rows of its own ``by``, before any is
     scored; ``asked`` (``vec_id, unit, by``) then says who asks, once for each ``by`` that it may see."""
-    keyed = "by" in vectors.columns
-    rows = vectors if keyed else vectors.withColumn("by", F.lit(""))
+    rows = vectors if "by" in vectors.columns else vectors.withColumn("by", F.lit(""))
     queries = (rows if asked is None else asked).where(F.col("vec_id") % every == 0)
-    size = rows.groupBy("by").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    number = lambda below, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), below).cast("int")
-    spread = lambda below: F.explode(F.sequence(F.lit(0), below - 1))
-    parts = queries.groupBy("by").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    both = stored(size.join(parts, "by"))
-    q = queries.join(both, "by").select("vec_id", "unit", "by", number(F.col("groups"), 1).alias("g"), spread(F.col("pieces")).alias("p"))
-    r = rows.join(both, "by").select(F.col("vec_id").alias("id"), F.col("unit").alias("row"), F.col("by").alias("rby"), number(F.col("pieces"), 2).alias("rp"), spread(F.col("groups")).alias("rg"))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-        sims = np.round(np.stack(a["unit"]) @ np.stack(b["row"]).T, 6)
-        ids, out = b["id"].to_numpy(), []
-        for own, row in zip(a["vec_id"], sims):
-            keep = np.flatnonzero((row >= floor) & (ids != own))
-            best = keep[np.lexsort((ids[keep], -row[keep]))[:k]]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "similarity": row[best]}))
-        return pd.concat(out)
-
-    found = q.groupBy("by", "g", "p").cogroup(r.groupBy("rby", "rg", "rp")).applyInPandas(search, "query_id long, vec_id long, similarity double")
+    found, _, _ = nearest(rows, queries, k, floor)
     return ranked(found, ["query_id"], F.desc("similarity"), F.col("vec_id")).where(F.col("rank") <= k)
 
 
