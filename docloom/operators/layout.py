@@ -136,6 +136,45 @@ def logical_cells(cells: DataFrame, table: str, cell: str = "cell") -> DataFrame
     return met.withColumn(cell, F.when(turn, reading_order(F.col(cell))).otherwise(F.col(cell))).drop("t", "back", "forth")
 
 
+#: A figure, what one may be completed to, how far apart edges of one place are, a plausible date.
+READ = r"^\d[\d,./:-]*\d$|^\d$"
+WHOLE = r"^\d{1,3}(?:,\d{3})+(?:\.\d{1,3})?$|^\d+\.\d{1,3}$|^\d{1,2}/\d{1,2}/\d{4}$|^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
+SAME_PLACE = 12
+
+
+def plausible(figure: Column) -> Column:
+    """No date, or one whose day and month there are."""
+    day, month = F.regexp_extract(figure, r"^(\d{1,2})/(\d{1,2})/\d{4}$", 1), F.regexp_extract(figure, r"^(\d{1,2})/(\d{1,2})/\d{4}$", 2)
+    m, d = F.regexp_extract(figure, r"^\d{4}[-/](\d{1,2})[-/](\d{1,2})$", 1), F.regexp_extract(figure, r"^\d{4}[-/](\d{1,2})[-/](\d{1,2})$", 2)
+    within = lambda x, most: x.cast("int").between(1, most)
+    return F.when(day != "", within(day, 31) & within(month, 12)).when(m != "", within(d, 31) & within(m, 12)).otherwise(True)
+
+
+def completed(words: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, word, figure``: the figures of one reading that another reading of the same place has whole. Both:
+    ``keys, n, left, right, top, text``, in reading order.
+
+    A figure is completed, never changed: what takes its place begins or ends with its digits, is longer and
+    well formed, and has edges no more than SAME_PLACE away. A figure that a page has twice before the same
+    next word is left. Boxes meet in squares of that size, each figure in its own and those around it."""
+    trimmed = words.withColumn("text", F.trim("text")).where("text <> ''")
+    w = Window.partitionBy(*keys).orderBy("n")
+    trimmed = trimmed.withColumn("next", F.lead("text").over(w))
+    again = F.count("*").over(Window.partitionBy(*keys, "text", "next"))
+    cut = trimmed.withColumn("again", again).where("again = 1").where(F.col("text").rlike(READ) & ~F.col("text").rlike(WHOLE))
+    square = lambda c: F.floor(F.col(c) / SAME_PLACE).cast("long")
+    cut = cut.select(*keys, F.col("n").alias("at"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("top").alias("t"), F.col("text").alias("word"), square("left").alias("x"), square("top").alias("y"))
+    around = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
+    whole = figures.withColumn("text", F.trim("text")).where(F.col("text").rlike(WHOLE) & plausible(F.col("text")))
+    whole = whole.withColumn("x", around("left")).withColumn("y", around("top"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= SAME_PLACE
+    digits, part = F.replace("text", F.lit(",")), F.replace("word", F.lit(","))
+    met = cut.join(whole, [*keys, "x", "y"]).where(near("left", "l") & near("right", "r") & near("top", "t"))
+    met = met.where((F.length(digits) > F.length(part)) & (F.startswith(digits, part) | F.endswith(digits, part)))
+    first = F.min(F.struct("n", "text")).alias("f")
+    return met.groupBy(*keys, "at", "word").agg(first).select(*keys, F.col("at").alias("n"), "word", F.col("f.text").alias("figure"))
+
+
 # --- tables without rules ------------------------------------------------------------------------
 
 

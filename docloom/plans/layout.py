@@ -81,6 +81,20 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("doc", "y", "w.x0", "w.x1", "w.text")
 
 
+def figures_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of pages that one reading cut short, completed by another of the same boxes: an order's lines are
+    words, their quantities and prices what was read; some boxes lie apart, some readings disagree."""
+    k, at = F.col("l_partkey"), F.col("rn")
+    whole = F.when(k % 5 == 4, F.concat((k % 40 + 1).cast("string"), F.lit("/"), (k % 14 + 1).cast("string"), F.lit("/2024"))).otherwise(F.concat((k % 9 + 1).cast("string"), F.lit(","), F.lpad((k * 7 % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0")))
+    part = F.when(k % 3 == 0, F.substring_index(whole, ",", 1)).when(k % 3 == 1, F.regexp_extract(whole, r"\d+$", 0)).otherwise(whole)
+    box = lambda shift: {"left": at * 40 + k % 7 + shift, "right": at * 40 + 30 + shift, "top": F.col("l_suppkey") % 5 * 20 + shift}
+    l = _lines(spark, sf_dir)
+    said = l.select("doc", (2 * at).alias("n"), *[v.cast("double").alias(c) for c, v in box(0).items()], part.alias("text"))
+    unit = l.select("doc", (2 * at + 1).alias("n"), *[v.cast("double").alias(c) for c, v in box(35).items()], F.concat(F.lit("unit"), k % 3).alias("text"))
+    other = l.select("doc", (2 * at).alias("n"), *[v.cast("double").alias(c) for c, v in box(F.when(k % 11 == 0, 20).otherwise(k % 4 * 4)).items()], whole.alias("text"))
+    return Y.completed(said.unionByName(unit), other, ["doc"])
+
+
 def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of pages without ruled tables in the columns that white space parts."""
     return Y.layout_cells(_words(spark, sf_dir), "doc").select("doc", "row", "col", "columns", "text")
@@ -152,7 +166,7 @@ def picture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        docx_headings, docx_sections, docx_walk, pdf_lines, heading_sizes, logical_tables, layout_columns, layout_tables, assisted_tables, scan_decision, better_readings, new_figures, covered_lines,
+        docx_headings, docx_sections, docx_walk, pdf_lines, figures_completed, heading_sizes, logical_tables, layout_columns, layout_tables, assisted_tables, scan_decision, better_readings, new_figures, covered_lines,
         table_choice, picture_shares,
     )
 }
@@ -169,6 +183,14 @@ _CELLS = f"""{_L}, b AS (SELECT doc, rn, k, l_quantity::INTEGER AS q, l_suppkey
   c AS (SELECT doc, round_even(y / 3, 0)::INTEGER AS row, rn, k, q, s, y FROM b JOIN n USING (doc) WHERE rows >= 3)"""
 
 SQL = {
+    "figures_completed": f"""WITH {_L},
+        a AS (SELECT doc, rn, k, CASE WHEN k % 5 = 4 THEN (k % 40 + 1) || '/' || (k % 14 + 1) || '/2024' ELSE (k % 9 + 1) || ',' || lpad((k * 7 % 1000)::VARCHAR, 3, '0') || '.' || lpad((k % 100)::VARCHAR, 2, '0') END AS whole,
+          rn * 40 + k % 7 AS x, l_suppkey % 5 * 20 AS y, CASE WHEN k % 11 = 0 THEN 20 ELSE k % 4 * 4 END AS shift FROM l),
+        w AS (SELECT *, CASE k % 3 WHEN 0 THEN split_part(whole, ',', 1) WHEN 1 THEN regexp_extract(whole, '[0-9]+$') ELSE whole END AS word, 'unit' || k % 3 AS next FROM a),
+        c AS (SELECT *, count(*) OVER (PARTITION BY doc, word, next) AS again FROM w),
+        m AS (SELECT c.doc, c.rn, c.word, a.rn AS frn, a.whole AS figure FROM c JOIN a ON a.doc = c.doc AND abs(a.x + a.shift - c.x) <= 12 AND abs(a.rn * 40 + 30 + a.shift - (c.rn * 40 + 30)) <= 12 AND abs(a.y + a.shift - c.y) <= 12
+          WHERE again = 1 AND NOT regexp_matches(word, '[./]') AND NOT (a.k % 5 = 4 AND (a.k % 40 + 1 > 31 OR a.k % 14 + 1 > 12)) AND length(replace(a.whole, ',', '')) > length(c.word) AND (starts_with(replace(a.whole, ',', ''), c.word) OR ends_with(a.whole, c.word)))
+        SELECT doc, 2 * rn AS n, word, arg_min(figure, frn) AS figure FROM m GROUP BY doc, rn, word""",
     "docx_headings": f"WITH {_HEADS} SELECT doc, ord, level, tier FROM h",
     "docx_sections": f"""WITH {_HEADS}, s AS (SELECT p.doc, p.ord, CASE WHEN p.doc IN (SELECT doc FROM h) THEN sum(CASE WHEN h.ord IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.doc ORDER BY p.ord ROWS UNBOUNDED PRECEDING) ELSE page END::BIGINT AS section FROM p LEFT JOIN h ON h.doc = p.doc AND h.ord = p.ord)
         SELECT doc, section, min(ord) AS first, count(*) AS n FROM s GROUP BY doc, section""",

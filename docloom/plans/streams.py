@@ -13,6 +13,9 @@ from docloom.streaming import conversations as C
 from docloom.streaming import events as E
 
 
+OPEN_AT_ONCE = 6
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.events(spark, f"{sf_dir}/events.parquet")
 
@@ -61,9 +64,51 @@ def stream_not_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "step", F.unix_micros("ts").alias("us"))
 
 
-QUERIES = {f.__name__: f for f in (stream_counters, stream_tumbling, stream_sliding, stream_sessions, stream_first_sights, stream_conversations, stream_not_cancelled)}
+def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' views and signups as offers; purchases accept their last one, errors dismiss that before it, clicks
+    are a neighbour's try to accept the last one, which every tenth user may."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("event"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    w = Window.partitionBy("owner").orderBy("ts", "event").rowsBetween(Window.unboundedPreceding, -1)
+    offer = F.col("event_type").isin("view", "signup")
+    last = F.last(F.when(offer, F.col("event")), ignorenulls=True).over(w)
+    e = e.withColumn("last", last).withColumn("before", F.lag("last").over(Window.partitionBy("owner").orderBy("ts", "event")))
+    act = F.when(offer, "offer").when(F.col("event_type") == "error", "dismiss").otherwise("accept")
+    candidate = F.when(offer, F.col("event")).when(F.col("event_type") == "error", F.col("before")).otherwise(F.col("last"))
+    actor = F.when(F.col("event_type") == "click", F.col("owner") + 1).otherwise(F.col("owner"))
+    return e.select("owner", "event", "ts", act.alias("act"), F.coalesce(candidate, F.lit(-1)).alias("candidate"), actor.alias("actor"), (actor % 10 == 0).alias("manages"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(_suggestions(spark, sf_dir))
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    with E.rocksdb(spark):
+        return E.drained(C.resolved(stream, OPEN_AT_ONCE), "append", ["event"])
+
+
+def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each offer, acceptance and dismissal of a suggestion comes to, with six open ones a user at most."""
+    return _resolved(spark, sf_dir).select("owner", "event", "candidate", "outcome")
+
+
+def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions by user and state, with the newest of each."""
+    found = C.states(_resolved(spark, sf_dir))
+    return found.groupBy("owner", "state").agg(F.count("*").alias("n"), F.max("candidate").alias("newest"))
+
+
+QUERIES = {f.__name__: f for f in (stream_candidates, candidate_search, stream_counters, stream_tumbling, stream_sliding, stream_sessions, stream_first_sights, stream_conversations, stream_not_cancelled)}
 
 _TERMS = r"len(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1))"
+#: A user's events one by one, with the suggestions that are open after each.
+_FOLD = f"""e AS (SELECT user_id AS owner, event_id AS event, ts, event_type AS k, event_type IN ('view', 'signup') AS offer FROM events),
+  l AS (SELECT *, last_value(CASE WHEN offer THEN event END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY ts, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e),
+  o AS (SELECT owner, event, epoch_us(ts) AS us, ((SELECT epoch_us(max(ts)) FROM events) // 1000) * 1000 - 600000000 AS mark, CASE WHEN offer THEN 'offer' WHEN k = 'error' THEN 'dismissed' ELSE 'accepted' END AS act,
+    coalesce(CASE WHEN offer THEN event WHEN k = 'error' THEN lag(last) OVER w ELSE last END, -1) AS candidate, CASE WHEN k = 'click' THEN owner + 1 ELSE owner END AS actor, row_number() OVER w AS seq FROM l WINDOW w AS (PARTITION BY owner ORDER BY ts, event)),
+  f AS (SELECT DISTINCT owner, 0::BIGINT AS event, 0::BIGINT AS us, 0::BIGINT AS mark, 0::BIGINT AS candidate, '' AS outcome, []::BIGINT[] AS held, 0::BIGINT AS seq FROM o
+    UNION ALL SELECT owner, event, us, mark, candidate, outcome, CASE outcome WHEN 'offered' THEN list_append(held, candidate) WHEN act THEN list_filter(held, lambda c: c <> candidate) ELSE held END, seq FROM (
+      SELECT o.owner, o.event, o.us, o.mark, o.candidate, o.act, f.held, o.seq,
+        CASE WHEN act = 'offer' THEN CASE WHEN len(held) >= {OPEN_AT_ONCE} THEN 'full' ELSE 'offered' END WHEN actor <> o.owner AND actor % 10 > 0 THEN 'not theirs' WHEN NOT list_contains(held, o.candidate) THEN 'closed' ELSE act END AS outcome
+      FROM f JOIN o ON o.owner = f.owner AND o.seq = f.seq + 1))"""
 
 SQL = {
     "stream_counters": BATCH["latency_histogram"],
@@ -86,4 +131,7 @@ SQL = {
     "stream_not_cancelled": """WITH m AS (SELECT least(max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type <> 'error')) AS t FROM events)
         SELECT user_id AS doc, event_id AS step, epoch_us(ts) AS us FROM events e WHERE event_type <> 'error' AND epoch_us(ts) < (epoch_us((SELECT t FROM m)) // 1000) * 1000 - 600000000
         AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'error' AND c.user_id = e.user_id AND c.ts <= e.ts AND c.ts >= e.ts - INTERVAL 1 HOUR)""",
+    "stream_candidates": f"WITH RECURSIVE {_FOLD} SELECT owner, event, candidate, outcome FROM f WHERE seq > 0 AND us <= mark",
+    "candidate_search": f"""WITH RECURSIVE {_FOLD}, s AS (SELECT owner, candidate, coalesce(max(outcome) FILTER (outcome <> 'offered'), 'offered') AS state FROM f WHERE seq > 0 AND us <= mark AND outcome IN ('offered', 'accepted', 'dismissed') GROUP BY ALL)
+        SELECT owner, state, count(*) AS n, max(candidate) AS newest FROM s GROUP BY owner, state""",
 }

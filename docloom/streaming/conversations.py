@@ -109,3 +109,86 @@ def not_cancelled(steps: DataFrame, cancels: DataFrame) -> DataFrame:
     c = cancels.select(F.col("doc").alias("c_doc"), F.col("ts").alias("c_ts")).withWatermark("c_ts", LATE)
     held = (F.col("doc") == F.col("c_doc")) & (F.col("c_ts") <= F.col("ts")) & (F.col("c_ts") >= F.col("ts") - F.expr(f"interval {HOLDS}"))
     return s.join(c, held, "left_outer").where("c_doc is null").select("doc", "step", "ts")
+
+
+#: Fixed value: suggestions that a person may have open.
+MOST_OPEN = 50
+EVENT = "event long, us long, act string, candidate long, actor long, manages boolean"
+OUTCOME = "owner long, event long, candidate long, outcome string"
+
+
+class Candidates(StatefulProcessor):
+    """One person's suggestions: offered, until one of accept, dismiss or reject closes it for good."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "candidate long", "since long")
+        self.many = handle.getValueState("many", "n long")
+        self.waiting = handle.getListState("waiting", EVENT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            new = [(int(r.event), int(r.us), str(r.act), int(r.candidate), int(r.actor), bool(r.manages)) for r in part.itertuples()]
+            for _, us, *_ in new:
+                self.handle.registerTimer(-(-us // 1000))
+            if new:
+                self.waiting.appendList(new)
+        yield pd.DataFrame(columns=["owner", "event", "candidate", "outcome"]).astype({"owner": "int64", "event": "int64", "candidate": "int64", "outcome": object})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        later = [r for r in rows if r[1] > now]
+        if len(later) < len(rows):
+            self.waiting.put(later) if later else self.waiting.clear()
+        due = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[1], r[0]))
+        out = [(key[0], event, candidate, self._step(key[0], us, act, candidate, actor, manages)) for event, us, act, candidate, actor, manages in due]
+        yield pd.DataFrame(out, columns=["owner", "event", "candidate", "outcome"]).astype({"owner": "int64", "event": "int64", "candidate": "int64"})
+
+    def _step(self, owner: int, us: int, act: str, candidate: int, actor: int, manages: bool) -> str:
+        many = self.many.get()[0] if self.many.exists() else 0
+        if act == "offer":
+            if many >= self.most:
+                return "full"
+            self.open.updateValue((candidate,), (us,))
+            self.many.update((many + 1,))
+            return "offered"
+        if actor != owner and not manages:
+            return "not theirs"
+        if not self.open.containsKey((candidate,)):
+            return "closed"
+        self.open.removeKey((candidate,))
+        self.many.update((many - 1,))
+        return {"accept": "accepted", "dismiss": "dismissed", "reject": "rejected"}[act]
+
+    def close(self) -> None:
+        pass
+
+
+def resolved(events: DataFrame, most: int = MOST_OPEN) -> DataFrame:
+    """``owner, event, candidate, outcome`` of a stream ``owner, event, ts, act, candidate, actor, manages``: what each
+    offer, accept, dismiss or reject comes to. Only its owner, or who manages users, closes a suggestion; what is closed
+    or was never taken stays so; an offer beyond ``most`` open ones is refused. State is what is open alone,
+    so what was declined costs nothing. Rows have their turn by time, however batches cut them.
+
+    Needs the RocksDB state store."""
+    e = events.withWatermark("ts", LATE).select("owner", "event", "ts", F.unix_micros("ts").alias("us"), "act", "candidate", "actor", "manages")
+    return e.groupBy("owner").transformWithStateInPandas(Candidates(most), OUTCOME, "append", "EventTime")
+
+
+def states(outcomes: DataFrame) -> DataFrame:
+    """``owner, candidate, state`` of the suggestions that were taken: the last of their outcomes."""
+    kept = outcomes.where(F.col("outcome").isin("offered", "accepted", "dismissed", "rejected"))
+    closed = F.max(F.when(F.col("outcome") != "offered", F.col("outcome")))
+    return kept.groupBy("owner", "candidate").agg(F.coalesce(closed, F.lit("offered")).alias("state"))
+
+
+def search(found: DataFrame, asker: int, manages: bool, wanted: tuple[str, ...], mine_only: bool = True, limit: int = 25, offset: int = 0) -> DataFrame:
+    """The suggestions in some state that a person may see, newest (largest number) first: their own, or all
+    where they manage users and ask for all."""
+    rows = found.where(F.col("state").isin(*wanted))
+    rows = rows.where(F.col("owner") == asker) if mine_only or not manages else rows
+    return rows.orderBy(F.desc("candidate")).offset(offset).limit(limit)

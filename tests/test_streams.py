@@ -80,3 +80,49 @@ def test_cancelled_steps_are_dropped(spark, tmp_path):
     got = sorted((r.doc, r.step) for r in E.drained(C.not_cancelled(s, c), "append", ["doc", "step"]).collect())
     # of document 1 the steps from minute 10 to 70 are called off, and not that before nor that after
     assert got == [(1, 0), (1, 4), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0)]
+
+
+def brute_candidates(events, most, mark):
+    out = []
+    for owner in sorted({e[0] for e in events}):
+        held = set()
+        for _, event, ts, act, candidate, actor, manages in sorted((e for e in events if e[0] == owner and e[2] <= mark), key=lambda e: (e[2], e[1])):
+            if act == "offer":
+                said = "full" if len(held) >= most else "offered"
+                held |= {candidate} if said == "offered" else set()
+            elif actor != owner and not manages:
+                said = "not theirs"
+            else:
+                said = {"accept": "accepted", "dismiss": "dismissed", "reject": "rejected"}[act] if candidate in held else "closed"
+                held -= {candidate}
+            out.append((owner, event, candidate, said))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_candidates_don_t_depend_on_batches(spark, tmp_path, cuts):
+    rng = random.Random(9)
+    events, offered = [], {1: [], 2: [], 3: []}
+    for i in range(240):
+        # one person has two thirds of the events
+        owner, at = rng.choice((1, 1, 1, 1, 2, 3)), START + timedelta(minutes=i, microseconds=i * 7)
+        act = rng.choice(("offer", "offer", "accept", "dismiss", "reject"))
+        candidate = i if act == "offer" else rng.choice(offered[owner][-4:] or [-1])
+        offered[owner] += [i] if act == "offer" else []
+        actor = rng.choice((owner, owner, owner, 9, 7))
+        events.append((owner, i, at, act, candidate, actor, actor == 9))
+    last = max(e[2] for e in events)
+    events.append((99, 999, last + timedelta(hours=1), "offer", 999, 99, False))
+    shuffled = sorted(events, key=lambda e: e[2] + timedelta(minutes=8 * rng.random()))
+    n = -(-len(shuffled) // cuts)
+    stream = batches(spark, tmp_path / "in", [shuffled[i : i + n] for i in range(0, len(shuffled), n)], "owner long, event long, ts timestamp, act string, candidate long, actor long, manages boolean")
+    with E.rocksdb(spark):
+        out = E.drained(C.resolved(stream, 5), "append", ["event"])
+    got = sorted((r.owner, r.event, r.candidate, r.outcome) for r in out.collect())
+    assert got == brute_candidates(events, 5, last)
+    assert {o for *_, o in got} == {"offered", "accepted", "dismissed", "rejected", "full", "not theirs", "closed"}
+    found = C.states(out)
+    mine = C.search(found, 2, False, ("offered", "accepted"), mine_only=False, limit=3, offset=1).collect()
+    want = sorted(((o, c) for o, _, c, s in got if o == 2 and s == "offered" and not any(x[2] == c and x[3] in ("dismissed", "rejected") for x in got)), key=lambda x: -x[1])[1:4]
+    assert [(r.owner, r.candidate) for r in mine] == want
+    assert C.search(found, 9, True, ("offered",), mine_only=False, limit=1000).select("owner").distinct().count() > 1
