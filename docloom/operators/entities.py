@@ -13,16 +13,27 @@ from docloom.operators import retrieval as R
 KINDS = (
     ("date", r"(?:^|[^\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{4}|\d{4}-\d{1,2}-\d{1,2})\b"),
     ("percentage", r"(?:^|[^\d.,])(\d{1,3}(?:[.,]\d+)?\s*%)"),
-    ("amount", r"(?:^|[^\d.,])(\d{1,3}(?:,\d{3})+(?:\.\d+)?(?:\s*(?:درهم|AED|dirham))?|\d+(?:\.\d+)?\s*(?:درهم|AED|dirham))"),
-    ("duration", r"(?:^|[^\d.,])(\d+(?:\.\d+)?\s*(?:يوم[ء-ي]*|أيام|شهر[ء-ي]*|أشهر|سنة|سنوات|days?|months?|years?|weeks?|أسابيع|أسبوع)\b)"),
-    ("clause", r"((?:البند|المادة|الفقرة)\s*(?:رقم\s*)?\d+(?:[./-]\d+)*|(?:Sub-?)?Clause\s*\d+(?:\.\d+)*)"),
-    ("form", r"(?:^|[^A-Za-z])([A-Z]{2,5}-F-\d{2,4})\b"),
-    ("organization", r"((?:شركة|مؤسسة|بنك|بلدية|دائرة|هيئة|وزارة)\s+[ء-ي][ء-ي\s]{2,45}?)(?:\s*[|،.\n]|$)"),
+    ("amount", r"(?:^|[^\d.,])(\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*(?:درهم|AED|dirham|د\.إ)?|\d+(?:\.\d+)?\s*(?:درهم|AED|dirham))"),
+    ("duration", r"(?:^|[^\d.,])(\d+(?:\.\d+)?\s*(?:يوم[؀-ۿ]*|أيام|شهر[؀-ۿ]*|أشهر|سنة|سنوات|days?|months?|years?|weeks?|أسابيع|أسبوع)\b)"),
+    ("clause", r"((?:البند|المادة|الفقرة)\s*(?:رقم\s*)?[\d]+(?:[./-]\d+)*|Sub-?Clause\s*\d+(?:\.\d+)*|Clause\s*\d+(?:\.\d+)*)"),
+    ("form", r"((?:نموذج|form)\s+[A-Z0-9][A-Za-z0-9-]{2,}|\b[A-Z]{2,5}-F-\d{2,4}\b)"),
+    ("organization", r"((?:شركة|مؤسسة|بنك|بلدية|دائرة|هيئة|وزارة)\s+[؀-ۿ][؀-ۿ\s]{2,45}?)(?:\s*[|،.\n]|\s+ذ\.م\.م|$)"),
     ("organization", r"(?:^|[^A-Za-z])([A-Z][A-Za-z]{2,}(?:\s+[A-Z][A-Za-z]{2,}){1,4}\s+(?:Consultancy|Engineering|Contracting|Construction|LLC|Ltd))\b"),
-    ("person", r"((?:المهندسة|المهندس|السيدة|السيد|الدكتور|الخبير|المحامي)\s*/?\s*[ء-ي]{2,}(?:\s+[ء-ي]{2,}){1,4})"),
+    ("person", r"((?:المهندس|المهندسة|م\.|السيد|السيدة|الدكتور|د\.|الخبير|المحامي)\s*/?\s*[؀-ۿ]{2,}(?:\s+[؀-ۿ]{2,}){1,4})"),
     ("location", r"((?:القطعة|قطعة|Plot)\s*(?:رقم\s*)?\d+)"),
     ("identifier", r"(?:^|[^A-Za-z0-9/-])([A-Za-z0-9]{2,}(?:[-/][A-Za-z0-9]{2,}){1,6})\b"),
 )
+#: Words that start no name, so that a title before one of them is prose.
+NO_NAMES = tuple(
+    T.fold(w)
+    for w in """
+في من على عن الى إلى لدى نحو خلال عبر مع بعد قبل عند حتى ثم او أو لا ما هو هي
+لن لم لما كلما بلا دون سوى كان كانت يكون تكون التي الذي الذين هذا هذه ذلك تلك
+مخول مخوَّل مكلف مطالب ملزم قال قالت طلب طلبت أرسل ارسل أعلن اعلن ردَّ رد ردت
+أزال ازال أكد اكد رفض رفضت وافق أضاف اضاف ذكر ذكرت بيّن بين أوضح اوضح منح منحت
+لديه لديها عليه عليها إليه اليه له لها به بها منه منها
+""".split()
+)
 DATE = r"^(?:\d{1,2}[/-]\d{1,2}[/-]\d{4}|\d{4}-\d{1,2}-\d{1,2})$"
 ROW = r"^\s{0,3}\|([^|]+)\|([^|]*)\|?\s*$"
 SEPARATOR = r"^\s{0,3}\|[\s:|-]+\|\s*$"
@@ -34,6 +45,9 @@ TERMS, LABELS, SENTENCES = 12, 14, 3
 
 def useful(kind: str, value: Column) -> Column:
     fits = (value != "") & (F.length(value) <= 120)
+    if kind == "person":
+        words = F.split(value, r"\s+")
+        return fits & (F.size(words) >= 2) & ~T.normalize(F.get(words, F.lit(1))).isin(*NO_NAMES)
     if kind == "identifier":
         return fits & (F.length(value) >= 7) & value.rlike(r"\d") & ~value.rlike(DATE)
     return fits & (F.length(value) >= 8) if kind == "organization" else fits

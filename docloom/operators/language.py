@@ -332,25 +332,60 @@ def offered(answer: Column) -> Column:
     return F.when((meant != "") & (F.size(F.split(meant, " ")) <= 5), meant)
 
 
-#: Verbs of making or giving, formats by name, and what a request for a file may be about.
-_MAKE = r"(?:اعمل|اعملي|هات|هاتلي|ابعت|ابعتلي|ارسل|أرسل|حول|صدّر|صدر|جهز|جهزلي|انشئ|أنشئ|اكتب|اكتبلي|اعطني|أعطني|عايز|عاوز|generate|create|make|export|give\s+me|convert|prepare|send\s+me)"
-_FORMATS = {"pdf": r"pdf|بي\s*دي\s*[اإ]ف|بدف", "docx": r"word|docx|وورد|ورد", "xlsx": r"excel|xlsx|اكسل|إكسل|اكسيل|شيت|spreadsheet"}
-_REQUEST_WORDS = r"(?i)(^|\s)(?:لي|ملف|ملفات|بصيغة|كملف|نسخة|please|a|an|the|file|as|in|to|into|for|me|of|with)(?=\s|$)"
-
-
-def file_request(question: Column) -> tuple[Column, Column]:
-    """Format and subject of a request for a file; null for other questions."""
-    one = "|".join(_FORMATS.values())
-    asked = question.rlike(rf"(?i)(?:^|\s|و){_MAKE}") & question.rlike(rf"(?i)(?:^|[^\w.])(?:{one})(?:$|[^\w])")
+#: Verbs of making or giving, formats by name, words of a request that are not its question's, and
+#: what a request may be about.
+_MAKE = (
+    r"(?:اعمل|اعملي|إعمل|اعملى|سوّي|سوي|سويلي|هات|هاتلي|هاتلى|ابعت|ابعتلي|ارسل|أرسل|حول|حوّل|حولي|حوّلي|صدّر|صدر|طلّع|طلع|طلعلي|جهز|جهّز|جهزلي|انشئ|أنشئ|اكتب|اكتبلي|"
+    r"اعطني|أعطني|عايز|عاوز|ابغى|أبغى|ابي|أبي|نزّل|نزل|generate|create|make|export|give\s+me|convert|prepare|send\s+me)"
+)
+_FORMATS = {"pdf": r"pdf|بي\s*دي\s*[اإ]ف|بى\s*دى\s*[اإ]ف|بدف", "docx": r"word|docx|وورد|ورد", "xlsx": r"excel|xlsx|اكسل|إكسل|اكسيل|إكسيل|اكسال|شيت|spreadsheet"}
+_JOINING = r"(?iU)(?:\s|^)(?:لـ|ل|بـ|ب|بال|كـ|ك|الى|إلى|to|as|in)\s*$"
+_FILLERS = tuple(
+    """لي لى ملف ملفات بصيغة كملف فايل نسخة فيه فيها عليه عليها
+    please a an the file as in to into for me of with
+    لـ ل ب بـ يا من فضلك لو سمحت شكل على في صيغة""".split()
+)
+_PHRASES = r"(?iU)(?:على|في)\s+شكل|من\s+فضلك|لو\s+سمحت|بصيغة"
+_LISTS = ("جدول", "قائمة", "ملخص", "مقارنة", "تفاصيل", "بنود", "كل", "جميع", "ارقام", "أرقام")
+_CONVERSATION = r"(?iU)المحادث[ةه]|الشات|المحاور[ةه]|كل\s+(?:الكلام|اللي\s+فات)|conversation|chat"
+_SUMMARY = r"(?iU)ملخص|لخص|تلخيص|ملخّص|summary|summari[sz]e"
+_THAT = r"(?iU)^(?:دا|ده|دي|هذا|هذه|هذي|الإجابة|الاجابة|الرد|الجواب|الكلام\s+(?:دا|ده|هذا)|الجدول\s+(?:دا|ده|هذا)|it|this|that|the\s+answer)?$"
+_EDGES = r"^[ .،,:\-—]+|[ .،,:\-—]+$"
+
+
+def _request_words_off(text: Column) -> Column:
+    """Words of a request at both ends dropped; the same words within belong to the question."""
+    verb = rf"(?:و)?{_MAKE}(?:لي|لى|ي|ني)?"
+    out = F.regexp_replace(text, _PHRASES, " ")
+    for _ in range(3):
+        out = F.regexp_replace(out, rf"(?iU)^\s*{verb}(?=\s|$)", "")
+    words = F.filter(F.split(out, r"\s+"), lambda w: w != "")
+    own = lambda ws: F.transform(ws, lambda w: ~(F.lower(w).isin(*_FILLERS) | w.rlike(rf"(?iU)^{verb}$")))
+    ahead = lambda ws: F.when(F.array_contains(own(ws), True), F.array_position(own(ws), True)).otherwise(F.size(ws) + 1)
+    lead = F.slice(words, ahead(words).cast("int"), F.size(words))
+    back = F.reverse(lead)
+    kept = F.reverse(F.slice(back, ahead(back).cast("int"), F.size(back)))
+    first = F.get(kept, F.lit(0))
+    joined = (F.length(first) > 4) & F.startswith(first, F.lit("ب")) & (first.rlike("^ب(?:ال|أ|ا)") | F.substring(first, 2, 1 << 20).isin(*_LISTS))
+    return F.concat_ws(" ", F.when(joined, F.concat(F.array(F.substring(first, 2, 1 << 20)), F.slice(kept, 2, F.size(kept)))).otherwise(kept))
+
+
+def file_request(question: Column) -> tuple[Column, Column, Column]:
+    """Format, subject and cleaned question of a request for a file: of the last answer, of the conversation, or
+    of a question of its own. Null for other questions, the question null for the first two."""
+    text = F.trim(F.regexp_replace(question, r"\s+", " "))
+    whole = rf"(?isU)\A(.*?)(?<![\w.])({'|'.join(_FORMATS.values())})(?![\w])(.*)\z"
+    asked = text.rlike(whole) & text.rlike(rf"(?iU)(?:^|\s|و){_MAKE}")
+    word = F.regexp_extract(text, whole, 2)
     form = F.lit(None).cast("string")
     for name, p in reversed(_FORMATS.items()):
-        form = F.when(question.rlike(rf"(?i)(?:^|[^\w.])(?:{p})(?:$|[^\w])"), name).otherwise(form)
-    rest = F.regexp_replace(F.regexp_replace(question, rf"(?i)(^|[^\w.])(?:{one})(?=$|[^\w])", "$1"), rf"(?i)(?:^|\s){_MAKE}(?=\s|$)", " ")
-    rest = F.trim(F.regexp_replace(F.regexp_replace(rest, _REQUEST_WORDS, " "), r"[\s؟?.,،]+", " "))
-    talk, summary = rest.rlike(r"(?i)المحادث[ةه]|الشات|conversation|chat"), rest.rlike(r"(?i)ملخص|لخص|تلخيص|summar")
-    words = F.size(F.filter(F.split(rest, " "), lambda w: w != ""))
-    subject = F.when(talk | (summary & (words <= 3)), "conversation").when((words <= 1) | rest.rlike(r"(?i)^(?:هذا|هذه|it|this|that|the answer)$"), "last").otherwise("question")
-    return F.when(asked, form), F.when(asked & form.isNotNull(), subject)
+        form = F.when(word.rlike(rf"(?iU)^(?:{p})$"), name).otherwise(form)
+    before = F.regexp_replace(F.regexp_extract(text, whole, 1), _JOINING, " ")
+    rest = F.trim(F.regexp_replace(F.concat(before, F.lit(" "), F.regexp_extract(text, whole, 3)), r"[\s؟?]+", " "))
+    rest = F.regexp_replace(_request_words_off(F.regexp_replace(rest, _EDGES, "")), _EDGES, "")
+    words = F.size(F.filter(F.split(rest, r"\s+"), lambda w: w != ""))
+    subject = F.when(rest.rlike(_CONVERSATION) | (rest.rlike(_SUMMARY) & (words <= 3)), "conversation").when(rest.rlike(_THAT) | (words <= 1), "last").otherwise("question")
+    return F.when(asked, form), F.when(asked, subject), F.when(asked & (subject == "question"), F.concat(rest, F.lit("؟")))
 
 
 LEADING_QUESTION = r"(?i)^\s*(?:ما\s+هي|ما\s+هو|ماذا|ما|كم|هل|متى|أين|اين|كيف|من|لماذا|what|how|when|is|are)\s+"

@@ -94,7 +94,8 @@ QUERIES = {f.__name__: f for f in (paper_entities, section_flags, fact_sheet, am
 
 _T = """p AS (SELECT o_orderkey, o_custkey, o_orderkey AS k, o_orderdate::DATE AS day, '| Item | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| Contract value | ' || format('{:,}', o_orderkey * 13 + 1000) || ' AED |' || chr(10) || '| Delay rate of contract | ' || (o_orderkey % 9 + 1) || '% |' || chr(10) || '| **Site** | Plot ' || o_orderkey % 77 || ' |' || chr(10)
   || 'Signed ' || strftime(o_orderdate, '%d/%m/%Y') || ' by Harbour Marine Contracting, ' || o_orderkey % 50 || ' days under Clause 4.' || o_orderkey % 7 || ' with form AB-F-' || (o_orderkey % 90 + 10) || ', ref PO-2024-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' of شركة النخيل، المهندس / احمد علي' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' AS text FROM orders)"""
-_ORG = lambda k: " AND length(value) >= 8" if k == "organization" else f" AND length(value) >= 7 AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{N.DATE}')" if k == "identifier" else ""
+SECOND = r"regexp_split_to_array(value, '\s+')[2]"
+_ORG = lambda k: " AND length(value) >= 8" if k == "organization" else f" AND length(value) >= 7 AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{N.DATE}')" if k == "identifier" else f" AND NOT list_contains([{', '.join(quoted(w) for w in N.NO_NAMES)}], {normal(SECOND)})" if k == "person" else ""
 _BY = " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS kind, value, '' AS label, {1000 + i} AS o FROM (SELECT o_orderkey, trim(unnest(regexp_extract_all(text, {quoted(pt)}, 1))) AS value FROM p) WHERE value <> '' AND length(value) <= 120{_ORG(k)}" for i, (k, pt) in enumerate(N.KINDS))
 _F = f"""{_T}, r AS (SELECT o_orderkey, 'amount' AS kind, format('{{:,}}', k * 13 + 1000) || ' AED' AS value, 'Contract value' AS label, 2 AS o FROM p UNION ALL SELECT o_orderkey, 'percentage', (k % 9 + 1) || '%', 'Delay rate of contract', 3 FROM p UNION ALL SELECT o_orderkey, 'attribute', 'Plot ' || k % 77, 'Site', 4 FROM p),
 f AS (SELECT o_orderkey, kind, value, label FROM (SELECT * FROM r UNION ALL {_BY}) QUALIFY row_number() OVER (PARTITION BY o_orderkey, kind, {normal('value')} ORDER BY o, value) = 1)"""

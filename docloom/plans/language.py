@@ -190,8 +190,8 @@ def offered_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that ask for a file: its format, and whether of the last answer, of the conversation or
-    of a question of its own."""
-    q = _questions(spark, sf_dir).select("o_orderkey", *[c.alias(n) for c, n in zip(L.file_request(F.col("q")), ("format", "subject"))])
+    of a question of its own, which is given without the request's words."""
+    q = _questions(spark, sf_dir).select("o_orderkey", *[c.alias(n) for c, n in zip(L.file_request(F.col("q")), ("format", "subject", "question"))])
     return q.where("format is not null")
 
 
@@ -351,7 +351,7 @@ SQL = {
     "lessons": f"""SELECT o_orderkey, {L.lessons_sql(listed)} FROM orders WHERE o_orderkey % {len(LESSONS)} NOT IN (4, 7)""",
     "term_pairs": f"""SELECT o_orderkey, CASE o_orderkey % {len(LESSONS)} WHEN 3 THEN 'boq ' || o_orderkey ELSE 'scaffold ' || o_orderkey END AS a, CASE o_orderkey % {len(LESSONS)} WHEN 3 THEN 'جدول الكميات ' || o_orderkey ELSE 'support frame' END AS b FROM orders WHERE o_orderkey % {len(LESSONS)} IN (3, 4)""",
     "offered_meaning": f"SELECT p_partkey, {normal('p_name')} AS meant FROM part WHERE p_partkey % 4 <> 0 AND len(string_split(p_name, ' ')) <= 5",
-    "file_requests": f"SELECT o_orderkey, CASE o_orderkey % {len(TEMPLATES)} WHEN 18 THEN 'pdf' ELSE 'xlsx' END AS format, CASE o_orderkey % {len(TEMPLATES)} WHEN 18 THEN 'question' ELSE 'conversation' END AS subject FROM orders WHERE o_orderkey % {len(TEMPLATES)} IN (18, 19)",
+    "file_requests": f"SELECT o_orderkey, CASE o_orderkey % {len(TEMPLATES)} WHEN 18 THEN 'pdf' ELSE 'xlsx' END AS format, CASE o_orderkey % {len(TEMPLATES)} WHEN 18 THEN 'question' ELSE 'conversation' END AS subject, CASE o_orderkey % {len(TEMPLATES)} WHEN 18 THEN 'order ' || o_orderkey || '؟' END AS question FROM orders WHERE o_orderkey % {len(TEMPLATES)} IN (18, 19)",
     "follow_up_text": f"""WITH {_asked()}, x AS (SELECT regexp_replace(q, '\\d+', 'N', 'g') AS s FROM q) SELECT 'and its fee regarding ' || regexp_replace(regexp_replace(s, {quoted(L.LEADING_QUESTION)}, ''), '[?؟.\\s]+$', '') || '?' AS joined, count(*) AS n FROM x GROUP BY 1""",
     "name_tokens": """WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part)
         SELECT p_partkey, lower(array_to_string(ws, ' ')) || ' v' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' rev2' ELSE '' END AS name, lower(array_to_string(ws, ' ')) AS base,

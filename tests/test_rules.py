@@ -211,3 +211,32 @@ def test_known_beginnings(spark):
     known = lambda t: t in vocabulary or len(t) > 2 and any(len(w) > 2 and (w.startswith(t) or t.startswith(w)) for w in vocabulary)
     assert got == {t for t in asked if known(t)} and len(got) < len(asked)
     assert expansion.known_stems(column(asked), column([])).count() == 0
+
+
+def test_titles_before_prose_are_no_names(spark):
+    from docloom.operators import entities
+
+    texts = ["قال الخبير في المحضر كذا", "المهندسة فاطمة علي حضرت", "د. سالم خالد", "مبلغ 1,250.50 د.إ فقط", "see form A1-99x and HR-F-12", "شركة البناء الحديث ذ.م.م"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {}
+    for r in entities.entities(df, "i", F.col("t")).collect():
+        got.setdefault(r.i, set()).add((r.kind, r.value))
+    assert 0 not in got and ("person", "المهندسة فاطمة علي حضرت") in got[1] and ("person", "د. سالم خالد") in got[2]
+    assert ("amount", "1,250.50 د.إ") in got[3] and {("form", "form A1-99x"), ("form", "HR-F-12")} <= got[4] and ("organization", "شركة البناء الحديث") in got[5]
+
+
+def test_file_requests_keep_their_question(spark):
+    cases = {
+        "اعمل لي ملف pdf بأسعار البنود في أمر التغيير": ("pdf", "question", "أسعار البنود في أمر التغيير؟"),
+        "Please give me the list of files in order 7 as a Word file": ("docx", "question", "give me the list of files in order 7؟"),
+        "create an excel sheet of the fees for March": ("xlsx", "question", "sheet of the fees for March؟"),
+        "export this to pdf": ("pdf", "last", None),
+        "اعمل ملخص pdf": ("pdf", "conversation", None),
+        "make a pdf of the whole conversation": ("pdf", "conversation", None),
+        "what is in contract.pdf?": (None, None, None),
+        "is there a word on fees": (None, None, None),
+        "": (None, None, None),
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string")
+    got = {r.q: (r.a, r.b, r.c) for r in df.select("q", *[c.alias(n) for c, n in zip(language.file_request(F.col("q")), "abc")]).collect()}
+    assert got == cases
