@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,18 @@ from docloom.operators.store import stored
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles by nearest rank: the value at index ``round(p * (n - 1))``, halves to even.
+    """Percentiles by nearest rank: the value at index ``round(p * (n - 1))``, halves to even."""
+    return at_ranks(df, group, value, {name: lambda n, p=p: F.bround(F.lit(p) * (n - 1), 0) for name, p in shares.items()})
+
+
+def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``group, median, n``: the middle value of each group, or half the sum of the two in the middle."""
+    two = at_ranks(df, group, value, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)})
+    return two.select(*group, ((F.col("low") + F.col("high")) / 2).alias("median"), "n")
+
+
+def at_ranks(df: DataFrame, group: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Of each group the values at some ranks (from 0, of its number of values), and that number, ``n``.
 
     Equal values are counted first, in every task. The counts are sorted by ranges of group and value,
     so that no group is in one task; the ranges' totals say in which range an index lies, and only
@@ -17,18 +30,17 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str,
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
     placed = stored(counts.repartitionByRange(*group, value).withColumn("__part", F.spark_partition_id()))
     parts = placed.groupBy(*group, "__part").agg(F.sum("__n").alias("__sum"))
-    all_ = Window.partitionBy(*group)
+    all_ = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each range
     upto = F.sum("__sum").over(all_.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("__upto", upto).withColumn("__all", F.sum("__sum").over(all_))
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("__all")).cast("double").alias("at")) for name, rank in ranks.items()])
     parts = parts.select(*group, "__part", (F.col("__upto") - F.col("__sum")).alias("__before"), "__upto", "__all", F.explode(wanted).alias("w"))
-    index = F.bround(F.col("w.p") * (F.col("__all") - 1), 0)
-    parts = parts.withColumn("__at", index).where((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__upto")))
+    parts = parts.withColumn("__at", F.col("w.at")).where((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__upto")))
     inside = placed.join(parts, [*group, "__part"])
     here = Window.partitionBy(*group, "__part", "w").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("__now", F.col("__before") + F.sum("__n").over(here)).where(F.col("__now") > F.col("__at"))
     first = inside.groupBy(*group, F.col("w.name").alias("name")).agg(F.min(value).alias("v"), F.first("__all").alias("n"))
-    return first.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares], F.max("n").alias("n"))
+    return first.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks], F.max("n").alias("n"))
 
 
 def calendar(days: DataFrame, day: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import analytics as A
 from docloom.operators import retrieval as R
+from docloom.operators.store import stored
 from docloom.plans.retrieval import read
 
 #: Latency bounds in seconds, and which states may follow each other.
@@ -122,30 +123,32 @@ def quality_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole period, this week and the one before: questions, share answered, verified (an even k), liked
     (k below 50), remembered (k of 7), median seconds of those not remembered, users."""
     e = _outcomes(spark, sf_dir)
-    last = e.agg(F.max("day").alias("last")).withColumn("one", F.lit(1))
-    e = e.withColumn("one", F.lit(1)).join(last, "one").withColumn("age", F.datediff("last", "day"))
+    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    e = e.crossJoin(last).withColumn("age", F.datediff("last", "day"))
     spans = F.array(F.when(F.col("age") < 30, "period"), F.when(F.col("age") < 7, "this week"), F.when(F.col("age").between(7, 13), "last week"))
     w = e.withColumn("span", F.explode(F.array_compact(spans)))
     good, remembered = F.col("outcome") == "answered", F.col("k") % 7 == 0
     rate = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 3)
     up, down = F.count_if(F.col("k") < 20), F.count_if(F.col("k") >= 80)
-    return w.groupBy("span").agg(
+    seconds = A.medians(w.where(good & ~remembered), ["span"], "value").select("span", F.round("median", 1).alias("median_seconds"))
+    per = w.groupBy("span").agg(
         F.count("*").alias("questions"), rate(F.count_if(good), F.count("*")).alias("answer_rate"), rate(F.count_if(good & (F.col("k") % 2 == 0)), F.count_if(good)).alias("verified_rate"), rate(up, up + down).alias("satisfaction"),
-        F.count_if(remembered).alias("remembered"), F.round(F.median(F.when(good & ~remembered, F.col("value"))), 1).alias("median_seconds"), F.countDistinct("user_id").alias("users"),
+        F.count_if(remembered).alias("remembered"), F.countDistinct("user_id").alias("users"),
     )
+    return per.join(seconds, "span", "left")
 
 
 def nightly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last day's lines: outcomes with whole percents, the median, the most frequent reasons for a refusal."""
     e = _outcomes(spark, sf_dir)
-    last = e.agg(F.max("at").alias("last")).withColumn("one", F.lit(1))
-    e = e.withColumn("one", F.lit(1)).join(last, "one").where(F.col("last") - F.col("at") < 86_400).drop("one")
-    total = e.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
-    per = e.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)).join(total, "one")
+    last = F.broadcast(e.agg(F.max("at").alias("last")))  # one row
+    day = stored(e.crossJoin(last).where(F.col("last") - F.col("at") < 86_400).select("outcome", "k", "value"))
+    total = F.broadcast(day.agg(F.count("*").alias("total")))  # one row
+    per = day.groupBy("outcome").agg(F.count("*").alias("n")).crossJoin(total)
     lines = per.select(F.concat(F.lit("outcome "), "outcome").alias("line"), "n", F.floor(F.col("n") * 100 / F.col("total")).alias("percent"))
-    reasons = e.where("outcome = 'refused'").groupBy((F.col("k") % 4).alias("reason")).agg(F.count("*").alias("n"))
+    reasons = day.where("outcome = 'refused'").groupBy((F.col("k") % 4).alias("reason")).agg(F.count("*").alias("n"))
     reasons = reasons.orderBy(F.desc("n"), "reason").limit(5).select(F.concat(F.lit("reason "), "reason").alias("line"), "n", F.lit(None).cast("long").alias("percent"))
-    middle = e.agg(F.round(F.median("value")).cast("long").alias("n")).select(F.lit("median seconds").alias("line"), "n", F.lit(None).cast("long").alias("percent"))
+    middle = A.medians(day, [], "value").select(F.lit("median seconds").alias("line"), F.round("median").cast("long").alias("n"), F.lit(None).cast("long").alias("percent"))
     return lines.unionByName(reasons).unionByName(middle)
 
 
@@ -182,9 +185,12 @@ def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of which the user or one with the same k claimed this nonce (k) within 600 seconds before."""
-    w = Window.partitionBy("k").orderBy("at", "event_id")
-    e = _events(spark, sf_dir).withColumn("age", F.col("at") - F.lag("at").over(w))
-    return e.where(F.col("age") <= NONCE_S).select("event_id", F.round("age", 3).alias("age"))
+    # a claim within reach lies in the same span of that length or in the one before: each row is in both, its
+    # own once, so that a nonce that all use is split by time
+    span = F.floor(F.col("at") / NONCE_S).cast("long")
+    e = _events(spark, sf_dir).select("k", "event_id", "at", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("s"))
+    e = e.withColumn("age", F.col("at") - F.lag("at").over(Window.partitionBy("k", "s.span").orderBy("at", "event_id")))
+    return e.where(F.col("s.own") & (F.col("age") <= NONCE_S)).select("event_id", F.round("age", 3).alias("age"))
 
 
 def stage_first(spark: SparkSession, sf_dir: str) -> DataFrame:

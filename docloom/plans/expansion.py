@@ -11,6 +11,7 @@ from docloom.operators import expansion as X
 from docloom.operators import filing as G
 from docloom.operators import language as L
 from docloom.operators import retrieval as R
+from docloom.operators.store import stored
 from docloom.operators import structure as S
 from docloom.plans.language import content_list, has, normal, quoted
 from docloom.plans.layout import _lines
@@ -68,30 +69,42 @@ def project_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_rerank(spark: SparkSession, sf_dir: str, limit: int = 16) -> DataFrame:
     """Rerank of the fused pool by ten features: fusion, similarity of vectors, terms weighed by their rarity in
-    the pool, codes, heading, table, phrase, time, bookkeeping, standing; from 0.15 on."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.text_or_empty("text").alias("t"), F.coalesce("source", F.lit("")).alias("section"))
-    docs = docs.select("doc_id", T.normalize(F.col("t")).alias("n"), T.content(F.col("t")).alias("body"), T.content(F.col("section")).alias("head"), F.col("t").rlike(r"(?m)^\s*\|.*\|").alias("has_table"), T.normalize(F.concat_ws(" ", "section", F.substring_index("t", "\n", 1))).alias("heading"), G.standing(T.normalize(F.substring("t", 1, 700))).alias("standing"))
-    asked = read(spark, sf_dir, "benchmark").select("item_id", T.normalize(T.text_or_empty("text")).alias("q")).select("item_id", "q", T.content(F.col("q")).alias("ts"), F.regexp_extract_all("q", F.lit(T.IDENTIFIER), F.lit(0)).alias("codes"), L.intent(F.col("q")).alias("intent"), L.all_dates(F.col("q")).alias("days"), F.col("q").rlike(T.cues(V.ABOUT_DOCUMENT)).alias("about"))
+    the pool, codes, heading, table, phrase, time, bookkeeping, standing; from 0.15 on.
+
+    What a document says is read once, for those in the pool alone; a question's terms meet it by joins."""
+    pool = stored(_pool(spark, sf_dir).select("item_id", "doc_id", "fused"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.text_or_empty("text").alias("t"), F.coalesce("source", F.lit("")).alias("section")).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = docs.withColumn("n", T.normalize(F.col("t")))
+    heading = T.normalize(F.concat_ws(" ", "section", F.substring_index("t", "\n", 1)))
+    docs = stored(
+        docs.select(
+            "doc_id", "n", T.content(F.col("t")).alias("body"), T.content(F.col("section")).alias("head"), F.col("t").rlike(r"(?m)^\s*\|.*\|").alias("has_table"), (G.bookkeeping(heading) != "").alias("book"),
+            (G.standing(T.normalize(F.substring("t", 1, 700))) == "superseded").alias("superseded"), L.all_dates(F.col("n")).alias("dates"),
+        )
+    )
+    asked = read(spark, sf_dir, "benchmark").select("item_id", T.normalize(T.text_or_empty("text")).alias("q"))
+    asked = stored(asked.select("item_id", "q", T.content(F.col("q")).alias("ts"), F.regexp_extract_all("q", F.lit(T.IDENTIFIER), F.lit(0)).alias("codes"), L.intent(F.col("q")).isin("numeric", "date", "comparison", "timeline").alias("tabular"), L.all_dates(F.col("q")).alias("days"), F.col("q").rlike(T.cues(V.ABOUT_DOCUMENT)).alias("about")))
+    terms = asked.select("item_id", F.explode("ts").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("m"))
+    said = docs.select("doc_id", "head", F.explode(F.array_union("body", "head")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    said = said.select("doc_id", "term", F.array_contains("head", F.col("term")).alias("in_head"))
+    hit = stored(pool.select("item_id", "doc_id").join(terms, "item_id").join(said, ["doc_id", "term"]))
+    n = pool.groupBy("item_id").agg(F.count("*").alias("n"))
+    df = hit.groupBy("item_id", "term").agg(F.count("*").alias("df"))
+    weights = terms.join(n, "item_id").join(df, ["item_id", "term"], "left").select("item_id", "term", (F.col("m") * F.log(1 + (F.col("n") + 1) / (1 + F.coalesce("df", F.lit(0))))).alias("w"))
+    weights = stored(weights)
+    total = weights.groupBy("item_id").agg(F.sum("w").alias("total"))
+    cover = hit.join(weights, ["item_id", "term"]).groupBy("item_id", "doc_id").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("in_head"), F.col("w"))).alias("head"))
     v = read(spark, sf_dir, "embeddings").select("vec_id", T.cosine_ready(F.col("embedding")).alias("u"))
-    pool = _pool(spark, sf_dir).select("item_id", "doc_id", "fused").join(docs, "doc_id").join(asked, "item_id")
+    pool = pool.join(docs.drop("body", "head"), "doc_id").join(asked.drop("ts"), "item_id").join(total, "item_id", "left").join(cover, ["item_id", "doc_id"], "left")
     pool = pool.join(v.select(F.col("vec_id").alias("item_id"), F.col("u").alias("a")), "item_id", "left").join(v.select(F.col("vec_id").alias("doc_id"), F.col("u").alias("b")), "doc_id", "left")
-    pool = pool.withColumn("all", F.array_union("body", "head"))
-    terms = pool.select("item_id", "doc_id", F.explode(F.array_intersect("ts", "all")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("df"))
-    n = pool.groupBy("item_id").agg(F.count("*").alias("n"))
-    weights = asked.select("item_id", F.explode("ts").alias("term")).join(n, "item_id").join(terms, ["item_id", "term"], "left").select("item_id", F.struct("term", F.log(1 + (F.col("n") + 1) / (1 + F.coalesce("df", F.lit(0)))).alias("w")).alias("w"))
-    weights = weights.groupBy("item_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))
-    pool = pool.join(weights, "item_id", "left")
-    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["w"])
-    share = lambda c: F.coalesce(add(F.filter("ws", lambda x: F.array_contains(c, x["term"]))) / F.nullif(add(F.col("ws")), F.lit(0.0)), F.lit(0.0))
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0))
     vector = F.coalesce(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
     code = F.exists("codes", lambda c: F.contains(F.col("n"), c))
-    table = F.col("has_table") & F.col("intent").isin("numeric", "date", "comparison", "timeline")
-    dated = (F.size("days") > 0) & F.arrays_overlap("days", L.all_dates(F.col("n")))
-    book = G.bookkeeping(F.col("heading")) != ""
+    dated = (F.size("days") > 0) & F.arrays_overlap("days", "dates")
     yes = lambda c, w: F.when(c, w).otherwise(0.0)
     score = (
-        F.col("fused") + vector + 0.9 * share(F.col("all")) + yes(code, 1.2) + 0.6 * share(F.col("head")) + yes(table, 0.25) + yes((F.col("q") != "") & F.contains("n", F.col("q")), 0.5) + yes(dated, 1.1)
-        + F.when(book & F.col("about"), 0.4).when(book, -0.9).otherwise(0.0) + yes(F.col("standing") == "superseded", -1.0)
+        F.col("fused") + vector + 0.9 * share("all") + yes(code, 1.2) + 0.6 * share("head") + yes(F.col("has_table") & F.col("tabular"), 0.25) + yes((F.col("q") != "") & F.contains("n", F.col("q")), 0.5) + yes(dated, 1.1)
+        + F.when(F.col("book") & F.col("about"), 0.4).when(F.col("book"), -0.9).otherwise(0.0) + yes(F.col("superseded"), -1.0)
     )
     out = R.ranked(pool.select("item_id", "doc_id", F.round(score, 5).alias("score")), ["item_id"], F.desc("score"), F.col("doc_id"))
     return out.where((F.col("rank") <= limit) & (F.col("score") >= 0.15))
