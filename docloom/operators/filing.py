@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,26 +93,35 @@ def packed(sizes: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Chunks of neighbouring blocks as (first, n, chars) from the blocks' lengths: a block opens a new
     chunk where the open one would grow beyond ``size``; the last blocks of the old one, ``overlap``
     characters at most, are carried into it. A block that is longer than a chunk is one alone, and
-    nothing is carried over it. An ordered fold in constant state: the open chunk's first block."""
-    item = "struct<first:int,n:int,chars:int>"
-    total = lambda a, b, gap: F.when(b > a, F.aggregate(F.slice(sizes, a + 1, b - a), F.lit(0), lambda s, x: s + x + gap)).otherwise(0)
-    start = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"))
-
-    def closed(s: Column, i: Column) -> Column:
-        one = F.struct(s["first"].alias("first"), (i - s["first"]).alias("n"), (total(s["first"], i, 2) - 2).alias("chars"))
-        return F.when(i > s["first"], F.concat(s["done"], F.array(one))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        i = s["at"]
-        alone = F.struct(F.concat(closed(s, i), F.array(F.struct(i.alias("first"), F.lit(1).alias("n"), x.alias("chars")))).alias("done"), (i + 1).alias("first"), (i + 1).alias("at"))
-        full = (i > s["first"]) & (total(s["first"], i, 2) + x > size)
-        # the earliest block from which all up to here fit into the overlap
-        kept = F.filter(F.sequence(s["first"], i), lambda j: (j >= s["first"]) & (total(j, i, 0) <= overlap))
-        fresh = F.struct(closed(s, i).alias("done"), F.array_min(kept).alias("first"), (i + 1).alias("at"))
-        same = F.struct(s["done"].alias("done"), s["first"].alias("first"), (i + 1).alias("at"))
-        return F.when(x > size, alone).when(full, fresh).otherwise(same)
-
-    return F.aggregate(sizes, start, step, lambda s: closed(s, s["at"]))
+    nothing is carried over it. One pass over a text's blocks, in Arrow batches: an expression that folds
+    them would copy the chunks it has at each."""
+
+    @F.pandas_udf("array<struct<first:int,n:int,chars:int>>")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda blocks: None if blocks is None else _chunks(blocks.tolist(), size, overlap))
+
+    return fold(sizes)
+
+
+def _chunks(blocks: list[int], size: int, overlap: int) -> list[dict]:
+    out: list[tuple[int, int, int]] = []
+    first = chars = 0  # of the open chunk; its blocks are parted by two characters
+    for i, x in enumerate(blocks):
+        if x > size or (i > first and chars + x > size):
+            if i > first:
+                out.append((first, i - first, chars - 2))
+            kept, carried = i, 0
+            while x <= size and kept > first and carried + blocks[kept - 1] <= overlap:
+                kept, carried = kept - 1, carried + blocks[kept - 1]
+            if x > size:
+                out.append((i, 1, x))
+                first, chars = i + 1, 0
+                continue
+            first, chars = kept, carried + 2 * (i - kept)
+        chars += x + 2
+    if len(blocks) > first:
+        out.append((first, len(blocks) - first, chars - 2))
+    return [{"first": a, "n": n, "chars": c} for a, n, c in out]
 
 
 def greedy(sizes: Column, size: Column, before: Column) -> Column:
