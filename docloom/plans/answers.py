@@ -6,34 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions import vocabulary as W
 from docloom.operators import evidence as V
+from docloom.operators import language as L
 from docloom.operators import retrieval as R
 from docloom.operators import structure as S
 from docloom.plans.analysis import _plain
+from docloom.plans.language import _asked, _questions, has, normal, quoted
 from docloom.plans.retrieval import _BASE, bm25_topk, read, rrf_fuse
 
-#: Cues of a question's intent, first match wins.
-INTENTS = (("comparison", ("than", "als", "comme")), ("method", ("by", "with", "por", "pour", "durch")), ("place", ("in", "at", "en", "dans")), ("fact", ("is", "was", "est", "ist", "es")))
 #: Topic keywords weighed by where a page has them.
 TOPICS = (("grammar", ("the", "and")), ("french", ("les", "des")), ("german", ("der", "und")), ("spanish", ("los", "que")))
 LEAST_SHARE, LEAST_BOUND = 0.34, 0.2
+#: What parts a question.
+PARTED = r"[?!.;؟،\n]+"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.text_or_empty("text").alias("text"))
 
 
-def _intent(terms: Column) -> Column:
-    out = F.lit("other")
-    for name, cues in reversed(INTENTS):
-        out = F.when(F.arrays_overlap(terms, F.array(*[F.lit(c) for c in cues])), name).otherwise(out)
-    return out
-
-
 def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent, size and figures of every user turn in one projection."""
     u = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text", T.terms(F.col("text")).alias("ts"))
-    return u.select("conv_id", "turn", _intent(F.col("ts")).alias("intent"), F.size("ts").cast("long").alias("terms"), F.size(T.numeric_tokens(F.col("text"))).cast("long").alias("numbers"), T.language(F.col("text")).alias("script"))
+    return u.select("conv_id", "turn", L.intent(T.normalize(F.col("text"))).alias("intent"), F.size("ts").cast("long").alias("terms"), F.size(T.numeric_tokens(F.col("text"))).cast("long").alias("numbers"), T.language(F.col("text")).alias("script"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +54,14 @@ def coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each part asks for: two kinds by cue at most, six for a turn."""
-    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("kind"), F.array(*[F.lit(c) for c in cues]).alias("cues")) for i, (name, cues) in enumerate(INTENTS)])
-    p = _parts(spark, sf_dir).select("conv_id", "turn", "part", T.terms(F.col("body")).alias("ts"))
-    fired = p.select("conv_id", "turn", "part", F.posexplode(F.slice(F.filter(kinds, lambda k: F.arrays_overlap(k["cues"], F.col("ts"))), 1, 2)).alias("nth", "k"))
-    return R.ranked(fired, ["conv_id", "turn"], F.col("part"), F.col("nth"), out="place").where("place <= 6").select("conv_id", "turn", "part", F.col("k.kind").alias("kind"), "place")
+    """What each part of a question asks for: two kinds at most, by the whole lists of cues in their order; six for a
+    question. A date that the question names is no cue."""
+    parts = F.filter(F.split("q", PARTED), lambda p: F.length(F.trim(p)) > 6)
+    p = _questions(spark, sf_dir).select("o_orderkey", F.posexplode(parts).alias("part", "body"))
+    p = p.withColumn("n", F.regexp_replace(T.normalize(F.col("body")), L.GIVEN_DATE, " "))
+    kinds = F.array_compact(F.array(*[F.when(F.col("n").rlike(T.cues(words)), name) for name, words in W.INTENTS.items()]))
+    fired = p.select("o_orderkey", "part", F.posexplode(F.slice(kinds, 1, 2)).alias("nth", "kind"))
+    return R.ranked(fired, ["o_orderkey"], F.col("part"), F.col("nth"), out="place").where("place <= 6").drop("nth")
 
 
 def bind_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +184,9 @@ p AS (SELECT conv_id, turn, answer, (i - 1)::INTEGER AS part, list_distinct({_T.
 pc AS (SELECT conv_id, turn, part, CASE WHEN len(ts) > 0 THEN round(len(list_intersect(ts, {_T.format('answer')})) / len(ts)::DOUBLE, 6) ELSE 0 END AS share FROM p),
 c AS (SELECT *, share >= 0.34 AS covered FROM pc)"""
 _LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_INTENT = "CASE " + " ".join(f"WHEN list_has_any(ts, {_LIST(cues)}) THEN '{name}'" for name, cues in INTENTS) + " ELSE 'other' END"
+_NORMAL = normal("coalesce(text, '')")
+_ASKED = f"regexp_replace({_NORMAL}, {quoted(L.GIVEN_DATE)}, ' ', 'g')"
+_INTENT = f"CASE WHEN {has(_NORMAL, ('متى', 'when'))} AND {has(_NORMAL, W.INTENTS['aggregation'])} THEN 'timeline' " + " ".join(f"WHEN {has(_ASKED, ws)} THEN '{name}'" for name, ws in W.INTENTS.items()) + " ELSE 'fact' END"
 
 
 def _over(a: str, b: str) -> str:
@@ -206,9 +207,11 @@ SQL = {
           CASE WHEN la + ar = 0 THEN 'none' WHEN ar / (la + ar) >= 0.6 THEN 'ar' WHEN ar / (la + ar) <= 0.15 THEN 'en' ELSE 'mixed' END AS script FROM t""",
     "part_coverage": f"WITH {_P} SELECT * FROM c",
     "coverage_score": f"WITH {_P} SELECT conv_id, turn, count(*) AS checked, count(*) FILTER (covered) AS satisfied, round(avg(covered::INTEGER), 3) AS score, bool_and(covered) AS complete FROM c GROUP BY conv_id, turn",
-    "answer_contract": f"""WITH {_P}, k(i, kind, cues) AS (VALUES {', '.join(f"({i}, '{n}', {_LIST(cs)})" for i, (n, cs) in enumerate(INTENTS))}),
-        f AS (SELECT conv_id, turn, part, kind, i FROM p JOIN k ON list_has_any(all_ts, cues) QUALIFY row_number() OVER (PARTITION BY conv_id, turn, part ORDER BY i) <= 2)
-        SELECT conv_id, turn, part, kind, row_number() OVER (PARTITION BY conv_id, turn ORDER BY part, i)::INTEGER AS place FROM f QUALIFY place <= 6""",
+    "answer_contract": f"""WITH {_asked()}, p AS (SELECT o_orderkey, list_filter(regexp_split_to_array(q, '{PARTED}'), lambda p: length(trim(p)) > 6) AS ps FROM q),
+        x AS (SELECT o_orderkey, (i - 1)::INTEGER AS part, regexp_replace({normal('ps[i]')}, {quoted(L.GIVEN_DATE)}, ' ', 'g') AS n FROM p, unnest(range(1, len(ps) + 1)) AS r(i)),
+        k AS (SELECT o_orderkey, part, list_filter([{', '.join(f"CASE WHEN {has('n', ws)} THEN '{k}' END" for k, ws in W.INTENTS.items())}], lambda k: k IS NOT NULL)[1:2] AS ks FROM x),
+        f AS (SELECT o_orderkey, part, unnest(ks) AS kind, unnest(range(len(ks))) AS nth FROM k)
+        SELECT o_orderkey, part, kind, row_number() OVER (PARTITION BY o_orderkey ORDER BY part, nth)::INTEGER AS place FROM f QUALIFY place <= 6""",
     "bind_evidence": rf"""WITH {_P}, s AS (SELECT conv_id, turn, part, ts, (j - 1)::INTEGER AS sentence, ss[j] AS s FROM (SELECT *, regexp_split_to_array(answer, '[.!?]+\s+') AS ss FROM p), unnest(range(1, len(ss) + 1)) AS r(j)),
         o AS (SELECT conv_id, turn, part, sentence, round({_over('ts', _T.format('s'))}, 6) AS overlap FROM s)
         SELECT *, row_number() OVER (PARTITION BY conv_id, turn, part ORDER BY overlap DESC, sentence)::INTEGER AS place FROM o WHERE overlap >= 0.2 QUALIFY place <= 3""",
