@@ -100,3 +100,25 @@ def slots(sections: DataFrame, cited_: DataFrame, doc: str) -> DataFrame:
     s = sections.join(own, [doc, "section"], "left").join(first, doc)
     return s.select(doc, "section", F.coalesce("own", "first").alias("citation"), F.col("own").isNotNull().alias("is_own"))
 
+
+def scored(answers: DataFrame) -> DataFrame:
+    """``known, share, answer, context, lines`` with ``completeness, correct, invented, refused, document_hit, citation_hit``.
+
+    An answer that cites is grounded. What the corpus knows is correct where it is grounded, cites a line that is
+    there and one of the first two, and states no figure that the corpus lacks; what it doesn't know is correct
+    and complete where it is refused. How complete an answer is says nothing of how correct it is."""
+    sources = cited(F.col("answer"))
+    grounded, wrong = F.size(sources) > 0, F.size(unsupported(F.col("answer"), F.col("context"))) > 0
+    hit = F.size(F.filter(sources, lambda p: p <= F.col("lines"))) > 0
+    primary = F.arrays_overlap(sources, F.array(F.lit(1), F.lit(2)))
+    known, refused = F.col("known"), ~grounded
+    return answers.withColumns(
+        {
+            "completeness": F.when(known, F.col("share")).otherwise(refused.cast("double")),
+            "correct": F.when(known, grounded & hit & primary & ~wrong).otherwise(refused),
+            "invented": wrong & (known | grounded),
+            "refused": refused,
+            "document_hit": hit,
+            "citation_hit": primary,
+        }
+    )

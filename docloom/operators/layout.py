@@ -310,6 +310,23 @@ def picture_share(area: Column, page_area: Column) -> Column:
     return F.least(F.lit(1.0), F.coalesce(area, F.lit(0.0)) / page_area)
 
 
+#: Fixed value: the damage from which a text layer doesn't match what it shows.
+DAMAGED = 0.08
+
+
+def repairs(pages: DataFrame, fresh: DataFrame, done: DataFrame, doc: str) -> DataFrame:
+    """``doc, repair, pages``: the documents that a better reading would change, once each for a repair that has not
+    been done (``done``: ``doc, repair``). ``pictured``: a typed page that pictures cover, whose reading has three new
+    lines with figures; ``damaged``: a page whose text layer is. ``pages``: ``doc, page, chars, share, damage``;
+    ``fresh``: ``doc, page, line`` as ``new_figure_lines`` has them."""
+    new = fresh.groupBy(doc, "page").agg(F.count("*").alias("new"))
+    p = pages.join(new, [doc, "page"], "left")
+    pictured = (F.col("chars") >= PAGE_CHARS) & (F.col("share") >= PICTURED) & (F.coalesce("new", F.lit(0)) >= NEW_LINES)
+    wanted = F.array_compact(F.array(F.when(pictured, "pictured"), F.when(F.col("damage") >= DAMAGED, "damaged")))
+    found = p.select(doc, "page", F.explode(wanted).alias("repair")).groupBy(doc, "repair").agg(F.count("*").alias("pages"))
+    return found.join(done, [doc, "repair"], "left_anti")
+
+
 def agreed(table_text: Column, our_text: Column) -> tuple[Column, Column, Column]:
     """(numbers, share, kept) of a table that someone else has read: three numbers of three digits, 30 % of
     which our text has too, and not so many thin letters that it is misread Arabic."""

@@ -105,12 +105,18 @@ def completed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers by kind of question: share of gold values stated, answers with figures that the corpus lacks,
-    refusals."""
+    """Answers by kind of question: share of gold values stated; answers that rest on the document and cite its
+    primary lines; figures that the corpus lacks; and, of questions that the corpus can't answer (every
+    eleventh), how many are refused: answered without a source."""
     e = C.evidence(_facts(spark, sf_dir), "doc").where("origin = 0").join(_answers(spark, sf_dir), "doc")
-    per = e.groupBy("doc").agg(F.avg(F.contains(T.normalize(F.col("answer")), T.normalize(F.col("value"))).cast("int")).alias("share"), F.first("answer").alias("answer"), F.first("context").alias("context"))
-    per = per.withColumn("invented", F.size(C.unsupported(F.col("answer"), F.col("context"))) > 0)
-    return per.groupBy((F.col("doc") % 2 == 0).alias("exhaustive")).agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("completeness"), F.round(F.avg((F.col("share") == 1).cast("int")), 6).alias("correct"), F.round(F.avg(F.col("invented").cast("int")), 6).alias("hallucinated"))
+    per = e.groupBy("doc").agg(F.avg(F.contains(T.normalize(F.col("answer")), T.normalize(F.col("value"))).cast("int")).alias("share"), F.first("answer").alias("answer"), F.first("context").alias("context"), F.first("lines").alias("lines"))
+    per = C.scored(per.withColumn("known", F.col("doc") % 11 > 0))
+    rate = lambda c, of=None: F.round(F.avg(c.cast("double") if of is None else F.when(of, c.cast("double"))), 6)
+    known = F.col("known")
+    return per.groupBy((F.col("doc") % 2 == 0).alias("exhaustive")).agg(
+        F.count("*").alias("n"), rate(F.col("completeness")).alias("completeness"), rate(F.col("correct")).alias("correct"), rate(F.col("invented")).alias("hallucinated"),
+        rate(F.col("refused"), ~known).alias("refusal_accuracy"), rate(F.col("document_hit"), known).alias("document_accuracy"), rate(F.col("citation_hit"), known).alias("citation_accuracy"),
+    )
 
 
 def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +189,11 @@ SQL = {
     "accepted_rewrites": f"""WITH {_F}, s AS (SELECT a.*, CASE doc % 3 WHEN 0 THEN answer || '; ' || value || ' [1]' WHEN 1 THEN split_part(answer, ';', 1) ELSE answer || '; 555,111' END AS second FROM a JOIN (SELECT doc, value FROM f0 WHERE place = 1) USING (doc)),
         m AS (SELECT doc, len({_CITED('answer')}) AS c1, len({_CITED('second')}) AS c2, -len({_WRONG('answer')}) AS s1, -len({_WRONG('second')}) AS s2 FROM s) SELECT doc, c2 >= c1 AND s2 >= s1 AND (c2 > c1 OR s2 > s1) AS accepted FROM m""",
     "completed_parts": f"""WITH {_F}, {_PARTS}, x AS (SELECT doc, answer, i AS number, ps[i] AS part FROM p, unnest(range(1, len(ps) + 1)) AS r(i)) SELECT doc, number::INTEGER AS number, part FROM x WHERE {_SHORT('part')}""",
-    "answer_eval": f"""WITH {_F}, s AS (SELECT doc, avg(contains(lower(answer), lower(value))::INTEGER) AS share, any_value(len({_WRONG('answer')}) > 0) AS invented FROM e JOIN a USING (doc) WHERE origin = 0 GROUP BY doc)
-        SELECT doc % 2 = 0 AS exhaustive, count(*) AS n, round(avg(share), 6) AS completeness, round(avg((share = 1)::INTEGER), 6) AS correct, round(avg(invented::INTEGER), 6) AS hallucinated FROM s GROUP BY 1""",
+    "answer_eval": f"""WITH {_F}, s AS (SELECT doc, avg(contains(lower(answer), lower(value))::INTEGER) AS share, any_value(len({_WRONG('answer')}) > 0) AS wrong, any_value({_CITED('answer')}) AS cs, any_value(lines) AS lines FROM e JOIN a USING (doc) WHERE origin = 0 GROUP BY doc),
+        h AS (SELECT doc, doc % 11 > 0 AS known, share, wrong, len(cs) > 0 AS grounded, len(list_filter(cs, lambda p: p <= lines)) > 0 AS d, list_has_any(cs, [1, 2]) AS c FROM s),
+        v AS (SELECT doc, known, CASE WHEN known THEN share ELSE (NOT grounded)::INTEGER END AS completeness, CASE WHEN known THEN NOT wrong AND d AND c AND grounded ELSE NOT grounded END AS correct, wrong AND (known OR grounded) AS invented, NOT grounded AS refused, d, c FROM h)
+        SELECT doc % 2 = 0 AS exhaustive, count(*) AS n, round(avg(completeness), 6) AS completeness, round(avg(correct::INTEGER), 6) AS correct, round(avg(invented::INTEGER), 6) AS hallucinated, round(avg(refused::INTEGER) FILTER (NOT known), 6) AS refusal_accuracy,
+          round(avg(d::INTEGER) FILTER (known), 6) AS document_accuracy, round(avg(c::INTEGER) FILTER (known), 6) AS citation_accuracy FROM v GROUP BY 1""",
     "question_flags": f"WITH {_F} SELECT doc, doc % 2 = 0 AS compound, false AS reasoning FROM a",
     "section_slots": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS section, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS citation FROM lineitem), c AS (SELECT * FROM l WHERE l_suppkey % 4 = 0),
         s AS (SELECT DISTINCT doc, section FROM l) SELECT s.doc, s.section, coalesce(o.own, f.first) AS citation, o.own IS NOT NULL AS is_own FROM s JOIN (SELECT doc, min(citation) AS first FROM c GROUP BY doc) f USING (doc) LEFT JOIN (SELECT doc, section, max(citation) AS own FROM c GROUP BY ALL) o USING (doc, section)""",

@@ -154,6 +154,21 @@ def table_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.first_source(g, "doc").select("doc", "grid", "source")
 
 
+def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (orders) that are to be read again, for pictures on typed pages (a day's lines) or for a damaged text
+    layer; what was done for every seventh is not done again."""
+    l = _lines(spark, sf_dir).withColumn("page", F.floor((F.col("rn") - 1) / 4))
+    k = F.col("l_partkey")
+    typed = l.select("doc", "page", F.struct("doc", "page").alias("key"), F.concat(F.lit("typed text of the line "), k, F.when(k % 9 == 0, " ###$%&").otherwise("")).alias("text"))
+    seen = l.select("doc", "page", F.struct("doc", "page").alias("key"), F.col("rn").alias("line"), F.concat(F.lit("read "), k * F.when(k % 5 == 0, 1).otherwise(11) + F.when(k % 5 == 0, 0).otherwise(100_000)).alias("text"))
+    odd = T.count_of(F.col("text"), r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")
+    chars = typed.groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars"), (F.sum(odd) / F.sum(F.length("text"))).alias("damage"))
+    areas = l.groupBy("doc", "page").agg(Y.picture_share(F.sum(F.col("l_quantity").cast("double") * 100), F.lit(50_000.0)).alias("share"))
+    fresh = Y.new_figure_lines(typed, seen, "key").select("key.doc", "key.page", "line")
+    done = l.select("doc").distinct().where("doc % 7 = 0").select("doc", F.lit("damaged").alias("repair"))
+    return Y.repairs(chars.join(areas, ["doc", "page"]), fresh, done, "doc")
+
+
 def picture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each page (a day of an order) that large pictures cover, and documents with a page that
     pictures cover by 15 %."""
@@ -166,7 +181,7 @@ def picture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        docx_headings, docx_sections, docx_walk, pdf_lines, figures_completed, heading_sizes, logical_tables, layout_columns, layout_tables, assisted_tables, scan_decision, better_readings, new_figures, covered_lines,
+        docx_headings, docx_sections, docx_walk, pdf_lines, figures_completed, repairs, heading_sizes, logical_tables, layout_columns, layout_tables, assisted_tables, scan_decision, better_readings, new_figures, covered_lines,
         table_choice, picture_shares,
     )
 }
@@ -183,6 +198,11 @@ _CELLS = f"""{_L}, b AS (SELECT doc, rn, k, l_quantity::INTEGER AS q, l_suppkey
   c AS (SELECT doc, round_even(y / 3, 0)::INTEGER AS row, rn, k, q, s, y FROM b JOIN n USING (doc) WHERE rows >= 3)"""
 
 SQL = {
+    "repairs": rf"""WITH {_L}, p AS (SELECT doc, (rn - 1) // 4 AS page, rn, k, l_quantity::DOUBLE AS q, 'typed text of the line ' || k || CASE WHEN k % 9 = 0 THEN ' ###$%&' ELSE '' END AS text, (CASE WHEN k % 5 = 0 THEN k ELSE k * 11 + 100000 END)::VARCHAR AS seen FROM l),
+        a AS (SELECT doc, page, sum(length(text)) AS chars, sum(CASE WHEN k % 9 = 0 THEN 6 ELSE 0 END) / sum(length(text))::DOUBLE AS damage, least(1, sum(q * 100) / 50000) AS share, list(k::VARCHAR) AS ks FROM p GROUP BY doc, page),
+        f AS (SELECT doc, page, count(*) FILTER (length(seen) >= 2 AND NOT list_contains(ks, seen)) AS new FROM p JOIN a USING (doc, page) GROUP BY doc, page),
+        r AS (SELECT doc, page, unnest(list_filter([CASE WHEN chars >= 40 AND share >= 0.15 AND new >= 3 THEN 'pictured' END, CASE WHEN damage >= 0.08 THEN 'damaged' END], lambda x: x IS NOT NULL)) AS repair FROM a JOIN f USING (doc, page))
+        SELECT doc, repair, count(*) AS pages FROM r WHERE NOT (repair = 'damaged' AND doc % 7 = 0) GROUP BY doc, repair""",
     "figures_completed": f"""WITH {_L},
         a AS (SELECT doc, rn, k, CASE WHEN k % 5 = 4 THEN (k % 40 + 1) || '/' || (k % 14 + 1) || '/2024' ELSE (k % 9 + 1) || ',' || lpad((k * 7 % 1000)::VARCHAR, 3, '0') || '.' || lpad((k % 100)::VARCHAR, 2, '0') END AS whole,
           rn * 40 + k % 7 AS x, l_suppkey % 5 * 20 AS y, CASE WHEN k % 11 = 0 THEN 20 ELSE k % 4 * 4 END AS shift FROM l),
