@@ -14,8 +14,9 @@ from docloom.plans.retrieval import read
 
 def _text() -> Column:
     return T.text_or_empty("text")
-#: Words that open a question that leans on the one before.
-FOLLOW_UP = r"(?i)^(?:and|et|und|y|but|aber|mais|pero)\b"
+#: Words that open a question that leans on the one before. What ends a word is spelled
+#: out, as engines disagree whether letters beyond ASCII are part of one ("été" is not "et").
+FOLLOW_UP = r"(?i)^(?:and|et|und|y|but|aber|mais|pero)(?:[^\p{L}\p{M}\p{N}_]|$)"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +126,8 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     inherit: the last user turn before that is neither."""
     u = _turns(spark, sf_dir).where("role = 'user'")
     leans = (F.size(T.terms(F.col("text"))) < 8) | F.col("text").rlike(FOLLOW_UP)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("leans", leans).withColumn("subject", F.last(F.when(~F.col("leans"), F.col("turn")), ignorenulls=True).over(w))
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("leans", leans).withColumn("subject", F.max(F.when(~F.col("leans"), F.col("turn"))).over(w))
     return u.select("conv_id", "turn", "leans", F.when(F.col("leans"), F.coalesce("subject", F.lit(-1))).otherwise(F.col("turn")).alias("subject_turn"))
 
 
@@ -216,7 +217,7 @@ SQL = {
     "recent_gist": r"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS back FROM conversations QUALIFY back <= 2)
         SELECT conv_id, substring(string_agg(role || ': ' || regexp_replace(regexp_replace(coalesce(text, ''), '\d+', '#', 'g'), '\s+', ' ', 'g'), ' / ' ORDER BY turn), 1, 400) AS gist FROM l GROUP BY conv_id""",
     "follow_ups": rf"""WITH {_U}, x AS (SELECT conv_id, turn, len({_TERMS}) < 8 OR regexp_matches(text, '{FOLLOW_UP}') AS leans FROM u)
-        SELECT conv_id, turn, leans, CASE WHEN leans THEN coalesce(last_value(CASE WHEN NOT leans THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE turn END AS subject_turn FROM x""",
+        SELECT conv_id, turn, leans, CASE WHEN leans THEN coalesce(max(CASE WHEN NOT leans THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE turn END AS subject_turn FROM x""",
     "resolved_by": f"""WITH {_U}, n AS (SELECT *, lead(turn) OVER w AS next_turn, lead(text) OVER w AS nt FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         s AS (SELECT conv_id, turn, next_turn, round({_overlap_sql(_TERMS, _T.format('nt'))}, 6) AS share FROM n WHERE next_turn IS NOT NULL) SELECT * FROM s WHERE share >= 0.34""",
     "answer_recall": f"""WITH {_U}, h AS (SELECT conv_id, turn, sha256({_NORMAL}) AS h FROM u), m AS (SELECT a.conv_id, a.turn, max(b.conv_id) AS recalled FROM h a JOIN h b ON a.h = b.h AND b.conv_id < a.conv_id GROUP BY ALL) SELECT * FROM m""",
