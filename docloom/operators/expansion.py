@@ -18,8 +18,13 @@ COMPARES = r"الفرق|فرق|مقارنه|قارن|مقابل|versus|\bvs\b|di
 def entity_hits(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """``q, document, section`` that facts of a question's words and kinds point to: its first 40 hits, and
     of each document among them the first eight sections. ``questions``: ``q, term, kind``; ``entities``:
-    ``document, section, id, term, kind``."""
-    hit = questions.join(entities, ["term", "kind"]).select("q", "document", "section", "id").distinct()
+    ``document, section, id, term, kind``. A word and kind has its first hits once, for all questions of it."""
+    asked = questions.select("term", "kind").distinct()
+    hits = entities.join(F.broadcast(asked), ["term", "kind"], "left_semi")
+    # a hit that stands twice is no second one: ranks of equal rows are equal
+    few = Window.partitionBy("term", "kind").orderBy("document", "section", "id")
+    hits = hits.select("term", "kind", "document", "section", "id").withColumn("n", F.dense_rank().over(few)).where(F.col("n") <= HITS).distinct().drop("n")
+    hit = questions.join(hits, ["term", "kind"]).select("q", "document", "section", "id").distinct()
     hit = R.ranked(hit, ["q"], F.col("document"), F.col("section"), F.col("id"), out="n").where(F.col("n") <= HITS)
     first = hit.groupBy("q", "document", "section").agg(F.min("n").alias("n"))
     return R.ranked(first, ["q", "document"], F.col("n"), out="place").where(F.col("place") <= SECTIONS).drop("n")
