@@ -118,56 +118,70 @@ OUTCOME = "owner long, event long, candidate long, outcome string"
 
 
 class Candidates(StatefulProcessor):
-    """One person's suggestions: offered, until one of accept, dismiss or reject closes it for good."""
+    """One person's suggestions: offered, until one of accept, dismiss or reject closes it for good. Of what waits
+    only the earliest row has a timer; when it is due, all that the watermark has passed has its turn in one go,
+    so that state is read and written once for a person and a batch, not once for a row."""
 
     def __init__(self, most: int):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "candidate long", "since long")
-        self.many = handle.getValueState("many", "n long")
+        self.open = handle.getValueState("open", "candidates array<long>")
         self.waiting = handle.getListState("waiting", EVENT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
         for part in rows:
-            new = [(int(r.event), int(r.us), str(r.act), int(r.candidate), int(r.actor), bool(r.manages)) for r in part.itertuples()]
-            for _, us, *_ in new:
-                self.handle.registerTimer(-(-us // 1000))
-            if new:
-                self.waiting.appendList(new)
-        yield pd.DataFrame(columns=["owner", "event", "candidate", "outcome"]).astype({"owner": "int64", "event": "int64", "candidate": "int64", "outcome": object})
+            new += [(int(r.event), int(r.us), str(r.act), int(r.candidate), int(r.actor), bool(r.manages)) for r in part.itertuples()]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(_due_ms(min(r[1] for r in new)))
+        yield _outcomes([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         rows = list(self.waiting.get()) if self.waiting.exists() else []
-        later = [r for r in rows if r[1] > now]
-        if len(later) < len(rows):
-            self.waiting.put(later) if later else self.waiting.clear()
         due = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[1], r[0]))
-        out = [(key[0], event, candidate, self._step(key[0], us, act, candidate, actor, manages)) for event, us, act, candidate, actor, manages in due]
-        yield pd.DataFrame(out, columns=["owner", "event", "candidate", "outcome"]).astype({"owner": "int64", "event": "int64", "candidate": "int64"})
-
-    def _step(self, owner: int, us: int, act: str, candidate: int, actor: int, manages: bool) -> str:
-        many = self.many.get()[0] if self.many.exists() else 0
+        if due:
+            later = [r for r in rows if r[1] > now]
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(_due_ms(min(r[1] for r in later)))
+            else:
+                self.waiting.clear()
+        held = set(self.open.get()[0]) if due and self.open.exists() else set()
+        before = set(held)
+        out = [(key[0], event, candidate, self._step(held, key[0], act, candidate, actor, manages)) for event, _, act, candidate, actor, manages in due]
+        if held != before:
+            self.open.update((sorted(held),)) if held else self.open.clear()
+        yield _outcomes(out)
+
+    def _step(self, held: set[int], owner: int, act: str, candidate: int, actor: int, manages: bool) -> str:
         if act == "offer":
-            if many >= self.most:
+            if len(held) >= self.most:
                 return "full"
-            self.open.updateValue((candidate,), (us,))
-            self.many.update((many + 1,))
+            held.add(candidate)
             return "offered"
         if actor != owner and not manages:
             return "not theirs"
-        if not self.open.containsKey((candidate,)):
+        if candidate not in held:
             return "closed"
-        self.open.removeKey((candidate,))
-        self.many.update((many - 1,))
+        held.remove(candidate)
         return {"accept": "accepted", "dismiss": "dismissed", "reject": "rejected"}[act]
 
     def close(self) -> None:
         pass
 
 
+def _due_ms(us: int) -> int:
+    return -(-us // 1000)
+
+
+def _outcomes(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["owner", "event", "candidate", "outcome"]).astype({"owner": "int64", "event": "int64", "candidate": "int64", "outcome": object})
+
+
 def resolved(events: DataFrame, most: int = MOST_OPEN) -> DataFrame:
     """``owner, event, candidate, outcome`` of a stream ``owner, event, ts, act, candidate, actor, manages``: what each
     offer, accept, dismiss or reject comes to. Only its owner, or who manages users, closes a suggestion; what is closed
