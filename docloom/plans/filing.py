@@ -39,7 +39,9 @@ def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("o_orderkey"), len(_HINT_WORDS)
     text = T.normalize(F.concat_ws(" ", *[_pick(_HINT_WORDS, k * m % n) for m in (1, 3, 7, 12)]))
     declared = F.when(k % 9 == 0, "contract")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(declared, G.hinted(text, V.TYPE_HINTS)).alias("type")).groupBy("type").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
+    # a column of its own: each of the many hints would work out the text anew
+    o = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return o.select("o_orderkey", F.coalesce(declared, G.hinted(F.col("text"), V.TYPE_HINTS)).alias("type")).groupBy("type").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
 
 
 def project_match(spark: SparkSession, sf_dir: str) -> DataFrame:
