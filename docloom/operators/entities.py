@@ -69,6 +69,12 @@ def classify(value: Column) -> Column:
     return out
 
 
+def _swift(kind: str, pattern: str) -> str:
+    """The pattern as Java searches it best: runs of an identifier are possessive, as none of its characters
+    follows one and a shorter run never fits."""
+    return pattern.replace("{2,}", "{2,}+") if kind == "identifier" else pattern
+
+
 def entities(df: DataFrame, key: str, text: Column) -> DataFrame:
     """``key, kind, value, label`` once each by kind and value: rows of two cells first, then patterns; a value
     in a row is classified on its own."""
@@ -77,7 +83,7 @@ def entities(df: DataFrame, key: str, text: Column) -> DataFrame:
     rows = lines.select(key, "at", clean(F.regexp_extract("line", ROW, 1)).alias("label"), clean(F.regexp_extract("line", ROW, 2)).alias("value"))
     rows = rows.where((F.col("label") != "") & (F.col("value") != "") & (F.length("value") <= 300) & ~T.normalize(F.col("label")).isin(*HEADER_WORDS))
     rows = rows.select(key, classify(F.col("value")).alias("kind"), "value", "label", F.col("at").alias("o"))
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(1000 + i).alias("o"), F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: F.trim(v)), _keep(k)).alias("vs")) for i, (k, p) in enumerate(KINDS)])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(1000 + i).alias("o"), F.filter(F.transform(F.regexp_extract_all(text, F.lit(_swift(k, p)), F.lit(1)), lambda v: F.trim(v)), _keep(k)).alias("vs")) for i, (k, p) in enumerate(KINDS)])
     by = df.select(key, F.explode(found).alias("f")).select(key, F.col("f.kind").alias("kind"), F.explode("f.vs").alias("value"), F.lit("").alias("label"), F.col("f.o").alias("o"))
     both = rows.unionByName(by).withColumn("n", T.normalize(F.col("value")))
     return R.first_of(both, [key, "kind", "n"], F.col("o"), F.col("value")).drop("n", "o")
