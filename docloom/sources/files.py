@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.sources.listing import registry  # noqa: F401  every file below a folder and what it is
+from docloom.sources.listing import listed, opened, registry  # noqa: F401  every file below a folder and what it is
 
 #: The front-matter keys that are read.
 KEYS = ("title", "category", "source", "version", "date", "language", "author", "tags", "project", "reference")
@@ -26,11 +28,17 @@ def dispatched(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return files.select("path", "kind", F.try_element_at(lookup, F.col("kind")).alias("reader"))
 
 
+def _content(f, path: str) -> Iterator[tuple]:
+    yield f.read(), None
+
+
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """``path, meta, body`` of the Markdown files below a folder: flat front matter becomes a map
-    of the known keys, lower-cased, without empty values; the block goes from the body."""
-    files = binary(spark, path, "*.{md,markdown}")
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
+    of the known keys, lower-cased, without empty values; the block goes from the body. Files are listed and
+    opened in as many tasks as there is room for, however many there are; one that can't be read is an error."""
+    files = opened(listed(spark, path).where(F.col("path").rlike(r"\.(md|markdown)$")), _content, "content binary, error string")
+    content = F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")).cast("binary"))
+    text = F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
     return split_front_matter(files.select("path", text.alias("text")))
 
 
