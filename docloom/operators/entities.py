@@ -75,18 +75,31 @@ def _swift(kind: str, pattern: str) -> str:
     return pattern.replace("{2,}", "{2,}+") if kind == "identifier" else pattern
 
 
-def entities(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key, kind, value, label`` once each by kind and value: rows of two cells first, then patterns; a value
-    in a row is classified on its own."""
+def _rows(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key, kind, value, label, o`` of rows of two cells; ``o`` is the line."""
     clean = lambda c: F.trim(F.regexp_replace(c, "[*_`]", ""))
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.col("line").rlike(ROW) & ~F.col("line").rlike(SEPARATOR))
     rows = lines.select(key, "at", clean(F.regexp_extract("line", ROW, 1)).alias("label"), clean(F.regexp_extract("line", ROW, 2)).alias("value"))
     rows = rows.where((F.col("label") != "") & (F.col("value") != "") & (F.length("value") <= 300) & ~T.normalize(F.col("label")).isin(*HEADER_WORDS))
-    rows = rows.select(key, classify(F.col("value")).alias("kind"), "value", "label", F.col("at").alias("o"))
+    return rows.select(key, classify(F.col("value")).alias("kind"), "value", "label", F.col("at").alias("o"))
+
+
+def _once(found: DataFrame, key: str) -> DataFrame:
+    return R.first_of(found.withColumn("n", T.normalize(F.col("value"))), [key, "kind", "n"], F.col("o"), F.col("value")).drop("n", "o")
+
+
+def labelled(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """The rows of ``entities`` that have a label, for texts of up to 1,000 lines: these stand before what
+    patterns find, so they are the same without it."""
+    return _once(_rows(df, key, text), key)
+
+
+def entities(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key, kind, value, label`` once each by kind and value: rows of two cells first, then patterns; a value
+    in a row is classified on its own."""
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(1000 + i).alias("o"), F.filter(F.transform(F.regexp_extract_all(text, F.lit(_swift(k, p)), F.lit(1)), lambda v: F.trim(v)), _keep(k)).alias("vs")) for i, (k, p) in enumerate(KINDS)])
     by = df.select(key, F.explode(found).alias("f")).select(key, F.col("f.kind").alias("kind"), F.explode("f.vs").alias("value"), F.lit("").alias("label"), F.col("f.o").alias("o"))
-    both = rows.unionByName(by).withColumn("n", T.normalize(F.col("value")))
-    return R.first_of(both, [key, "kind", "n"], F.col("o"), F.col("value")).drop("n", "o")
+    return _once(_rows(df, key, text).unionByName(by), key)
 
 
 def described(text: Column) -> tuple[Column, Column, Column]:
