@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import scratch, stored, table, text_or_empty
+from docloom.llm.common import returning, scratch, stored, table, text_or_empty
 
 BUCKETS, DIM = 1 << 15, 16
 WIDTHS, FILTERS = (1, 2, 3), 16
@@ -339,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     n = _likely(docs, labels).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(text_or_empty())), F.lit(0)).alias("chars")).first()
     shards = max(1, -(-n.rows // SHARD), -(-n.chars // SHARD_CHARS))
     with scratch(docs.sparkSession):
-        given = stored(sample(docs, labels, shards).mapInArrow(coded, CODED))
+        given = stored(sample(docs, labels, shards).mapInArrow(returning(coded), CODED))
         mine = given.where("not last")
         counts = mine.mapInArrow(_label_counts, "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()
         found = {r.toxic: r.n for r in counts}
@@ -377,7 +377,7 @@ def averaged(given: DataFrame, state: State, share: np.ndarray, r: int) -> State
         parts = [sums[k : k + wide] for k in range(0, bands * wide, wide)] + [sums[bands * wide :]] if len(sums) else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["band", "sums"])
 
-    rows = given.mapInArrow(run, "band int, sums binary").repartition(bands + 1, "band").mapInArrow(_added, "band int, sums binary").collect()
+    rows = given.mapInArrow(returning(run), "band int, sums binary").repartition(bands + 1, "band").mapInArrow(_added, "band int, sums binary").collect()
     by = {row.band: np.frombuffer(row.sums, np.int64) for row in rows}
     embed = np.concatenate([by[k].reshape(-1, DIM + 2) for k in range(bands)])
     moved, rest = np.maximum(embed[:, -1], 1), by[bands]
@@ -424,7 +424,7 @@ def thresholds(given: DataFrame, net: Network) -> dict[str, float]:
             passed = np.searchsorted(GRID, net.score(pooled), side="right")
             yield pa.RecordBatch.from_arrays([langs, pa.array(y.astype(np.int32)), pa.array(passed.astype(np.int32))], ["lang", "toxic", "passed"])
 
-    rows = given.mapInArrow(run, "lang string, toxic int, passed int").where("lang is not null")
+    rows = given.mapInArrow(returning(run), "lang string, toxic int, passed int").where("lang is not null")
     tally: dict[str, np.ndarray] = {}
     for r in rows.groupBy("lang", "toxic", "passed").count().collect():
         tally.setdefault(r.lang, np.zeros((2, len(GRID) + 1), np.int64))[r.toxic, r.passed] = r["count"]
@@ -453,7 +453,7 @@ def with_scores(docs: DataFrame, model: Classifier, columns: list[Column]) -> Da
     limit = F.lit(0.5)
     for lang, t in model.thresholds.items():
         limit = F.when(F.col("__lang") == lang, F.lit(t)).otherwise(limit)
-    return rows.mapInArrow(run, schema).select("__row", "score", (F.col("score") >= limit).alias("flagged"))
+    return rows.mapInArrow(returning(run), schema).select("__row", "score", (F.col("score") >= limit).alias("flagged"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
