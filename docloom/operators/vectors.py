@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.store import stored
 
-#: Rows that pivots are fitted on, pivots at most, passes of k-means, rows of a piece, and queries scored at once.
-SAMPLE, PIVOTS, PASSES, PIECE, AT_ONCE = 20_000, 1024, 6, 8192, 512
+#: Rows that pivots are fitted on, pivots at most, passes of k-means, rows of a piece, queries scored and queries
+#: dealt to their cells at once.
+SAMPLE, PIVOTS, PASSES, PIECE, AT_ONCE, SOME = 20_000, 1024, 6, 8192, 512, 64
 #: What rounding to six places and floating sums may add to a similarity.
 SLACK = 2e-6
 
@@ -70,31 +72,46 @@ def _celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def _visits(asked: DataFrame, cells: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
     """Each query with the cells whose bound reaches its ``floor``. Cells ``first`` are the nearest ones that
-    hold more than k rows together; without floors, they are all."""
-    q = asked.select("vec_id", "unit", "by", "floor").join(cells, "by")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[dict] = []
-            d = _distances(_matrix(b.column(b.schema.names.index("unit"))), centres)
-            for r, row in zip(b.to_pylist(), d):
-                at = np.array([c["cell"] for c in r["cells"]])
-                low, high, n = (np.array([c[x] for c in r["cells"]]) for x in ("low", "high", "n"))
-                far = row[at]
-                bound = np.maximum(0, np.maximum(far - high, low - far))
-                order = np.lexsort((at, far))
+    hold more than k rows together; without floors, they are all. A task has the cells of a ``by`` once, ahead of
+    its queries."""
+    spark = asked.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    none = F.lit(None)
+    q = asked.select("by", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int").alias("salt"), F.lit(1).alias("side"), "vec_id", "unit", "floor", none.cast(cells.schema["cells"].dataType).alias("cells"))
+    c = cells.select("by", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("salt"), F.lit(0).alias("side"), none.cast("long").alias("vec_id"), none.cast("array<double>").alias("unit"), none.cast("double").alias("floor"), "cells")
+    sides = q.where("by is not null").unionByName(c).repartition("by", "salt").sortWithinPartitions("by", "salt", "side")
+    return sides.mapInArrow(lambda b: _reaching(b, centres, k), VISIT)
+
+
+def _reaching(batches: Iterator[pa.RecordBatch], centres: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """VISIT, from rows of ``by, salt, side, vec_id, unit, floor, cells`` sorted by the first three."""
+    key: tuple | None = None
+    cells: list[np.ndarray] = []
+    for part in (b.slice(at, SOME) for b in batches for at in range(0, b.num_rows, SOME)):
+        asks = part.filter(pc.equal(part.column(2), 1))
+        d = _distances(_matrix(asks.column(4)), centres) if asks.num_rows else np.zeros((0, len(centres)))
+        floors = asks.column(5).to_pylist()
+        i, row, at, first = 0, [], [], []
+        for r, (by, salt, side) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
+            if side == 0:
+                key, given = (by, salt), part.column(6)[r].values
+                cells = [given.field(name).to_numpy() for name in ("cell", "n", "low", "high")]
+                continue
+            if key == (by, salt):
+                cell, n, low, high = cells
+                far = d[i][cell]
+                order = np.lexsort((cell, far))
                 before = np.r_[0, np.cumsum(n[order])[:-1]]
-                first = np.zeros(len(at), dtype=bool)
-                first[order[before <= k]] = True
-                reach = first if r["floor"] is None else 1 - bound**2 / 2 >= r["floor"] - SLACK
-                out += [{"vec_id": r["vec_id"], "unit": r["unit"], "by": r["by"], "cell": int(at[i]), "first": bool(first[i])} for i in np.flatnonzero(reach)]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    types = asked.sparkSession.createDataFrame([], VISIT).schema
-    schema = to_arrow_schema(types)
-    return q.mapInArrow(run, types)
+                near = np.zeros(len(cell), dtype=bool)
+                near[order[before <= k]] = True
+                reach = near if floors[i] is None else 1 - np.maximum(0, np.maximum(far - high, low - far)) ** 2 / 2 >= floors[i] - SLACK
+                row.append(np.full(int(reach.sum()), i))
+                at.append(cell[reach])
+                first.append(near[reach])
+            i += 1
+        if row:
+            took = asks.take(pa.array(np.concatenate(row)))
+            yield pa.RecordBatch.from_arrays([took.column(3), took.column(4), took.column(0), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(first))], ["vec_id", "unit", "by", "cell", "first"])
 
 
 def _scored(rows: DataFrame, visits: DataFrame, large: DataFrame, k: int, floor: float) -> DataFrame:
