@@ -64,14 +64,19 @@ def classify(value: Column) -> Column:
     for kind in reversed(order):
         for k, p in KINDS:
             if k == kind:
-                hit = F.regexp_extract(value, p, 1) == value
+                hit = F.regexp_extract(value, _swift(k, p), 1) == value
                 out = F.when(hit & value.rlike(r"\d") if k == "identifier" else hit, kind).otherwise(out)
     return out
 
 
 def _swift(kind: str, pattern: str) -> str:
-    """The pattern as Java searches it best: runs of an identifier are possessive, as none of its characters
-    follows one and a shorter run never fits."""
+    """The pattern as Java searches it best. What must stand before a value is looked back at, not matched: a value is then
+    tried where it begins alone. What a match has ended with stands before no other, so none begins at its end. Runs of an
+    identifier are possessive, as none of its characters follows one and a shorter run never fits."""
+    before, after = "(?:^|[^", "])("
+    if pattern.startswith(before):
+        at = pattern.index(after)
+        pattern = rf"(?<![{pattern[len(before):at]}])(?:^|(?!\G)){pattern[at + 2:]}"
     return pattern.replace("{2,}", "{2,}+") if kind == "identifier" else pattern
 
 
@@ -79,7 +84,9 @@ def _rows(df: DataFrame, key: str, text: Column) -> DataFrame:
     """``key, kind, value, label, o`` of rows of two cells; ``o`` is the line."""
     clean = lambda c: F.trim(F.regexp_replace(c, "[*_`]", ""))
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.col("line").rlike(ROW) & ~F.col("line").rlike(SEPARATOR))
-    rows = lines.select(key, "at", clean(F.regexp_extract("line", ROW, 1)).alias("label"), clean(F.regexp_extract("line", ROW, 2)).alias("value"))
+    # out of a generator, so that the filters below don't work both cells out again
+    cells = F.struct(clean(F.regexp_extract("line", ROW, 1)).alias("label"), clean(F.regexp_extract("line", ROW, 2)).alias("value"))
+    rows = lines.select(key, "at", F.inline(F.array(cells)))
     rows = rows.where((F.col("label") != "") & (F.col("value") != "") & (F.length("value") <= 300) & ~T.normalize(F.col("label")).isin(*HEADER_WORDS))
     return rows.select(key, classify(F.col("value")).alias("kind"), "value", "label", F.col("at").alias("o"))
 
